@@ -29,8 +29,9 @@ KINDS = [*PATTERNS, TERM]
 #: distinct texts that must show a term beside an entity; share of an entity's information content
 #: that a term may give away at most.
 CONTEXT, LETTERS, SUPPORT, DISCLOSED = 120, 3, 3, 0.95
-#: Terms that a filter may hold as literals; more are joined by a shuffle.
-LITERALS = 20_000
+#: Letters of a term at most, and terms that may be broadcast (so some 20 MB at most); more are
+#: joined by a shuffle.
+MOST_LETTERS, BROADCAST_TERMS = 64, 200_000
 _NOT_LETTERS = r"[^\p{L}]+"
 
 
@@ -43,7 +44,7 @@ def _hits(text: Column, pattern: Column, kind: str) -> Column:
 
 def _placed(hits: DataFrame) -> DataFrame:
     """Exploded hits with start and end, in code points, and the text around them."""
-    key = ["doc_id", "h", "kind"]
+    key = ["doc_id", "h", "kind", *[c for c in hits.columns if c == "term"]]
     order = Window.partitionBy(*key).orderBy("k")
     length = F.length(F.coalesce("value", F.lit("")))
     end = F.sum(F.col("gap") + length).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -72,7 +73,7 @@ def _valid() -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), _NOT_LETTERS)), lambda x: F.length(x) >= LETTERS)
+    return F.filter(F.array_distinct(F.split(F.lower(text), _NOT_LETTERS)), lambda x: F.length(x).between(LETTERS, MOST_LETTERS))
 
 
 def _context(column: str, before: bool) -> Column:
@@ -95,10 +96,8 @@ def base_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return hits.select("doc_id", "h", "k", "_.*")
 
 
-def _only(terms: DataFrame, words: Column) -> Column | None:
-    """The words that are in terms, if these are few enough for literals."""
-    few = [x[0] for x in terms.limit(LITERALS + 1).collect()]
-    return F.filter(words, lambda x: x.isin(few)) if len(few) <= LITERALS else None
+def _few(terms: DataFrame) -> bool:
+    return terms.count() <= BROADCAST_TERMS
 
 
 def disclosing_terms(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,16 +110,13 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", t
     in SUPPORT different texts or more.
     """
     beside = F.array_distinct(F.concat(_context("tail", True), _context("after", False)))
-    near = hits.select("kind", "value", "doc_id", "h", F.explode(F.filter(beside, lambda x: F.length(x) >= LETTERS)).alias("term")).distinct()
+    near = hits.select("kind", "value", "doc_id", "h", F.explode(F.filter(beside, lambda x: F.length(x).between(LETTERS, MOST_LETTERS))).alias("term")).distinct()
     pairs = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"), F.countDistinct("h").alias("texts")).filter(F.col("texts") >= SUPPORT)
     pairs = checkpoint(pairs)
     entities = hits.select("kind", "value", "doc_id", "h").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
     candidates = pairs.select("term").distinct()
-    words = _terms(text_of(text_col))
-    few = _only(candidates, words)
-    seen = docs.select(F.explode(words if few is None else few).alias("term"))
-    if few is None:
-        seen = seen.join(candidates, "term", "left_semi")
+    seen = docs.select(F.explode(_terms(text_of(text_col))).alias("term"))
+    seen = seen.join(F.broadcast(candidates) if _few(candidates) else candidates, "term", "left_semi")
     n_term = seen.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.count()
     both = pairs.join(entities, ["kind", "value"]).join(n_term, "term")
@@ -133,19 +129,19 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", t
 def term_hits(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where the terms stand in all documents, as exploded hits of kind TERM."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    words = _terms(F.col("text"))
-    few = _only(terms.select("term"), words)
-    if few is not None:
-        rows = rows.withColumn("found", few).filter(F.size("found") > 0)
+    terms = terms.select("term")
+    if _few(terms):
+        # The text goes along with matching terms only: explode and join are one generated loop.
+        rows = rows.withColumn("term", F.explode(_terms(F.col("text")))).join(F.broadcast(terms), "term", "left_semi")
     else:
-        found = rows.select("doc_id", "h", F.explode(words).alias("term")).join(terms.select("term"), "term", "left_semi")
+        found = rows.select("doc_id", "h", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
         found = found.groupBy("doc_id", "h").agg(F.collect_set("term").alias("found")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-        rows = rows.join(found, rows.doc_id.eqNullSafe(found._id) & (rows.h == found._h))
+        rows = rows.join(found, rows.doc_id.eqNullSafe(found._id) & (rows.h == found._h)).withColumn("term", F.explode("found"))
     # Terms are letters only, so they need no quoting.
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("found"), "|"), F.lit(r")(?!\p{L})"))
-    rows = rows.select("doc_id", "h", "text", pattern.alias("pattern"))
-    hits = rows.select("doc_id", "h", F.posexplode(_hits(F.col("text"), F.col("pattern"), TERM)).alias("k", "_"))
-    return hits.select("doc_id", "h", "k", "_.*")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
+    rows = rows.select("doc_id", "h", "text", "term", pattern.alias("pattern"))
+    hits = rows.select("doc_id", "h", "term", F.posexplode(_hits(F.col("text"), F.col("pattern"), TERM)).alias("k", "_"))
+    return hits.select("doc_id", "h", "term", "k", "_.*")
 
 
 def _ordered(spans: DataFrame) -> DataFrame:

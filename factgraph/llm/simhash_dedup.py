@@ -15,8 +15,9 @@ from factgraph.llm.common import checkpoint, text_of
 from factgraph.llm.components import connected_components
 
 BITS = 64
-#: Fingerprints of a bucket that are compared at once; larger buckets are parted by further masks.
-BUCKET = 512
+#: Fingerprints of a bucket that are compared at once; larger buckets are parted by further masks,
+#: until so few bits are open that a bucket has 2 ** OPEN_BITS different members at most.
+BUCKET, OPEN_BITS = 512, 9
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,16 +74,17 @@ def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
     open: two of its members differ in these alone, so the guarantee holds again, until the open
     bits allow no more than BUCKET different members. Nothing is dropped or capped.
     """
-    everywhere = (1 << BITS) - 1
     level: list[tuple[str, int]] = [(str(i), m) for i, m in enumerate(covering_masks(list(range(BITS)), radius))]
     entries = prints.select("fp", F.explode(_buckets(level)).alias("_")).select("fp", "_.*")
     links = []
     while True:
         sizes = entries.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
         entries = checkpoint(entries.join(sizes, ["mask", "key"]))
-        small = entries.filter(F.col("n") <= BUCKET).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+        final = [m for m, bits in level if BITS - bits.bit_count() <= OPEN_BITS]
+        is_small = (F.col("n") <= BUCKET) | F.col("mask").isin(final)
+        small = entries.filter(is_small).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
         links.append(small.select("fps").mapInArrow(_linked(radius), "a long, b long"))
-        large = entries.filter(F.col("n") > BUCKET)
+        large = entries.filter(~is_small)
         masks = sorted(x.mask for x in large.select("mask").distinct().collect())  # at most 15 for each mask above
         if not masks:
             return reduce(DataFrame.union, links)
@@ -91,7 +93,6 @@ def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
         pairs = F.create_map(*itertools.chain.from_iterable((F.lit(m), _masks(x)) for m, x in finer.items()))
         entries = large.select("fp", F.explode(pairs[F.col("mask")]).alias("_")).select("fp", F.col("_.mask"), F.col("fp").bitwiseAND(F.col("_.bits")).alias("key"))
         level = [x for some in finer.values() for x in some]
-        assert all(m <= everywhere for _, m in level)
 
 
 def _masks(level: list[tuple[str, int]]) -> Column:

@@ -294,15 +294,15 @@ def test_find_pii(docs):
 
 
 def test_disclosing_terms(spark):
-    rows = [(i, f"plain words about nothing number{'abcdefghij'[i % 10]} here") for i in range(200)]
-    rows += [(200 + i, f"{'xyz'[i]} write to Zaphod at zaphod@heart.example today") for i in range(3)]
-    rows += [(300, "Somebody saw ZAPHOD, and words about nothing")]
+    rows = [(i, f"plain words about nothing number{'abcdefghij'[i % 10]} here") for i in range(2000)]
+    rows += [(3000 + i, f"{'xyz'[i]} write to Zaphod at zaphod@heart.example today") for i in range(3)]
+    rows += [(4000, "Somebody saw ZAPHOD, and words about nothing")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
-    assert got[300] == "term:13:19" and got[5] == ""
-    assert got[200].startswith("email:21:41") and "term:11:17" in got[200]
+    assert got[4000] == "term:13:19" and got[5] == ""
+    assert got[3000].startswith("email:21:41") and "term:11:17" in got[3000]
     clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
-    assert clean[300] == "Somebody saw [TERM], and words about nothing" and "zaphod" not in clean[200].lower() and clean[5] == rows[5][1]
+    assert clean[4000] == "Somebody saw [TERM], and words about nothing" and "zaphod" not in clean[3000].lower() and clean[5] == rows[5][1]
 
 
 def quality_by_hand(text):

@@ -83,4 +83,4 @@ def quality_verdicts(docs: DataFrame, host_col: str = "source", id_col: str = "d
     rates = host_rates(counts).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
     found = counts.join(rates, counts.host.eqNullSafe(rates._host), "left")
     kept = ~F.col("base_failed") & (F.col("host_rate") <= HOST_LIMIT)
-    return found.select("doc_id", *COUNTS, "base_failed", "host_rate", kept.alias("kept"))
+    return found.select("doc_id", *COUNTS, "base_failed", F.round("host_rate", 6).alias("host_rate"), kept.alias("kept"))

@@ -65,4 +65,40 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_wavelet_shards, op2_license_scan, op3_token_counts, op4_weighted_mix, op5_simhash_groups, op6_exact_duplicates, op7_find_pii, op8_quality_rules, op9_language_id, op10_piece_digests, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_weighted_mix": r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+ t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+ r AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2 AS most FROM t),
+ k AS (SELECT *, row_number() OVER (ORDER BY most / weight, place) AS k,
+  ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / (sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM r),
+ l AS (SELECT arg_min(level, k) AS level FROM k WHERE level * weight < most),
+ g AS (SELECT source, source_size, CASE WHEN l.level * weight < most THEN l.level * weight ELSE most::DOUBLE END AS target FROM k CROSS JOIN l),
+ b AS (SELECT d.*, source_size, target, (sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+ i AS (SELECT b.*, pass, before + pass * source_size AS start FROM b CROSS JOIN (VALUES (0), (1)) p(pass)),
+ s AS (SELECT *, least(size, floor(target)::BIGINT - start) AS served FROM i),
+ m AS (SELECT *, (start + served) / target AS finish FROM s WHERE served > 0),
+ x AS (SELECT *, (sum(served) OVER (ORDER BY finish, source NULLS LAST, pass, key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - served AS mixed FROM m),
+ y AS (SELECT doc_id, sum(greatest(0, least(served, (SELECT floor(sum(size) * 1.5) FROM d)::BIGINT - mixed)))::BIGINT AS taken, min(mixed) AS mix_start FROM x GROUP BY doc_id)
+SELECT b.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, mix_start FROM b LEFT JOIN y ON y.doc_id = b.doc_id""",
+    "op6_exact_duplicates": r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS chars FROM documents),
+ k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
+    "op8_quality_rules": r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ u AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w),
+ f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i : i + 4], ' ')) AS c FROM u),
+ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM f CROSS JOIN range(0, 5) r(k) WHERE c > 1 GROUP BY doc_id),
+ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+ c AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id),
+ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+ h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS failed FROM b GROUP BY source),
+ m AS (SELECT avg(failed / n) AS mean, var_samp(failed / n) AS var FROM h),
+ p AS (SELECT mean, CASE WHEN coalesce(var, 0) > 0 THEN greatest(1.0, least(1e6, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM m),
+ r AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM h CROSS JOIN p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
+}

@@ -69,10 +69,40 @@ def review_policy(reviews: DataFrame, sure: float = 0.85) -> DataFrame:
 
 
 def packed(candidates: DataFrame, group: str, tokens: str, budget: int, most: int) -> DataFrame:
-    """Greedy packing: a group's candidates in order of tier and key while the token budget and the
-    count allow; a candidate that does not fit is passed over and later ones may still fit."""
+    """Greedy packing of a group's candidates in order of tier (0 is pinned) and id, within a token
+    budget and a count. A pinned one that does not fit is passed over; any other tier ends at its
+    first miss. The first candidate always fits."""
     items = F.sort_array(F.collect_list(F.struct("tier", "candidate_id", F.col(tokens).cast("long").alias("t"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda s, x: F.when((s["used"] + x["t"] <= budget) & (F.size(s["ids"]) < most), F.struct((s["used"] + x["t"]).alias("used"), F.array_append(s["ids"], x["candidate_id"]).alias("ids"))).otherwise(s)
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("closed"), F.array().cast("array<bigint>").alias("ids"))
+
+    def step(s, x):
+        fits = (s["used"] + x["t"] <= budget) | (F.size(s["ids"]) == 0)
+        add = F.struct((s["used"] + x["t"]).alias("used"), s["closed"].alias("closed"), F.array_append(s["ids"], x["candidate_id"]).alias("ids"))
+        close = F.struct(s["used"].alias("used"), x["tier"].cast("long").alias("closed"), s["ids"].alias("ids"))
+        full = (F.size(s["ids"]) >= most) | (x["tier"] == s["closed"])
+        return F.when(full, s).when(fits, add).when(x["tier"] == 0, s).otherwise(close)
+
     done = candidates.groupBy(group).agg(F.aggregate(items, start, step).alias("_"))
     return done.select(group, F.col("_.used").alias("used_tokens"), F.array_join(F.col("_.ids").cast("array<string>"), ",").alias("packed_ids"))
+
+
+def apply_classes(classes: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Class revisions after accepted proposals (proposal_id, class_key, label, base_revision): a
+    proposal made on another revision than the current one is stale; of several for one class the
+    first applies. Returns proposal_id, outcome, revision."""
+    from pyspark.sql.window import Window
+
+    now = classes.select("class_key", F.col("revision").alias("_now"))
+    rows = accepted.join(now, "class_key", "left")
+    current = F.coalesce("_now", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("class_key", F.col("base_revision") == current).orderBy("proposal_id"))
+    fresh = (F.col("base_revision") == current) & (place == 1)
+    return rows.select("proposal_id", F.when(fresh, "applied").otherwise("stale").alias("outcome"), F.when(fresh, current + 1).alias("revision"))
+
+
+def review_lineage(reviews: DataFrame) -> DataFrame:
+    """Each review with the one before it on the same proposal, and whether it changed the decision."""
+    from pyspark.sql.window import Window
+
+    before = F.lag("decision").over(Window.partitionBy("proposal_id").orderBy("review_id"))
+    return reviews.withColumn("previous_decision", before).withColumn("decision_changed", F.col("previous_decision").isNotNull() & (F.col("previous_decision") != F.col("decision")))

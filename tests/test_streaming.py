@@ -40,3 +40,25 @@ def test_fingerprint_counts(spark, sf_dir, tmp_path):
     rows = view(spark, sf_dir, "fx_feedback").select(F.sha2(F.col("title"), 256).alias("fingerprint"), "created_at")
     got = streamed(spark, rows, str(tmp_path / "c"), jobs.fingerprint_counts, "complete", "prints")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in jobs.fingerprint_counts(rows).collect()}
+
+
+def test_clarifications_expire(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("r1", at), ("r2", at + dt.timedelta(minutes=5))]
+    path = str(tmp_path / "d")
+    schema = "request_id string, created_at timestamp"
+    spark.createDataFrame(rows, schema).repartition(1).write.parquet(path)
+    later = [("r3", at + dt.timedelta(hours=5))]
+    states = jobs.clarification_states(spark.readStream.schema(schema).parquet(path))
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    q = states.writeStream.format("memory").queryName("clarified").option("checkpointLocation", path + "-state").start()
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame(later, schema).repartition(1).write.mode("append").parquet(path)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {tuple(r) for r in spark.table("clarified").collect()}
+    assert {("r1", "open"), ("r2", "open"), ("r1", "expired"), ("r2", "expired")} <= got

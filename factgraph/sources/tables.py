@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.session import share_package
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: SQL of each view; it runs alike in Spark and DuckDB, but for the name of the SHA-256 function.
@@ -67,6 +69,7 @@ UNION ALL SELECT 10000000000 + page_id, 'page-src:' || CAST(page_id % 50 AS STRI
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A provided table, with its local times read as instants in UTC."""
+    share_package(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 

@@ -126,3 +126,14 @@ def neighbourhood(statements: DataFrame, survivors: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("s").alias("entity_id"), F.lit("outgoing").alias("direction"), F.col("o").alias("neighbour_id")), F.struct(F.col("o").alias("entity_id"), F.lit("incoming").alias("direction"), F.col("s").alias("neighbour_id")))
     )
     return rows.select("statement_id", "predicate_key", F.explode(ends).alias("_")).select("_.*", "predicate_key", "statement_id")
+
+
+def related(statements: DataFrame, most: int = 5) -> DataFrame:
+    """For each statement the newest other asserted ones of its subject, at most so many. Only the
+    first ``most`` + 1 of a subject can be among them, so each subject's history is read once."""
+    order = Window.partitionBy("subject_entity_id").orderBy(F.desc("asserted_at"), F.desc("statement_id"))
+    best = statements.filter("status = 'asserted'").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most + 1)
+    best = best.select("subject_entity_id", F.col("statement_id").alias("related_id"), "k")
+    rows = statements.select("statement_id", "subject_entity_id").join(best, "subject_entity_id").filter("statement_id <> related_id")
+    place = F.row_number().over(Window.partitionBy("statement_id").orderBy("k"))
+    return rows.select("statement_id", "related_id", place.alias("place")).filter(F.col("place") <= most)

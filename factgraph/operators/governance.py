@@ -106,3 +106,30 @@ def review_lineage(reviews: DataFrame) -> DataFrame:
 
     before = F.lag("decision").over(Window.partitionBy("proposal_id").orderBy("review_id"))
     return reviews.withColumn("previous_decision", before).withColumn("decision_changed", F.col("previous_decision").isNotNull() & (F.col("previous_decision") != F.col("decision")))
+
+
+def lexical_nearest(proposals: DataFrame, concepts: DataFrame, most: int = 12, weak: float = 0.28, strong: float = 0.55) -> DataFrame:
+    """The concepts (concept, tokens) whose tokens a proposal's (proposal_id, tokens) are most like by
+    Jaccard similarity: at most ``most`` of at least ``weak``, in tier 1 from ``strong`` on, else 2.
+
+    The join is on tokens, so only pairs with one in common are looked at.
+    """
+    from pyspark.sql.window import Window
+
+    p = proposals.select("proposal_id", F.size(F.array_distinct("tokens")).alias("_n"), F.explode(F.array_distinct("tokens")).alias("_t"))
+    c = concepts.select("concept", F.size(F.array_distinct("tokens")).alias("_m"), F.explode(F.array_distinct("tokens")).alias("_t"))
+    both = p.join(c, "_t").groupBy("proposal_id", "concept", "_n", "_m").agg(F.count("*").alias("_k"))
+    score = F.round(F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k")), 6)
+    rows = both.select("proposal_id", "concept", score.alias("score")).filter(F.col("score") >= weak)
+    place = F.row_number().over(Window.partitionBy("proposal_id").orderBy(F.desc("score"), "concept"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).withColumn("tier", F.when(F.col("score") >= strong, 1).otherwise(2))
+
+
+def superseded_asks(asks: DataFrame) -> DataFrame:
+    """asks (proposal_id, ask_id, status): of a proposal's open ones the newest stays open, the others
+    are superseded; closed ones stay as they are."""
+    from pyspark.sql.window import Window
+
+    open_ = F.col("status") == "open"
+    newest = F.max(F.when(open_, F.col("ask_id"))).over(Window.partitionBy("proposal_id"))
+    return asks.withColumn("status", F.when(open_ & (F.col("ask_id") < newest), "superseded").otherwise(F.col("status")))

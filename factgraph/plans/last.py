@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factgraph.functions import temporal
-from factgraph.operators import audits, changes, facts, repair, reporting, retrieval
+from factgraph.functions import temporal, text
+from factgraph.operators import audits, changes, facts, governance, repair, reporting, retrieval
 from factgraph.plans.core import AS_OF, PARENTS, ROOTS, WALKS, _asked, _edges, query
 from factgraph.sources.tables import table, view
 
@@ -265,3 +265,39 @@ def h13_statement_scores(spark, sf_dir):
     q = retrieval.prepared(_asked(spark).filter("query_id < 3"))
     evidence = facts.evidence_stats(view(spark, sf_dir, "fx_evidence"), view(spark, sf_dir, "fx_source"))
     return retrieval.statement_hits(view(spark, sf_dir, "fx_statement"), view(spark, sf_dir, "fx_entity"), evidence, q, AS_OF)
+
+
+@query("""
+WITH b AS (SELECT subject_entity_id, statement_id AS related_id, row_number() OVER (PARTITION BY subject_entity_id ORDER BY asserted_at DESC, statement_id DESC) AS k FROM fx_statement WHERE status = 'asserted'),
+ r AS (SELECT s.statement_id, related_id, row_number() OVER (PARTITION BY s.statement_id ORDER BY k) AS place FROM fx_statement s JOIN b USING (subject_entity_id) WHERE s.statement_id <> related_id) SELECT statement_id, related_id, place FROM r WHERE place <= 5""")
+def f11_related_facts(spark, sf_dir):
+    return facts.related(view(spark, sf_dir, "fx_statement"))
+
+
+NEAREST = """WITH p AS (SELECT p_partkey AS proposal_id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS t FROM part WHERE p_partkey % 20 = 0), c AS (SELECT DISTINCT p_type AS concept, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS u FROM part),
+ s AS (SELECT proposal_id, concept, round(len(list_intersect(t, u))::DOUBLE / len(list_distinct(list_concat(t, u))), 6) AS score FROM p, c WHERE len(list_intersect(t, u)) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY score DESC, concept) AS place FROM s WHERE score >= 0.28) """
+
+
+def _nearest_types(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    asked = p.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("proposal_id"), text.words(F.concat("p_name", F.lit(" "), "p_type")).alias("tokens"))
+    concepts = p.select(F.col("p_type").alias("concept")).distinct().select("concept", text.words(F.col("concept")).alias("tokens"))
+    return governance.lexical_nearest(asked, concepts)
+
+
+@query(NEAREST + "SELECT proposal_id, concept, score, place, CASE WHEN score >= 0.55 THEN 1 ELSE 2 END AS tier FROM r WHERE place <= 12")
+def f07_lexical_nearest(spark, sf_dir):
+    return _nearest_types(spark, sf_dir)
+
+
+@query()
+def j18_review_context(spark, sf_dir):
+    near = _nearest_types(spark, sf_dir).select("proposal_id", "tier", F.col("place").cast("long").alias("candidate_id"), (F.length("concept") * 10).alias("tokens"))
+    return governance.packed(near, "proposal_id", "tokens", 600, 8)
+
+
+@query("""
+WITH a AS (SELECT doc_id % 40 AS proposal_id, doc_id AS ask_id, CASE WHEN toxic = 1 THEN 'answered' ELSE 'open' END AS status FROM labels) SELECT proposal_id, ask_id, CASE WHEN status = 'open' AND ask_id < max(ask_id) FILTER (status = 'open') OVER (PARTITION BY proposal_id) THEN 'superseded' ELSE status END AS status FROM a""")
+def j20_superseded_asks(spark, sf_dir):
+    asks = table(spark, sf_dir, "labels").select((F.col("doc_id") % 40).alias("proposal_id"), F.col("doc_id").alias("ask_id"), F.when(F.col("toxic") == 1, "answered").otherwise("open").alias("status"))
+    return governance.superseded_asks(asks)

@@ -56,23 +56,28 @@ class LanguageModel:
         self.classes, self.weights = classes, weights
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-        """x: presence rows. The first rows of each class are its landmarks."""
+    def fit(cls, packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+        """packed: presence rows as bits. The first rows of each class are its landmarks; the other
+        rows are unpacked a batch at a time."""
         classes = sorted(set(labels))
         if not classes:
-            return cls([], np.zeros((x.shape[1], 0), np.float32))
-        kernel_rows, which = _unit(x), np.array(labels)
-        chosen = np.concatenate([np.flatnonzero(which == c)[:landmarks] for c in classes])
-        marks = kernel_rows[chosen]
-        values, vectors = np.linalg.eigh(marks.astype(np.float64) @ marks.T)
-        good = values > 1e-8 * values[-1]
+            return cls([], np.zeros((GRAMS * BUCKETS, 0), np.float32))
+
+        def rows(places) -> np.ndarray:
+            return _unit(np.array([np.unpackbits(np.frombuffer(packed[i], np.uint8)) for i in places]))
+
+        which = np.array(labels)
+        marks = rows(np.concatenate([np.flatnonzero(which == c)[:landmarks] for c in classes]))
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        features = (kernel_rows @ marks.T) @ root
+        kernel = np.concatenate([rows(range(at, min(at + BATCH, len(packed)))) @ marks.T for at in range(0, len(packed), BATCH)])
+        features = kernel.astype(np.float64) @ root
         goal = np.where(which[:, None] == classes, 1.0, -1.0)
         # Classes count alike, however many rows they have.
         share = np.array([1 / (which == c).sum() for c in which])[:, None]
         ridge_weights = np.linalg.solve(features.T @ (features * share) + ridge * np.eye(features.shape[1]), features.T @ (goal * share))
-        return cls(classes, (marks.T @ (root @ ridge_weights)).astype(np.float32))
+        return cls(classes, marks.T @ (root @ ridge_weights).astype(np.float32))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Regression values, a row for each text and a column for each class."""
@@ -108,7 +113,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = known.filter((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {x.lang: x.n for x in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel.fit(np.zeros((0, GRAMS * BUCKETS), np.uint8), [])
+        return LanguageModel.fit([], [])
     at = F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     limits = F.create_map(*[F.lit(y) for lang, n in sizes.items() for y in (lang, rows / n)])
     sample = known.filter(at < limits[F.col("lang")]).select(F.col("id").cast("string").alias("id"), "lang", "text")
@@ -119,8 +124,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["id", "lang", "bits"])
 
     found = sorted(sample.mapInArrow(packed, "id string, lang string, bits binary").collect(), key=lambda x: (x.lang, x.id, x.bits))
-    x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in found], np.uint8).reshape(len(found), GRAMS * BUCKETS)
-    return LanguageModel.fit(x, [r.lang for r in found])
+    return LanguageModel.fit([bytes(r.bits) for r in found], [r.lang for r in found])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

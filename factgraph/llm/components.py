@@ -10,7 +10,7 @@ from factgraph.llm.common import checkpoint
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b), both long: node and root, the smallest node of its component, for every node
-    that has an edge to another one.
+    that has an edge to a smaller one in the end (so for all but the roots).
 
     Each round links neighbours to the smallest node known near them (a partially aggregated
     minimum, joined back to the edges) and writes the new edges to the checkpoint folder; the

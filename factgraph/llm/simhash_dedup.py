@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,6 +19,31 @@ BITS = 64
 #: Fingerprints of a bucket that are compared at once; larger buckets are parted by further masks,
 #: until so few bits are open that a bucket has 2 ** OPEN_BITS different members at most.
 BUCKET, OPEN_BITS = 512, 9
+#: Fingerprints of the candidate search before a comparison of shingles; its radius.
+WORD_PRINTS, WORD_RADIUS = 8, 3
+#: Rows and shingles of a block of rows whose shingles are compared at once (about; blocks are dealt
+#: by hash); shingles that a step of the comparison takes.
+BLOCK_ROWS, BLOCK_SHINGLES, STEP = 512, 1_000_000, 4096
+
+
+def _shingles(text: str, size: int) -> list[bytes]:
+    """Shingles of so many words, A-Z lower-cased; a shorter text is one, a text without words none."""
+    words = text.encode().lower().split()
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False)))
+
+
+_BYTE_BITS, _LANES = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64), np.arange(8) * 256
+
+
+def _voted(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.uint64:
+    """The bits set in over half of the hashes (of their weight): occurrences of each byte value at
+    each of the eight places are counted first, then those of each bit."""
+    places = (hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel()
+    seen = np.bincount(places, None if weights is None else np.repeat(weights, 8), 2048).reshape(8, 256)
+    total = len(hashes) if weights is None else weights.sum()
+    return np.packbits((seen @ _BYTE_BITS).ravel() * 2 > total, bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,20 +58,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        tables = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
-        lanes = np.arange(8) * 256
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column(1)):
-                words = text.as_py().encode().lower().split()
-                if not words:
-                    continue
-                shingles = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)]
-                hashes = np.array([xxh64_intdigest(x, 42) for x in shingles], "<u8")
-                # Occurrences of each byte value at each of the eight places, then of each bit.
-                seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + lanes).ravel(), minlength=2048).reshape(8, 256)
-                bits = (seen @ tables).ravel() * 2 > len(hashes)
-                out[i] = np.packbits(bits, bitorder="little").view("<u8")[0]
+                shingles = _shingles(text.as_py(), shingle)
+                if shingles:
+                    out[i] = _voted(np.array([xxh64_intdigest(x, 42) for x in shingles], "<u8"))
             yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -68,22 +86,26 @@ def _signed(x: int) -> int:
 def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Of distinct fingerprints (column fp): links (a, b) that join all those within radius bits.
 
+    With a column space (int), fingerprints are compared within their space only, which links carry.
+
     Each fingerprint goes to one bucket for each covering mask; pairs are compared inside buckets
     of at most BUCKET fingerprints, which give each member's link to the smallest one that it
     reaches there. A larger bucket is parted by covering masks over the bits that its mask leaves
     open: two of its members differ in these alone, so the guarantee holds again, until the open
     bits allow no more than BUCKET different members. Nothing is dropped or capped.
     """
+    if "space" not in prints.columns:
+        return close_pairs(prints.select(F.lit(0).alias("space"), "fp"), radius).drop("space")
     level: list[tuple[str, int]] = [(str(i), m) for i, m in enumerate(covering_masks(list(range(BITS)), radius))]
-    entries = prints.select("fp", F.explode(_buckets(level)).alias("_")).select("fp", "_.*")
+    entries = prints.select("space", "fp", F.explode(_buckets(level)).alias("_")).select("space", "fp", "_.*")
     links = []
     while True:
-        sizes = entries.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        entries = checkpoint(entries.join(sizes, ["mask", "key"]))
+        sizes = entries.groupBy("space", "mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        entries = checkpoint(entries.join(sizes, ["space", "mask", "key"]))
         final = [m for m, bits in level if BITS - bits.bit_count() <= OPEN_BITS]
         is_small = (F.col("n") <= BUCKET) | F.col("mask").isin(final)
-        small = entries.filter(is_small).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        links.append(small.select("fps").mapInArrow(_linked(radius), "a long, b long"))
+        small = entries.filter(is_small).groupBy("space", "mask", "key").agg(F.collect_list("fp").alias("fps"))
+        links.append(small.select("fps", "space").mapInArrow(_linked(radius), "space int, a long, b long"))
         large = entries.filter(~is_small)
         masks = sorted(x.mask for x in large.select("mask").distinct().collect())  # at most 15 for each mask above
         if not masks:
@@ -91,7 +113,7 @@ def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
         held = dict(level)
         finer = {m: [(f"{m}.{i}", held[m] | x) for i, x in enumerate(covering_masks([p for p in range(BITS) if not held[m] >> p & 1], radius))] for m in masks}
         pairs = F.create_map(*itertools.chain.from_iterable((F.lit(m), _masks(x)) for m, x in finer.items()))
-        entries = large.select("fp", F.explode(pairs[F.col("mask")]).alias("_")).select("fp", F.col("_.mask"), F.col("fp").bitwiseAND(F.col("_.bits")).alias("key"))
+        entries = large.select("space", "fp", F.explode(pairs[F.col("mask")]).alias("_")).select("space", "fp", F.col("_.mask"), F.col("fp").bitwiseAND(F.col("_.bits")).alias("key"))
         level = [x for some in finer.values() for x in some]
 
 
@@ -106,16 +128,17 @@ def _buckets(level: list[tuple[str, int]]) -> Column:
 def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            lists = batch.column(0)
+            of, a, b = [], [], []
+            lists, spaces = batch.column(0), batch.column(1).to_numpy()
             sizes = lists.value_lengths().to_numpy()
             values, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
             pairs = ends[sizes == 2]
             x, y = values[pairs - 2], values[pairs - 1]
             near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
+            of.append(spaces[sizes == 2][near])
             a.append(x[near])
             b.append(y[near])
-            for end, n in zip(ends[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            for end, n, space in zip(ends[sizes > 2].tolist(), sizes[sizes > 2].tolist(), spaces[sizes > 2].tolist(), strict=True):
                 fps = np.sort(values[end - n : end])
                 touch = np.bitwise_count((fps[:, None] ^ fps).view(np.uint64)) <= radius
                 root = np.arange(n)
@@ -126,9 +149,10 @@ def _linked(radius: int):
                         break
                     root = low
                 moved = root != np.arange(n)
+                of.append(np.full(moved.sum(), space, np.int32))
                 a.append(fps[moved])
                 b.append(fps[root[moved]])
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (of, a, b)], ["space", "a", "b"])
 
     return run
 
@@ -148,3 +172,136 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of = known.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes, mixed to others for each k (the last steps of splitmix64)."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_fingerprints(docs: DataFrame, seeds: int = WORD_PRINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs that has an id and a word: doc_id and prints, ``seeds`` SimHashes of its words
+    (each with hashes mixed anew from their XXH64), a word weighing 1 + ln(occurrences).
+
+    A changed word changes one feature here and as many as its size in shingles, so near copies are
+    fewer bits apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            ids, out = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = Counter(_shingles(text.as_py(), 1))
+                if words:
+                    # Sums of floats depend on their order, so words are taken in a fixed one.
+                    names = sorted(words)
+                    weights = 1 + np.log([words[x] for x in names])
+                    hashes = np.array([xxh64_intdigest(x, 42) for x in names], "<u8")
+                    prints = np.array([_voted(_mixed(hashes, k), weights) for k in range(seeds)], np.uint64)
+                    ids.append(doc_id)
+                    out.append(prints.view(np.int64).tolist())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "prints"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    return rows.mapInArrow(run, "doc_id long, prints array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """Of rows (doc_id, root, text): doc_id, root, shingles (the distinct hashes, ascending, as bytes) and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [np.unique(np.array([xxh64_intdigest(x, 42) for x in _shingles(text.as_py(), shingle)], "<u8")) for text in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64())], ["doc_id", "root", "shingles", "n"])
+
+    return docs.select("doc_id", "root", text_of("text").alias("text")).mapInArrow(run, "doc_id long, root long, shingles binary, n long")
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of sets with a Jaccard similarity of so much or more that join all such pairs:
+    each set with the first one that it reaches. Shared members are counted by matrix products, a
+    bounded number of members at a time."""
+    n, sizes = len(sets), np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = times > 1
+    owner, code = owner[many[code]], (np.cumsum(many) - 1)[code[many[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    shared = np.zeros((n, n), np.float32)
+    for low in range(0, int(many.sum()), STEP):
+        a, b = np.searchsorted(code, (low, low + STEP))
+        rows, at = np.unique(owner[a:b], return_inverse=True)
+        held = np.zeros((len(rows), STEP), np.float32)
+        held[at, code[a:b] - low] = 1
+        shared[np.ix_(rows, rows)] += held @ held.T
+    touch = shared >= similarity * (sizes[:, None] + sizes - shared) - 1e-3
+    np.fill_diagonal(touch, True)
+    root = np.arange(n)
+    while True:
+        low = np.where(touch, root, n).min(axis=1)
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            return np.flatnonzero(root != np.arange(n)), root[root != np.arange(n)]
+        root = low
+
+
+def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Of rows (doc_id, root, shingles, n): links (a, b) that join all rows of the same root with a
+    similarity of so much or more.
+
+    A root's rows are dealt into blocks by hash, and each pair of blocks is compared in a task of
+    its own, so no task holds more than two blocks, however large a group is, and no pair is left
+    out. A task returns at most one link for each of its rows.
+    """
+    totals = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("rows"))
+    rows = sets.join(totals.filter("rows > 1").withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"))
+    mine = F.pmod(F.xxhash64("shingles", "doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("root", "doc_id", "shingles", mine.alias("mine"), other.alias("other"))
+    rows = rows.select("root", "doc_id", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles").combine_chunks()]
+        a, b = similar_pairs(sets, similarity)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per id of docs: doc_id and group_id, the smallest id among its near copies, itself included.
+
+    Near copies are rows that simhash_groups puts together, and rows whose sets of ``shingle`` words
+    are similar to the given degree. Candidates for the latter come from the covering search over
+    several SimHashes of the first rows of simhash_groups' groups; each group of candidates is then
+    compared by its shingles, so none is joined for its fingerprint only.
+
+    Null texts and texts without words are alike; null ids keep a row that is in a group of its own
+    unless simhash_groups knows better; rows that share an id share a group; an empty table gives no
+    rows; other columns are not read.
+    """
+    groups = checkpoint(simhash_groups(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.min("component_id").alias("group_id")))
+    first = groups.filter("doc_id = group_id").select(F.col("doc_id").alias("_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = checkpoint(word_fingerprints(rows.join(first, rows.doc_id == first._id)))
+    of = prints.select("doc_id", F.posexplode("prints").alias("space", "fp"))
+    classes = checkpoint(of.groupBy("space", "fp").agg(F.min("doc_id").alias("least")))
+    equal = of.join(classes, ["space", "fp"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    links = close_pairs(classes.select("space", "fp"), WORD_RADIUS)
+    for end in ("a", "b"):
+        links = links.join(classes.select("space", F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), ["space", end])
+    edges = equal.union(links.select("least_a", "least_b"))
+    parts = connected_components(edges)
+    parts = parts.union(parts.select("root", "root").distinct())
+    sets = checkpoint(shingle_sets(rows.join(parts, rows.doc_id == parts.node).select("doc_id", "root", "text"), shingle))
+    found = connected_components(verified_links(sets, similarity))
+    return groups.join(found, groups.group_id == found.node, "left").select("doc_id", F.coalesce("root", "group_id").alias("group_id"))

@@ -217,6 +217,57 @@ def test_simhash_groups(docs):
     same(simhash_dedup.simhash_groups(docs).select("doc_id", "fingerprint", "component_id").collect(), components_by_hand(prints))
 
 
+def near_by_hand(rows, similarity=0.8):
+    """Groups of (id, text): operator 5's, joined where five-word shingle sets of first rows are alike."""
+    group = {}
+    for d, _, c in components_by_hand([(d, fingerprint(x)) for d, x in rows]):
+        group[d] = c if d not in group or c is None else min(c, group[d])
+    sets = []
+    for d, x in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), x).encode().split()
+        if words and d is not None and group[d] == d:
+            sets.append((d, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}))
+    pairs = {(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if len(x & y) >= similarity * len(x | y)}
+    low = {d: d for d, _ in sets}
+    while (now := {d: min([low[d]] + [low[b if a == d else a] for a, b in pairs if d in (a, b)]) for d in low}) != low:
+        low = now
+    return {d: low.get(c, c) for d, c in group.items()}, pairs
+
+
+def test_near_copies(docs):
+    rows = [(d, x) for d, x, *_ in rows_of(docs)]
+    got = simhash_dedup.near_copies(docs).collect()
+    assert len(got) == len({d for d, _ in rows})
+    assert {r.doc_id: r.group_id for r in got} == near_by_hand(rows)[0]
+
+
+@pytest.mark.parametrize("block", [simhash_dedup.BLOCK_ROWS, 7])
+def test_verified_links_in_blocks(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.integers(0, 200, rng.integers(0, 8)):
+            words[k] = f"x{rng.integers(0, 50)}"
+        texts.append((i, 1 if i % 3 else 2, " ".join(words)))
+    Q.documents(spark, sf_dir)
+    links = simhash_dedup.verified_links(simhash_dedup.shingle_sets(spark.createDataFrame(texts, "doc_id long, root long, text string")), 0.8)
+    low = {r.node: r.root for r in simhash_dedup.connected_components(links).collect()}
+    expected = {}
+    for root in (1, 2):
+        some = [(d, x) for d, r, x in texts if r == root]
+        sets = {d: {tuple(x.split()[i : i + 5]) for i in range(196)} for d, x in some}
+        of = {d: d for d in sets}
+        for _ in sets:
+            for a, b in itertools.combinations(sets, 2):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    of[a] = of[b] = min(of[a], of[b])
+        expected |= of
+    assert {d: low.get(d, d) for d in expected} == expected
+
+
 def test_covering_masks_cover():
     for places, radius in ((list(range(64)), 3), ([1, 5, 9, 33, 63], 3), (list(range(20)), 2)):
         masks = simhash_dedup.covering_masks(places, radius)

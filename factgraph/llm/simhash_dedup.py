@@ -97,6 +97,8 @@ def close_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
     if "space" not in prints.columns:
         return close_pairs(prints.select(F.lit(0).alias("space"), "fp"), radius).drop("space")
     level: list[tuple[str, int]] = [(str(i), m) for i, m in enumerate(covering_masks(list(range(BITS)), radius))]
+    # One row becomes many, so rows are first spread over all tasks (AQE may have left them in few).
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "space", "fp")
     entries = prints.select("space", "fp", F.explode(_buckets(level)).alias("_")).select("space", "fp", "_.*")
     links = []
     while True:

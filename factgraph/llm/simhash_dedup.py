@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import checkpoint, text_of
+from factgraph.llm.common import checkpoint, small_batches, text_of
 from factgraph.llm.components import connected_components
 
 BITS = 64
 #: Fingerprints of a bucket that are compared at once; larger buckets are parted by further masks,
 #: until so few bits are open that a bucket has 2 ** OPEN_BITS different members at most.
 BUCKET, OPEN_BITS = 512, 9
-#: Fingerprints of the candidate search before a comparison of shingles; its radius.
-WORD_PRINTS, WORD_RADIUS = 8, 3
+#: Characters of texts for each part of the count of shared shingles; words whose hashes a worker holds.
+PART_CHARS, WORDS_HELD = 8_000_000, 500_000
 #: Rows and shingles of a block of rows whose shingles are compared at once (about; blocks are dealt
 #: by hash); shingles that a step of the comparison takes.
 BLOCK_ROWS, BLOCK_SHINGLES, STEP = 512, 1_000_000, 4096
@@ -37,13 +36,12 @@ def _shingles(text: str, size: int) -> list[bytes]:
 _BYTE_BITS, _LANES = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64), np.arange(8) * 256
 
 
-def _voted(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.uint64:
-    """The bits set in over half of the hashes (of their weight): occurrences of each byte value at
-    each of the eight places are counted first, then those of each bit."""
+def _voted(hashes: np.ndarray) -> np.uint64:
+    """The bits set in over half of the hashes: occurrences of each byte value at each of the eight
+    places are counted first, then those of each bit."""
     places = (hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel()
-    seen = np.bincount(places, None if weights is None else np.repeat(weights, 8), 2048).reshape(8, 256)
-    total = len(hashes) if weights is None else weights.sum()
-    return np.packbits((seen @ _BYTE_BITS).ravel() * 2 > total, bitorder="little").view("<u8")[0]
+    seen = np.bincount(places, None, 2048).reshape(8, 256)
+    return np.packbits((seen @ _BYTE_BITS).ravel() * 2 > len(hashes), bitorder="little").view("<u8")[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,51 +174,136 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hashes, mixed to others for each k (the last steps of splitmix64)."""
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The hashes, mixed (the last steps of splitmix64)."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
 
 
-def word_fingerprints(docs: DataFrame, seeds: int = WORD_PRINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs that has an id and a word: doc_id and prints, ``seeds`` SimHashes of its words
-    (each with hashes mixed anew from their XXH64), a word weighing 1 + ln(occurrences).
+class _WordHashes(dict):
+    """XXH64 of words, kept between texts in bounded number."""
 
-    A changed word changes one feature here and as many as its size in shingles, so near copies are
-    fewer bits apart.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        self[word] = value = xxh64_intdigest(word, 42)
+        return value
+
+
+_words = _WordHashes()
+
+
+def _set_of(text: str, size: int) -> np.ndarray:
+    """Hashes of the text's distinct shingles (those of _shingles), ascending: sums of the hashes of
+    their words, each times the odd factor of its place."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    some = min(size, len(words))
+    total = np.full(len(words) - some + 1, some, np.uint64)
+    for k in range(some):
+        total += hashes[k : len(words) - some + 1 + k] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return np.unique(_mixed(total))
+
+
+def shared_shingles(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """Of rows (doc_id, text): doc_id, n (distinct shingles) and shared, how many of them stand in
+    other rows too, for rows that have a word; ids that repeat are summed up, with their least n.
+
+    Hashes are dealt into parts by value, and every part counts its own, so a text is never held
+    with the whole of another one; within a part 32 bits are compared, so shared is never too low.
+    Parts are as many as the shuffle's partitions, or one for each PART_CHARS characters if more.
+    """
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2048):
+            sets = [_set_of(text.as_py(), shingle) for text in batch.column(1)]
+            sizes = np.array(list(map(len, sets)), np.int64)
+            ids = batch.column(0).to_numpy()
+            hashes, owner = np.concatenate(sets), np.repeat(ids, sizes)
+            part = (hashes >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            hashes, owner, part = hashes[order].astype(np.uint32), owner[order], part[order].astype(np.int32)
+            kinds, at = np.unique(part, return_index=True)
+            ends = [*at[1:].tolist(), len(part)][: len(at)]
+            blobs = [(p, owner[a:b].tobytes(), hashes[a:b].tobytes(), None) for p, a, b in zip(kinds.tolist(), at.tolist(), ends, strict=True)]
+            # The rows' sizes go along, each batch's to one part.
+            held = sizes > 0
+            if held.any():
+                blobs.append((int(part[0]), ids[held].tobytes(), None, sizes[held].tobytes()))
+            columns = list(zip(*blobs, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], ["part", "ids", "hashes", "sizes"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners = [], []
         for batch in batches:
-            ids, out = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = Counter(_shingles(text.as_py(), 1))
-                if words:
-                    # Sums of floats depend on their order, so words are taken in a fixed one.
-                    names = sorted(words)
-                    weights = 1 + np.log([words[x] for x in names])
-                    hashes = np.array([xxh64_intdigest(x, 42) for x in names], "<u8")
-                    prints = np.array([_voted(_mixed(hashes, k), weights) for k in range(seeds)], np.uint64)
-                    ids.append(doc_id)
-                    out.append(prints.view(np.int64).tolist())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "prints"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, prints array<long>")
+            for part, ids, hashes, sizes in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                if sizes is None:
+                    keys.append(np.frombuffer(hashes, np.uint32).astype(np.uint64) | np.uint64(part << 32))
+                    owners.append(ids)
+                else:
+                    yield pa.record_batch([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.frombuffer(sizes, np.int64))], ["doc_id", "shared", "n"])
+        if keys:
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(key)
+            key, owner = key[order], owner[order]
+            same = key[1:] == key[:-1]
+            again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            ids, shared = np.unique(owner[again], return_counts=True)
+            yield pa.record_batch([pa.array(ids), pa.array(shared), pa.nulls(len(ids), pa.int64())], ["doc_id", "shared", "n"])
+
+    rows = docs.select("doc_id", text_of("text").alias("text")).filter("doc_id IS NOT NULL")
+    dealt = rows.mapInArrow(deal, "part int, ids binary, hashes binary, sizes binary").repartition(parts, "part")
+    counted = dealt.mapInArrow(count, "doc_id long, shared long, n long")
+    return counted.groupBy("doc_id").agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"), F.min("n").alias("n"))
+
+
+def candidate_edges(sets: DataFrame, similarity: float) -> DataFrame:
+    """Of rows (doc_id, shingles, n) with distinct sets: edges (a, b) whose components hold together
+    all rows with a similarity of so much or more.
+
+    A prefix filter: of two such rows, each shares at least similarity * n of its shingles with the
+    other, so with shingles in one order for all rows (rare ones first) they share one of the first
+    n - ceil(similarity * n) + 1 of each. Those that stand in one row alone take places, but no
+    partner. Rows of one shingle and like size (in powers of the similarity; partners are in the
+    same class or the next) are tied to the smallest id, so edges grow with the shingles only.
+    """
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            sizes = batch.column(2).to_numpy()
+            hashes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            for low in range(0, len(hashes), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)[part]), pa.array(np.repeat(sizes, sizes)[part]), pa.array(hashes[part])], ["doc_id", "n", "h"])
+
+    tokens = sets.select("doc_id", "shingles", "n").mapInArrow(unpacked, "doc_id long, n long, h long")
+    times = tokens.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
+    first = F.size("held") - F.ceil(F.col("n") * similarity - 1e-6) + 1
+    held = tokens.join(times, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("held"))
+    prefixes = held.withColumn("first", first.cast("int")).filter("first > 0")
+    size_class = F.floor(F.log("n") / -np.log(similarity)).cast("int").alias("size_class")
+    prefixes = checkpoint(prefixes.select("doc_id", size_class, F.explode(F.slice("held", 1, F.col("first"))).alias("_")).select("doc_id", "size_class", F.col("_.h").alias("h")))
+    least = prefixes.groupBy("h", "size_class").agg(F.min("doc_id").alias("b"))
+    own = prefixes.join(least, ["h", "size_class"]).select(F.col("doc_id").alias("a"), "b")
+    up = least.select("h", (F.col("size_class") + 1).alias("size_class"), F.col("b").alias("a"))
+    return own.union(up.join(least, ["h", "size_class"]).select("a", "b")).filter("a <> b")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Of rows (doc_id, root, text): doc_id, root, shingles (the distinct hashes, ascending, as bytes) and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            sets = [np.unique(np.array([xxh64_intdigest(x, 42) for x in _shingles(text.as_py(), shingle)], "<u8")) for text in batch.column(2)]
+            sets = [_set_of(text.as_py(), shingle) for text in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64())], ["doc_id", "root", "shingles", "n"])
 
     return docs.select("doc_id", "root", text_of("text").alias("text")).mapInArrow(run, "doc_id long, root long, shingles binary, n long")
@@ -282,10 +365,10 @@ def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per id of docs: doc_id and group_id, the smallest id among its near copies, itself included.
 
-    Near copies are rows that simhash_groups puts together, and rows whose sets of ``shingle`` words
-    are similar to the given degree. Candidates for the latter come from the covering search over
-    several SimHashes of the first rows of simhash_groups' groups; each group of candidates is then
-    compared by its shingles, so none is joined for its fingerprint only.
+    Near copies are rows that simhash_groups puts together, and first rows of its groups whose sets
+    of ``shingle`` words are similar to the given degree. A row can be similar to another one only
+    if that share of its shingles stands in other rows; of these rows a prefix filter gives
+    candidates, none of which is left out, and each group of candidates is compared by its shingles.
 
     Null texts and texts without words are alike; null ids keep a row that is in a group of its own
     unless simhash_groups knows better; rows that share an id share a group; an empty table gives no
@@ -294,16 +377,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     groups = checkpoint(simhash_groups(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.min("component_id").alias("group_id")))
     first = groups.filter("doc_id = group_id").select(F.col("doc_id").alias("_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = checkpoint(word_fingerprints(rows.join(first, rows.doc_id == first._id)))
-    of = prints.select("doc_id", F.posexplode("prints").alias("space", "fp"))
-    classes = checkpoint(of.groupBy("space", "fp").agg(F.min("doc_id").alias("least")))
-    equal = of.join(classes, ["space", "fp"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).filter("a <> b")
-    links = close_pairs(classes.select("space", "fp"), WORD_RADIUS)
-    for end in ("a", "b"):
-        links = links.join(classes.select("space", F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), ["space", end])
-    edges = equal.union(links.select("least_a", "least_b"))
-    parts = connected_components(edges)
+    rows = rows.join(first, rows.doc_id == first._id).select("doc_id", "text")
+    able = shared_shingles(rows, shingle).filter(F.col("shared") >= F.col("n") * similarity - 1e-6).select(F.col("doc_id").alias("_id"))
+    rows = rows.join(able, rows.doc_id == able._id).select("doc_id", F.lit(None).cast("long").alias("root"), "text")
+    every = checkpoint(shingle_sets(rows, shingle).drop("root"))
+    sets = every.groupBy(F.md5("shingles").alias("set")).agg(F.min("doc_id").alias("least"))
+    equal = every.join(sets, F.md5("shingles") == F.col("set")).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    sets = every.join(sets, (F.md5("shingles") == F.col("set")) & (F.col("doc_id") == F.col("least"))).dropDuplicates(["set"]).select("doc_id", "shingles", "n")
+    parts = connected_components(candidate_edges(sets, similarity))
     parts = parts.union(parts.select("root", "root").distinct())
-    sets = checkpoint(shingle_sets(rows.join(parts, rows.doc_id == parts.node).select("doc_id", "root", "text"), shingle))
-    found = connected_components(verified_links(sets, similarity))
+    found = sets.join(parts, sets.doc_id == parts.node).select("doc_id", "root", "shingles", "n")
+    found = connected_components(verified_links(checkpoint(found), similarity).union(equal))
     return groups.join(found, groups.group_id == found.node, "left").select("doc_id", F.coalesce("root", "group_id").alias("group_id"))

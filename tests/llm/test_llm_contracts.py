@@ -403,3 +403,22 @@ def test_piece_digests(docs):
     want = [(d, len(i := sp.encode(x)), sha(",".join(map(str, i))), sha(sp.decode(i))) for d, x, *_ in rows_of(docs)]
     same(sentencepiece_codec.piece_digests(docs, public_tokenizers.path(Q.PIECES)).collect(), want)
     same([(r.doc_id, tuple(r.piece_ids), r.piece_text) for r in sentencepiece_codec.piece_ids(docs, public_tokenizers.path(Q.PIECES)).collect()], [(d, tuple(i := sp.encode(x)), sp.decode(i)) for d, x, *_ in rows_of(docs)])
+
+
+def test_near_copies_far_in_bits(spark, sf_dir):
+    Q.documents(spark, sf_dir)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(12):
+        words = [f"w{i}x{k}" for k in rng.permutation(400)]
+        more = [f"n{i}x{k}" for k in range(100)]
+        at = int(rng.integers(5, 350))
+        copies = (words + more[:98], words[: 322 + i % 2], words[:at] + more[:40] + words[at + 40 :], words[:at] + more[:90] + words[at:])
+        rows += [(10 * i + k, " ".join(x)) for k, x in enumerate((words, *copies))]
+        rows.append((10 * i + 7, " ".join(words[:250] + more)))
+        rows.append((10 * i + 8, "a line that many of these texts have in common " * 3 + " ".join(words[:9])))
+    rows += [(900 + k, f"a line that many of these texts have in common and {k} more words") for k in range(20)]
+    got = simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    groups, pairs = near_by_hand(rows)
+    assert len(pairs) > 12 * 4
+    assert {r.doc_id: r.group_id for r in got.collect()} == groups

@@ -18,8 +18,10 @@ BITS = 64
 #: Fingerprints of a bucket that are compared at once; larger buckets are parted by further masks,
 #: until so few bits are open that a bucket has 2 ** OPEN_BITS different members at most.
 BUCKET, OPEN_BITS = 512, 9
-#: Characters of texts for each part of the count of shared shingles; words whose hashes a worker holds.
-PART_CHARS, WORDS_HELD = 8_000_000, 500_000
+#: Characters of texts for each part of the count of shared shingles; words whose hashes a task holds;
+#: ids of rows to be compared that are broadcast (more are shuffled, with the texts).
+PART_CHARS, WORDS_HELD = 8_000_000, 50_000
+ABLE_BROADCAST = 500_000
 #: Rows and shingles of a block of rows whose shingles are compared at once (about; blocks are dealt
 #: by hash); shingles that a step of the comparison takes.
 BLOCK_ROWS, BLOCK_SHINGLES, STEP = 512, 1_000_000, 4096
@@ -193,16 +195,13 @@ class _WordHashes(dict):
         return value
 
 
-_words = _WordHashes()
-
-
-def _set_of(text: str, size: int) -> np.ndarray:
+def _set_of(text: str, size: int, known: _WordHashes) -> np.ndarray:
     """Hashes of the text's distinct shingles (those of _shingles), ascending: sums of the hashes of
     their words, each times the odd factor of its place."""
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     some = min(size, len(words))
     total = np.full(len(words) - some + 1, some, np.uint64)
     for k in range(some):
@@ -223,8 +222,9 @@ def shared_shingles(docs: DataFrame, shingle: int = 5) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2048):
-            sets = [_set_of(text.as_py(), shingle) for text in batch.column(1)]
+        known = _WordHashes()
+        for batch in small_batches(batches, 1024):
+            sets = [_set_of(text.as_py(), shingle, known) for text in batch.column(1)]
             sizes = np.array(list(map(len, sets)), np.int64)
             ids = batch.column(0).to_numpy()
             hashes, owner = np.concatenate(sets), np.repeat(ids, sizes)
@@ -302,8 +302,9 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Of rows (doc_id, root, text): doc_id, root, shingles (the distinct hashes, ascending, as bytes) and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_set_of(text.as_py(), shingle) for text in batch.column(2)]
+        known = _WordHashes()
+        for batch in small_batches(batches):
+            sets = [_set_of(text.as_py(), shingle, known) for text in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64())], ["doc_id", "root", "shingles", "n"])
 
     return docs.select("doc_id", "root", text_of("text").alias("text")).mapInArrow(run, "doc_id long, root long, shingles binary, n long")
@@ -365,27 +366,30 @@ def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per id of docs: doc_id and group_id, the smallest id among its near copies, itself included.
 
-    Near copies are rows that simhash_groups puts together, and first rows of its groups whose sets
-    of ``shingle`` words are similar to the given degree. A row can be similar to another one only
-    if that share of its shingles stands in other rows; of these rows a prefix filter gives
-    candidates, none of which is left out, and each group of candidates is compared by its shingles.
+    Near copies are rows that simhash_groups puts together, and rows whose sets of ``shingle`` words
+    are similar to the given degree; links of both kinds are followed together. A row can be similar
+    to another one only if that share of its shingles stands in other rows; of these rows a prefix
+    filter gives candidates, none of which is left out, and each group of candidates is compared by
+    its shingles, unless simhash_groups has put all of it together already.
 
-    Null texts and texts without words are alike; null ids keep a row that is in a group of its own
-    unless simhash_groups knows better; rows that share an id share a group; an empty table gives no
-    rows; other columns are not read.
+    Null texts and texts without words are alike; null ids are not compared by shingles; rows that
+    share an id share a group; an empty table gives no rows; other columns are not read.
     """
-    groups = checkpoint(simhash_groups(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.min("component_id").alias("group_id")))
-    first = groups.filter("doc_id = group_id").select(F.col("doc_id").alias("_id"))
+    linked = checkpoint(simhash_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", "component_id"))
+    groups = linked.groupBy("doc_id").agg(F.min("component_id").alias("group_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(first, rows.doc_id == first._id).select("doc_id", "text")
-    able = shared_shingles(rows, shingle).filter(F.col("shared") >= F.col("n") * similarity - 1e-6).select(F.col("doc_id").alias("_id"))
-    rows = rows.join(able, rows.doc_id == able._id).select("doc_id", F.lit(None).cast("long").alias("root"), "text")
+    able = checkpoint(shared_shingles(rows, shingle).filter(F.col("shared") >= F.col("n") * similarity - 1e-6).select(F.col("doc_id").alias("_id")))
+    able = F.broadcast(able) if able.count() <= ABLE_BROADCAST else able
+    rows = rows.join(able, F.col("doc_id") == F.col("_id")).select("doc_id", F.lit(None).cast("long").alias("root"), "text")
     every = checkpoint(shingle_sets(rows, shingle).drop("root"))
     sets = every.groupBy(F.md5("shingles").alias("set")).agg(F.min("doc_id").alias("least"))
     equal = every.join(sets, F.md5("shingles") == F.col("set")).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     sets = every.join(sets, (F.md5("shingles") == F.col("set")) & (F.col("doc_id") == F.col("least"))).dropDuplicates(["set"]).select("doc_id", "shingles", "n")
     parts = connected_components(candidate_edges(sets, similarity))
     parts = parts.union(parts.select("root", "root").distinct())
-    found = sets.join(parts, sets.doc_id == parts.node).select("doc_id", "root", "shingles", "n")
-    found = connected_components(verified_links(checkpoint(found), similarity).union(equal))
+    parts = parts.join(groups, parts.node == groups.doc_id).select("node", "root", "group_id")
+    apart = parts.groupBy("root").agg(F.min("group_id").alias("least"), F.max("group_id").alias("most")).filter("least < most").select("root")
+    parts = parts.join(apart, "root").select("node", "root")
+    found = checkpoint(sets.join(parts, sets.doc_id == parts.node).select("doc_id", "root", "shingles", "n"))
+    found = connected_components(verified_links(found, similarity).union(equal).union(linked))
     return groups.join(found, groups.group_id == found.node, "left").select("doc_id", F.coalesce("root", "group_id").alias("group_id"))

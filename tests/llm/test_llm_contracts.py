@@ -422,3 +422,39 @@ def test_near_copies_far_in_bits(spark, sf_dir):
     groups, pairs = near_by_hand(rows)
     assert len(pairs) > 12 * 4
     assert {r.doc_id: r.group_id for r in got.collect()} == groups
+
+
+def all_near_by_hand(rows, similarity=0.8):
+    """Smallest id per group of (id, text): links of operator 5 and of all five-word shingle sets together."""
+    prints = [fingerprint(x) for _, x in rows]
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), x).encode().split() for _, x in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    of = list(range(len(rows)))
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3 or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])):
+            of[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(d, least.get(top(i), d))
+    return {d: least[top(i)] for i, (d, _) in enumerate(rows)}
+
+
+def test_near_copies_of_later_rows(spark, sf_dir):
+    Q.documents(spark, sf_dir)
+    rows = []
+    for i in range(6):
+        # First and later row are within 3 bits for their repeats, the third text is like the later one only.
+        often = " ".join([f"p{i} q{i} r{i} s{i} t{i} u{i} v{i} w{i} x{i}"] * 60)
+        words = [f"w{i}x{k}" for k in range(300)]
+        later = words[:250] + [f"n{i}x{j}" for j in range(50)]
+        rows += [(10 * i, " ".join([often, *words])), (10 * i + 1, " ".join([often, *later])), (10 * i + 2, " ".join(later[20:]))]
+    expected = all_near_by_hand(rows)
+    assert expected != near_by_hand(rows)[0]
+    got = simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: r.group_id for r in got.collect()} == expected

@@ -18,7 +18,7 @@ IGNORED = r"[\x20\x09-\x0D]+"
 SPLITTER_CHARS = 32
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space (U+0009 to U+000D and space). Rows are
@@ -30,15 +30,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts count as empty and are equal to blank ones; a null id sorts after all others, so
     keep_id is null only where no row of the group has an id. Of wholly equal rows exactly one is
-    kept. An empty table gives no rows; other columns are not read.
+    kept. An empty table gives no rows; other columns are not read, but with ``row_col``, a number of
+    its own for each row, this is the last column of ties and comes out as column row.
     """
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(text, IGNORED, "").alias("norm"), F.length(text).alias("chars"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(text, IGNORED, "").alias("norm"), F.length(text).alias("chars"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
     rows = rows.withColumn("sha", F.sha2("norm", 256))
-    order = [F.substring("norm", 1, SPLITTER_CHARS), F.col("sha"), F.desc("chars"), F.asc_nulls_last("doc_id")]
+    order = [F.substring("norm", 1, SPLITTER_CHARS), F.col("sha"), F.desc("chars"), F.asc_nulls_last("doc_id"), *([F.col("row")] if row_col else [])]
     within = [*order[:2], F.col("norm"), *order[2:]]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*within)
-    runs = checkpoint(rows.select("doc_id", "sha", "norm", "chars").mapInArrow(_runs, "part int, doc_id long, sha string, head_id long, head_chars int, size long, head boolean, edge boolean"))
+    runs = checkpoint(rows.select("doc_id", F.col("row") if row_col else F.lit(None).cast("long").alias("row"), "sha", "norm", "chars").mapInArrow(_runs, "part int, doc_id long, row long, sha string, head_id long, head_chars int, size long, head boolean, edge boolean"))
     # At most two groups of each partition are at its edge.
     best = F.min(F.struct(-F.col("head_chars"), F.col("head_id").isNull(), F.col("head_id").alias("id")))
     edges = runs.filter("edge").groupBy("sha").agg(F.count("*").alias("all"), best.alias("best"), F.min("part").alias("first")).withColumnRenamed("sha", "_sha")
@@ -46,7 +47,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inner = F.col("all").isNull()
     return found.select(
         "doc_id", F.when(inner, F.col("head_id")).otherwise(F.col("best.id")).alias("keep_id"), F.coalesce("all", "size").alias("group_size"),
-        (F.col("head") & (inner | (F.col("part") == F.col("first")))).alias("kept"), F.col("sha").alias("text_sha256"),
+        (F.col("head") & (inner | (F.col("part") == F.col("first")))).alias("kept"), F.col("sha").alias("text_sha256"), *(["row"] if row_col else []),
     )
 
 
@@ -55,19 +56,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, first = TaskContext.get().partitionId(), True
-    held: list[pa.Array] = []
+    held: list[tuple[pa.Array, pa.Array]] = []
     norm = sha = chars = None
 
     def close(edge: bool) -> list[pa.Array]:
-        ids = pa.concat_arrays(held)
+        ids, rows = (pa.concat_arrays(x) for x in zip(*held, strict=True))
         n = len(ids)
         is_head = np.zeros(n, bool)
         is_head[0] = True
         each = [pa.scalar(sha, pa.string()), ids[0], pa.scalar(chars, pa.int32()), pa.scalar(n, pa.int64())]
-        return [pa.array(np.full(n, part, np.int32)), ids, *[pa.repeat(x, n) for x in each], pa.array(is_head), pa.array(np.full(n, edge))]
+        return [pa.array(np.full(n, part, np.int32)), ids, rows, *[pa.repeat(x, n) for x in each], pa.array(is_head), pa.array(np.full(n, edge))]
 
     for batch in batches:
-        ids, shas, norms, sizes = batch.columns
+        ids, rows, shas, norms, sizes = batch.columns
         if not batch.num_rows:
             continue
         fresh = np.ones(batch.num_rows, bool)
@@ -75,13 +76,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = pc.not_equal(norms[1:], norms[:-1]).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(fresh).tolist()
         if starts[:1] != [0]:
-            held.append(ids[: starts[0] if starts else batch.num_rows])
+            end = starts[0] if starts else batch.num_rows
+            held.append((ids[:end], rows[:end]))
         out = []
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             if held:
                 out.append(close(first))
                 first = False
-            held = [ids[a:b]]
+            held = [(ids[a:b], rows[a:b])]
             sha, chars = shas[a].as_py(), sizes[a].as_py()
         norm = norms[batch.num_rows - 1].as_py()
         if out:
@@ -91,4 +93,4 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(parts: list[list[pa.Array]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.concat_arrays(x) for x in zip(*parts, strict=True)], ["part", "doc_id", "sha", "head_id", "head_chars", "size", "head", "edge"])
+    return pa.record_batch([pa.concat_arrays(x) for x in zip(*parts, strict=True)], ["part", "doc_id", "row", "sha", "head_id", "head_chars", "size", "head", "edge"])

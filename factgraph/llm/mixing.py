@@ -59,7 +59,7 @@ def _running(rows: DataFrame, groups: list[str], at: Column, ties: list[Column],
     return rows.withColumn(out, F.sum(value).over(inside) - F.col(value) + F.col("_before")).drop("_bin", "_b", "_before", *[f"_{g}" for g in groups])
 
 
-def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken.
 
     size is the number of words. Documents of a source are queued in an order given by a hash of
@@ -72,16 +72,20 @@ def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts have size 0; null sources are one source, the last; null and repeated ids keep their
     rows (rows alike in id, source and size may swap places, with the same result); documents of
-    size 0 are never taken; an empty table gives no rows; other columns are not read.
+    size 0 are never taken; an empty table gives no rows; other columns are not read, but with
+    ``row_col``, a number of its own for each row, this parts rows that are alike and comes out as
+    column row.
     """
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *([F.col(row_col).cast("long").alias("_row")] if row_col else []))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = checkpoint(rows.withColumn("key", key)).withColumn("_row", F.monotonically_increasing_id())
+    rows = checkpoint(rows.withColumn("key", key))
+    if not row_col:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
     targets = source_targets(rows).withColumnRenamed("source", "_source")
     rows = rows.join(targets, rows.source.eqNullSafe(targets._source), "left").drop("_source")
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    ties = [F.col("key"), F.asc_nulls_last("doc_id"), F.col("size")]
+    ties = [F.col("key"), F.asc_nulls_last("doc_id"), F.col("size"), *([F.col("_row")] if row_col else [])]
     rows = checkpoint(_running(rows, ["source"], at, ties, "size", "before", "rows"))
     start = F.col("before") + F.col("pass") * F.col("source_size")
     items = rows.withColumn("pass", F.explode(F.array(*map(F.lit, range(PASSES))))).withColumn("start", start)
@@ -97,4 +101,5 @@ def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = rows.select(*same, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("mixed"))
     both = items.select(*same, "taken", "mixed").unionByName(none)
     # The target is the same on all rows of a source, so it may be part of the key.
-    return both.groupBy(*same).agg(F.sum("taken").alias("taken"), F.min("mixed").alias("mix_start")).drop("_row")
+    taken = both.groupBy(*same).agg(F.sum("taken").alias("taken"), F.min("mixed").alias("mix_start"))
+    return taken.select(*[c for c in taken.columns if c != "_row"], *([F.col("_row").alias("row")] if row_col else []))

@@ -22,6 +22,9 @@ GRAMS, BUCKETS = 4, 1 << 14
 #: Training rows of each language (about so many are chosen by hash, all if fewer), landmarks of
 #: each language, ridge penalty, texts in a batch.
 ROWS, LANDMARKS, RIDGE, BATCH = 400, 32, 0.01, 64
+#: Bounds for all languages together, whatever label values there are: rows (8 KB each on the
+#: driver), landmarks (256 KB each), and languages learned (the most frequent ones; 256 KB each).
+ALL_ROWS, ALL_LANDMARKS, LANGUAGES = 6000, 512, 200
 UNKNOWN = "und"
 
 
@@ -57,8 +60,8 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-        """packed: presence rows as bits. The first rows of each class are its landmarks; the other
-        rows are unpacked a batch at a time."""
+        """packed: presence rows as bits. The first rows of each class are its landmarks (fewer each
+        where there would be over ALL_LANDMARKS); the other rows are unpacked a batch at a time."""
         classes = sorted(set(labels))
         if not classes:
             return cls([], np.zeros((GRAMS * BUCKETS, 0), np.float32))
@@ -66,7 +69,7 @@ class LanguageModel:
         def rows(places) -> np.ndarray:
             return _unit(np.array([np.unpackbits(np.frombuffer(packed[i], np.uint8)) for i in places]))
 
-        which = np.array(labels)
+        which, landmarks = np.array(labels), max(1, min(landmarks, ALL_LANDMARKS // len(classes)))
         marks = rows(np.concatenate([np.flatnonzero(which == c)[:landmarks] for c in classes]))
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         good = values > 1e-6 * values[-1]
@@ -105,25 +108,29 @@ def fold(id_col: Column) -> Column:
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = ROWS) -> LanguageModel:
     """Learns from documents outside the held-out fold that have a label, an id and a text.
 
-    About ``rows`` documents of each language are chosen by a hash of their id (a documented bound
-    of the sample); their n-gram presence is found on the executors and packed into bits, which is
-    all that comes to the driver.
+    About ``rows`` documents of each language are chosen by a hash of id and text (a documented
+    bound of the sample; fewer each where all would be over ALL_ROWS, and the most frequent
+    LANGUAGES label values only). Their n-gram presence is found on the executors and packed into
+    bits, which is all that comes to the driver; equal rows count once.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
     known = known.filter((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {x.lang: x.n for x in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.md5(F.concat(F.lit("lang:"), F.col("id").cast("string"), F.lit(":"), F.md5("text")))
+    known = known.withColumn("key", key)
+    sizes = {x.lang: x.n for x in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return LanguageModel.fit([], [])
-    at = F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = min(rows, ALL_ROWS // len(sizes))
+    at = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
     limits = F.create_map(*[F.lit(y) for lang, n in sizes.items() for y in (lang, rows / n)])
-    sample = known.filter(at < limits[F.col("lang")]).select(F.col("id").cast("string").alias("id"), "lang", "text")
+    sample = known.filter(at < limits[F.col("lang")]).select("key", "lang", "text").dropDuplicates(["key", "lang"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [np.packbits(presence_matrix([x.as_py()])[0]).tobytes() for x in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["id", "lang", "bits"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["key", "lang", "bits"])
 
-    found = sorted(sample.mapInArrow(packed, "id string, lang string, bits binary").collect(), key=lambda x: (x.lang, x.id, x.bits))
+    found = sorted(sample.mapInArrow(packed, "key string, lang string, bits binary").collect(), key=lambda x: (x.lang, x.key, x.bits))
     return LanguageModel.fit([bytes(r.bits) for r in found], [r.lang for r in found])
 
 

@@ -1,4 +1,5 @@
-"""Personal data by patterns, and terms that give it away by their co-occurrence in the corpus.
+"""Personal data by patterns, terms that give it away by their co-occurrence in the corpus, and
+texts without either.
 
 DataFrame operations only.
 """
@@ -25,31 +26,30 @@ PATTERNS = {
 }
 TERM = "term"
 KINDS = [*PATTERNS, TERM]
-#: Characters on either side of a match whose terms co-occur with it; letters of a term at least;
-#: distinct texts that must show a term beside an entity; share of an entity's information content
-#: that a term may give away at most.
-CONTEXT, LETTERS, SUPPORT, DISCLOSED = 120, 3, 3, 0.95
-#: Letters of a term at most, and terms that may be broadcast (so some 20 MB at most); more are
+#: Letters of a term at least; distinct texts, and distinct neighbours of the term in them, that must
+#: show it with an entity; share of the entity's information content, and bits of it, that a term
+#: may give away at most.
+LETTERS, SUPPORT, DISCLOSED, BITS = 3, 3, 0.95, 5.0
+#: Terms, and their characters, or texts that may be broadcast (so some 20 MB at most); more are
 #: joined by a shuffle.
-MOST_LETTERS, BROADCAST_TERMS = 64, 200_000
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 5_000_000
 _NOT_LETTERS = r"[^\p{L}]+"
 
 
-def _hits(text: Column, pattern: Column, kind: str) -> Column:
-    """Array of (kind, gap, value, head, tail): the characters before each match of the pattern, the
-    match (null for the last gap), and the gap's first and last characters."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
-    return F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["gap"]).alias("gap"), x["value"].alias("value"), F.left(x["gap"], F.lit(CONTEXT)).alias("head"), F.right(x["gap"], F.lit(CONTEXT)).alias("tail")))
+def _hits(text: Column, pattern: str, kind: str) -> Column:
+    """Array of (kind, gap, value): the characters before each match of the pattern, and the match
+    (null for the last gap)."""
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    return F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["gap"]).alias("gap"), x["value"].alias("value")))
 
 
 def _placed(hits: DataFrame) -> DataFrame:
-    """Exploded hits with start and end, in code points, and the text around them."""
-    key = ["doc_id", "h", "kind", *[c for c in hits.columns if c == "term"]]
-    order = Window.partitionBy(*key).orderBy("k")
+    """Exploded hits with start and end, in code points."""
+    key = ["doc_id", "h", "kind"]
+    so_far = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.length(F.coalesce("value", F.lit("")))
-    end = F.sum(F.col("gap") + length).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = hits.dropDuplicates([*key, "k"])
-    return hits.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - length).withColumn("after", F.lead("head").over(order)).filter("value IS NOT NULL")
+    hits = hits.dropDuplicates([*key, "k"]).withColumn("end", F.sum(F.col("gap") + length).over(so_far).cast("long"))
+    return hits.withColumn("start", F.col("end") - length).filter("value IS NOT NULL")
 
 
 def _digits(value: Column) -> Column:
@@ -72,76 +72,104 @@ def _valid() -> Column:
     )
 
 
+def _entity() -> Column:
+    """A value without what may differ between two ways to write it."""
+    value, kind = F.col("value"), F.col("kind")
+    return (
+        F.when(kind == "email", F.lower(value))
+        .when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda p: p.try_cast("int").cast("string")), "."))
+        .otherwise(_digits(value))
+    )
+
+
+def _words(text: Column) -> Column:
+    """Runs of letters, lower-cased one by one."""
+    return F.transform(F.filter(F.split(text, _NOT_LETTERS), lambda x: x != ""), lambda x: F.lower(x))
+
+
 def _terms(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), _NOT_LETTERS)), lambda x: F.length(x).between(LETTERS, MOST_LETTERS))
+    return F.filter(F.array_distinct(_words(text)), lambda x: F.length(x) >= LETTERS)
 
 
-def _context(column: str, before: bool) -> Column:
-    """Terms of a gap's end; a word that the cut may have halved does not count."""
-    words = F.split(F.lower(F.coalesce(column, F.lit(""))), _NOT_LETTERS)
-    cut = F.length(column) >= CONTEXT
-    whole = F.slice(words, 2, F.size(words)) if before else F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.when(cut, whole).otherwise(words)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.withColumn("h", F.xxhash64("text"))
 
 
 def base_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row with kind null for each row of docs, and rows of all pattern matches' gaps and values."""
-    text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    """A row with kind null for each row of docs, and rows of all pattern matches' gaps and values.
+
+    Null texts count as empty; repeated rows repeat all of it; other columns are not read.
+    """
+    text, rows = F.col("text"), _rows(docs, id_col, text_col)
     may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(PATTERNS["card"]), "phone": F.contains(text, F.lit("+"))}
-    empty = F.array().cast("array<struct<kind:string,gap:int,value:string,head:string,tail:string>>")
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("gap"), F.lit(None).cast("string").alias("value"), F.lit("").alias("head"), F.lit("").alias("tail")))
-    found = [F.when(may[k], _hits(text, F.lit(p), k)).otherwise(empty) for k, p in PATTERNS.items()]
-    hits = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.concat(marker, *found)).alias("k", "_"))
-    return hits.select("doc_id", "h", "k", "_.*")
+    empty = F.array().cast("array<struct<kind:string,gap:int,value:string>>")
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("gap"), F.lit(None).cast("string").alias("value")))
+    found = [F.when(may[k], _hits(text, p, k)).otherwise(empty) for k, p in PATTERNS.items()]
+    return rows.select("doc_id", "h", F.posexplode(F.concat(marker, *found)).alias("k", "_")).select("doc_id", "h", "k", "_.*")
 
 
-def _few(terms: DataFrame) -> bool:
-    return terms.count() <= BROADCAST_TERMS
+def _few(rows: DataFrame, text: str | None = None) -> DataFrame:
+    """rows, marked for a broadcast if they are few and short."""
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0)) if text else F.lit(0)).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else rows
 
 
-def disclosing_terms(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Terms that reveal a protected entity (a value that patterns found): term, kind, disclosed.
+def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of rows for each (doc_id, h) of keys."""
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    return rows.join(_few(keys), rows.doc_id.eqNullSafe(F.col("_id")) & (rows.h == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "h"])
+
 
-    A term counts with an entity where it stands within CONTEXT characters of it. Of the entity's
-    information content, -log2 P(entity), pointwise mutual information with the term is the part
-    that the term gives away: log2 (P(entity, term) / (P(entity) P(term))). P(term) is over all
-    documents. Terms are listed that give away DISCLOSED of it or more and stand beside the entity
-    in SUPPORT different texts or more.
+def disclosing_terms(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Terms that reveal a protected entity: term, kind, disclosed. hits are rows of docs with what
+    was found in them: doc_id, h, kind, value. Ways to write a value count as one entity.
+
+    A term counts with an entity wherever one document has both. Of the entity's information
+    content, -log2 P(entity), pointwise mutual information with the term is the part that the term
+    gives away: log2 (P(entity, term) / (P(entity) P(term))), all of them shares of the documents
+    (repeated rows count as often as they come). Terms are listed that give away DISCLOSED of it or
+    more, and BITS at least, and that SUPPORT different texts show with the entity, with as many
+    different neighbours (so that copies of one text are no support).
     """
-    beside = F.array_distinct(F.concat(_context("tail", True), _context("after", False)))
-    near = hits.select("kind", "value", "doc_id", "h", F.explode(F.filter(beside, lambda x: F.length(x).between(LETTERS, MOST_LETTERS))).alias("term")).distinct()
-    pairs = near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"), F.countDistinct("h").alias("texts")).filter(F.col("texts") >= SUPPORT)
-    pairs = checkpoint(pairs)
-    entities = hits.select("kind", "value", "doc_id", "h").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
+    rows = _rows(docs, id_col, text_col)
+    found = hits.select("doc_id", "h", "kind", _entity().alias("entity")).distinct()
+    often = found.groupBy("kind", "entity").agg(F.countDistinct("h").alias("texts")).filter(F.col("texts") >= SUPPORT).select("kind", "entity")
+    found = checkpoint(found.join(often, ["kind", "entity"]))
+    if found.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term string, kind string, disclosed double")
+    keys = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    copies = rows.select("doc_id", "h").join(_few(keys), rows.doc_id.eqNullSafe(F.col("_id")) & (rows.h == F.col("_h")), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
+    same = lambda x: found.doc_id.eqNullSafe(F.col(f"{x}_id")) & (found.h == F.col(f"{x}_h"))
+    copies = copies.withColumnsRenamed({"doc_id": "c_id", "h": "c_h"})
+    found = found.join(copies, same("c")).select("doc_id", "h", "kind", "entity", "rows")
+    words = _of(rows, found).select("doc_id", "h", _words(F.col("text")).alias("words"))
+    beside = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    terms = words.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), F.explode(F.transform("words", lambda x, i: F.struct(x.alias("term"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("beside")))).alias("_"))
+    terms = terms.select("t_id", "t_h", "_.*").filter(F.length("term") >= LETTERS).groupBy("t_id", "t_h", "term").agg(F.min("beside").alias("beside"))
+    pairs = found.join(terms, same("t")).groupBy("kind", "entity", "term").agg(F.sum("rows").alias("n_both"), F.countDistinct("h").alias("texts"), F.countDistinct("beside").alias("besides"))
+    pairs = checkpoint(pairs.filter((F.col("texts") >= SUPPORT) & (F.col("besides") >= SUPPORT)))
+    entities = found.groupBy("kind", "entity").agg(F.sum("rows").alias("n_entity"))
     candidates = pairs.select("term").distinct()
-    seen = docs.select(F.explode(_terms(text_of(text_col))).alias("term"))
-    seen = seen.join(F.broadcast(candidates) if _few(candidates) else candidates, "term", "left_semi")
+    seen = rows.select(F.explode(_terms(F.col("text"))).alias("term")).join(_few(candidates, "term"), "term", "left_semi")
     n_term = seen.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    both = pairs.join(entities, ["kind", "value"]).join(n_term, "term")
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    information = F.log2(F.col("n_both") * float(max(total, 1)) / (F.col("n_entity") * F.col("n_term")))
-    both = both.withColumn("disclosed", F.when(content > 0, information / content))
-    return both.filter(F.col("disclosed") >= DISCLOSED).groupBy("term").agg(F.max_by("kind", "disclosed").alias("kind"), F.max("disclosed").alias("disclosed"))
-
-
-def term_hits(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Where the terms stand in all documents, as exploded hits of kind TERM."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    terms = terms.select("term")
-    if _few(terms):
-        # The text goes along with matching terms only: explode and join are one generated loop.
-        rows = rows.withColumn("term", F.explode(_terms(F.col("text")))).join(F.broadcast(terms), "term", "left_semi")
-    else:
-        found = rows.select("doc_id", "h", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
-        found = found.groupBy("doc_id", "h").agg(F.collect_set("term").alias("found")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-        rows = rows.join(found, rows.doc_id.eqNullSafe(found._id) & (rows.h == found._h)).withColumn("term", F.explode("found"))
-    # Terms are letters only, so they need no quoting.
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    rows = rows.select("doc_id", "h", "text", "term", pattern.alias("pattern"))
-    hits = rows.select("doc_id", "h", "term", F.posexplode(_hits(F.col("text"), F.col("pattern"), TERM)).alias("k", "_"))
-    return hits.select("doc_id", "h", "term", "k", "_.*")
+    total = float(max(docs.count(), 1))
+    both = pairs.join(entities, ["kind", "entity"]).join(n_term, "term")
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    information = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    both = both.withColumn("disclosed", F.when(content > 0, information / content)).filter((F.col("disclosed") >= DISCLOSED) & (information >= BITS))
+    return both.groupBy("term").agg(F.max_by("kind", F.struct("disclosed", "kind")).alias("kind"), F.max("disclosed").alias("disclosed"))
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Where the terms (column term) stand as whole runs of letters, in whatever case: doc_id, h,
+    kind (TERM), start and end. Rows alike give one set of spans."""
+    rows, terms = _rows(docs, id_col, text_col), _few(terms.select("term"), "term")
+    having = checkpoint(rows.select("doc_id", "h", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi").select("doc_id", "h").distinct())
+    runs = _of(rows, having).select("doc_id", "h", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))).alias("k", "run"))
+    so_far = Window.partitionBy("doc_id", "h").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("end", F.sum(F.length("run")).over(so_far)).withColumn("term", F.lower("run")).join(terms, "term", "left_semi")
+    return runs.select("doc_id", "h", F.lit(TERM).alias("kind"), (F.col("end") - F.length("run")).alias("start"), "end")
 
 
 def _ordered(spans: DataFrame) -> DataFrame:
@@ -150,46 +178,79 @@ def _ordered(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct(number.alias("k"), "start", "end"))).alias("spans"))
 
 
+def _name(k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+
+
 def _written(spans: Column) -> Column:
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["k"]), x["start"], x["end"])), ",")
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", _name(x["k"]), x["start"], x["end"])), ",")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """Rows (text, found) with clean: the text with each span, or run of overlapping ones, as its
+    first one's kind in brackets."""
+    first = F.struct(F.array().cast("array<struct<a:int,b:int,k:int>>").alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("k"))
+    flush = lambda s: F.when(s["a"] >= 0, F.array_append(s["done"], F.struct(s["a"].alias("a"), s["b"].alias("b"), s["k"].alias("k")))).otherwise(s["done"])
 
-    Patterns' matches are checked (IP parts, Luhn, digits of phones); terms that disclose one of
-    the values found add spans of kind ``term`` wherever they stand. Positions are code points.
+    def step(s: Column, x: Column) -> Column:
+        longer = F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b"), s["k"].alias("k"))
+        return F.when(x["a"] < s["b"], longer).otherwise(F.struct(flush(s).alias("done"), x["a"].alias("a"), x["b"].alias("b"), x["k"].alias("k")))
 
-    Null texts count as empty (no spans); null and repeated ids keep their rows; an empty table
-    gives no rows; other columns are not read.
-    """
-    found = checkpoint(base_hits(docs, id_col, text_col).filter("kind IS NULL OR value IS NOT NULL OR k > 0"))
-    base = _placed(found.filter("kind IS NOT NULL")).filter(_valid())
-    base = checkpoint(base.select("doc_id", "h", "kind", "start", "end", "value", "tail", "after"))
+    by_start = F.sort_array(F.transform("found", lambda x: F.struct(x["start"].cast("int").alias("a"), x["end"].cast("int").alias("b"), x["k"].alias("k"))))
+    rows = rows.withColumn("merged", F.when(F.size("found") > 0, F.aggregate(by_start, first, step, flush)))
+    # Before each span: the text from the end of the one before it.
+    at = lambda i: F.coalesce(F.get("merged", i - 1)["b"], F.lit(0))
+    pieces = F.transform("merged", lambda x, i: F.concat(F.substring(F.col("text"), at(i) + 1, x["a"] - at(i)), F.lit("["), F.upper(_name(x["k"])), F.lit("]")))
+    rest = F.substring(F.col("text"), F.element_at("merged", -1)["b"] + 1, F.length("text"))
+    return rows.withColumn("clean", F.when(F.size("found") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+
+
+_SPANS = "array<struct<k:int,start:bigint,end:bigint>>"
+
+
+def document_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per (doc_id, h) of docs, h a hash of the text, that has any: spans, an array of (kind number,
+    start, end), patterns' matches first, then terms that disclose one of the values found."""
+    found = checkpoint(base_hits(docs, id_col, text_col).filter("kind IS NOT NULL"))
+    base = checkpoint(_placed(found).filter(_valid()).select("doc_id", "h", "kind", "start", "end", "value"))
     terms = checkpoint(disclosing_terms(docs, base, id_col, text_col))
     spans = base.select("doc_id", "h", "kind", "start", "end")
     if not terms.isEmpty():
-        spans = spans.unionByName(_placed(term_hits(docs, terms, id_col, text_col)).select(*spans.columns))
-    per = _ordered(spans).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    rows = found.filter("kind IS NULL").select("doc_id", "h")
+        spans = spans.unionByName(term_spans(docs, terms, id_col, text_col))
+    return _ordered(spans)
+
+
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, text, found) of docs; found is what document_spans has, or empty."""
+    per = document_spans(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    rows = _rows(docs, id_col, text_col)
     rows = rows.join(per, rows.doc_id.eqNullSafe(per._id) & (rows.h == per._h), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<k:int,start:bigint,end:bigint>>"))
-    rows = rows.select("doc_id", spans.alias("spans"))
-    of = lambda k: F.filter("spans", lambda x: x["k"] == k)
+    return rows.select("doc_id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("found"))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_sha256
+    (of the text that ``sanitize`` gives).
+
+    Patterns' matches are checked (IP parts, Luhn, digits of phones); terms that disclose one of
+    the values found add spans of kind ``term`` wherever they stand. Positions are code points.
+
+    Null texts count as empty (no spans); null and repeated ids keep their rows, each with the spans
+    of its own text; an empty table gives no rows; other columns are not read.
+    """
+    rows = _cleaned(_with_spans(docs, id_col, text_col))
+    of = lambda k: F.filter("found", lambda x: x["k"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
-    base_text = _written(F.filter("spans", lambda x: x["k"] < len(PATTERNS)))
-    return rows.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    base = _written(F.filter("found", lambda x: x["k"] < len(PATTERNS)))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), _written(F.col("found")).alias("spans"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id and text, in which values become their kind in capitals and brackets,
-    and disclosing terms become [TERM]. Overlapping spans become one, named by the first."""
-    found = find_pii(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("spans")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.join(found, rows.doc_id.eqNullSafe(found._id), "left")
-    each = F.transform(F.filter(F.split(F.coalesce("spans", F.lit("")), ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), F.split(x, ":")[2].cast("int").alias("b"), F.split(x, ":")[0].alias("kind")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, x: F.when(x["a"] >= s["at"], F.struct(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["a"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"), x["b"].alias("at"))).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["at"], x["b"]).alias("at")))
-    done = F.aggregate(F.sort_array(each), start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return rows.select("doc_id", done.alias("text"))
+    """Per row of docs: doc_id and text, in which values are generalised to their kind in capitals
+    and brackets, and disclosing terms are removed in favour of [TERM]. Overlapping spans become
+    one, named by the first.
+
+    Null texts come back empty; rows that share an id, null included, are cut each by the spans of
+    its own text; repeated rows stay; an empty table gives no rows; other columns are not read.
+    """
+    return _cleaned(_with_spans(docs, id_col, text_col)).select("doc_id", F.col("clean").alias("text"))

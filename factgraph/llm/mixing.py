@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factgraph.llm.common import checkpoint
+from factgraph.llm.common import checkpoint, text_of
 
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes to take, and passes over a source at most.
@@ -63,7 +63,7 @@ def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: doc_id, size, source_size, target, taken.
 
     size is the number of words. Documents of a source are queued in an order given by a hash of
-    seed and id, PASSES times over; each has a virtual finish time, the source's words up to its
+    seed, id and text (so rows that share an id are shuffled too), PASSES times over; each has a virtual finish time, the source's words up to its
     end divided by the source's target. At time 1 every source has been served its target, so a
     document under way then is served up to that point only. All served documents are sorted by
     finish time, and the mix ends where its words reach BUDGET times all sizes; taken is the number
@@ -71,15 +71,15 @@ def weighted_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first word (null if it has none).
 
     Null texts have size 0; null sources are one source, the last; null and repeated ids keep their
-    rows (rows alike in id, source and size may swap places, with the same result); documents of
+    rows (rows alike in id, text and source may swap places, with the same result); documents of
     size 0 are never taken; an empty table gives no rows; other columns are not read, but with
     ``row_col``, a number of its own for each row, this parts rows that are alike and comes out as
     column row.
     """
     size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *([F.col(row_col).cast("long").alias("_row")] if row_col else []))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = checkpoint(rows.withColumn("key", key))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(text_col))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), *([F.col(row_col).cast("long").alias("_row")] if row_col else []))
+    rows = checkpoint(rows)
     if not row_col:
         rows = rows.withColumn("_row", F.monotonically_increasing_id())
     targets = source_targets(rows).withColumnRenamed("source", "_source")

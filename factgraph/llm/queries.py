@@ -67,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_weighted_mix": r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
  t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
  r AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2 AS most FROM t),
  k AS (SELECT *, row_number() OVER (ORDER BY most / weight, place) AS k,
@@ -92,13 +92,15 @@ WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(co
  f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i : i + 4], ' ')) AS c FROM u),
  rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM f CROSS JOIN range(0, 5) r(k) WHERE c > 1 GROUP BY doc_id),
  l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
- dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
- c AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+ dup AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+ c AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines, 0)::BIGINT AS n_lines, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id),
  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
- h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS failed FROM b GROUP BY source),
- m AS (SELECT avg(failed / n) AS mean, var_samp(failed / n) AS var FROM h),
- p AS (SELECT mean, CASE WHEN coalesce(var, 0) > 0 THEN greatest(1.0, least(1e6, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS strength FROM m),
- r AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM h CROSS JOIN p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.8 AS kept FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
+ e AS (SELECT source, unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines]) AS bad, unnest([1, 2, 3, 4]) AS rule FROM b),
+ h AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE AS f FROM e GROUP BY ALL),
+ m AS (SELECT rule, count(*) AS k, sum(n) AS total, sum(n * n) AS squares, sum(f) / sum(n) AS mean, sum(f * f / n) AS s FROM h GROUP BY rule),
+ q AS (SELECT rule, mean, CASE WHEN mean * (1 - mean) > 0 AND total - squares / total - (k - 1) > 0 THEN ((s - mean * mean * total) / (mean * (1 - mean)) - (k - 1)) / (total - squares / total - (k - 1)) END AS rho FROM m),
+ p AS (SELECT rule, mean, CASE WHEN rho > 1 / (1 + 1e6::DOUBLE) THEN greatest(1.0, 1 / rho - 1) ELSE 1e6::DOUBLE END AS strength FROM q),
+ r AS (SELECT source, max((f + mean * strength) / (n + strength)) AS rate FROM h JOIN p ON p.rule = h.rule GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
 }

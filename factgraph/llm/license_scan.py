@@ -13,32 +13,54 @@ from factgraph.llm.common import text_of
 
 # The phrases whose every place is reported, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Notices that licences ask to be kept in files.
+# Texts of short licences, and notices that long ones ask to be kept in files.
 TEMPLATES = {
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    "gpl": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     ),
     "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "bsl": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    "cc-by": (
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    ),
+    "cc0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
+    "gpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     ),
     "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
-    "cc-by": (
-        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     ),
 }
 #: Words of a match that counts for a template; words between two matches that one span may bridge;
-#: share of a template's words that the matches of a span must cover to give its label.
+#: share of a template's words that the matches of a span must cover, in order, to give its label.
 LEAST_MATCH, GAP, COVER = 6, 8, 0.5
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -161,29 +183,53 @@ class LicenceScanner:
         return len(words), sorted(bases), self._chain(matches)
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Matches of a template that follow each other within GAP words become one span; its cover
-        is the union of the template's words that they match, in whatever order they come."""
+        """Matches of a template, at their places in it, are chained where they follow each other in
+        the text (within GAP words) and in the template; no word of either counts twice. A chain
+        that covers COVER of its template is a span; of a label's overlapping spans the one with
+        the largest share stays (the first of equals)."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for a, b, state in matches:
             for s, end in self.automaton.where[state]:
-                by_template.setdefault(s, []).append((a, b, end))
+                if s >= len(PHRASES):
+                    by_template.setdefault(s, []).append((a, b, end))
+        found: dict[str, list[tuple[float, int, int]]] = {}
+        for s, places in by_template.items():
+            for start, stop, covered in chains(places):
+                if covered >= COVER * self.sizes[s]:
+                    found.setdefault(self.labels[s], []).append((-covered / self.sizes[s], start, stop))
         spans = []
-        for s, found in by_template.items():
-            if s < len(PHRASES):
-                continue
-            start = stop = None
-            covered: set[int] = set()
-            for a, b, end in [*found, (None, None, None)]:
-                if start is not None and (a is None or a > stop + GAP):
-                    if len(covered) >= COVER * self.sizes[s]:
-                        spans.append((start, stop, self.labels[s], len(covered) / self.sizes[s]))
-                    start, covered = None, set()
-                if a is not None:
-                    start, stop = a if start is None else start, b if start is None else max(stop, b)
-                    covered.update(range(end - (b - a), end))
+        for label, some in found.items():
+            kept: list[tuple[int, int]] = []
+            for share, start, stop in sorted(some):
+                if all(stop <= a or start >= b for a, b in kept):
+                    kept.append((start, stop))
+                    spans.append((start, stop, label, -share))
         return sorted(spans)
 
 
+def chains(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """For matches (first word, word after the last, place in the template after the last), the best
+    chain that ends with each: (start, stop, words covered).
+
+    The next match of a chain begins no earlier and ends later in the text, begins at most GAP words
+    after the last one's end, and ends later in the template; where the two overlap in text or
+    template, only its words beyond the overlap count, and there must be some.
+    """
+    best: list[tuple[int, int, int, int, int]] = []
+    near: list[int] = []
+    for a, b, end in sorted(places):
+        start, covered = a, b - a
+        near = [k for k in near if best[k][1] + GAP >= a]
+        for k in near:
+            first, stop, at, held, begun = best[k]
+            more = b - a - max(0, at - (end - (b - a)), stop - a)
+            if begun <= a and b > stop and end > at and more > 0 and held + more > covered:
+                start, covered = first, held + more
+        near.append(len(best))
+        best.append((start, b, end, covered, a))
+    return [(start, stop, covered) for start, stop, _, covered, _ in best]
+
+
 _scanner: list[LicenceScanner] = []
 
 
@@ -197,8 +243,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Base phrases and template matches come from one pass of the text's words through the automaton.
-    Matches of LEAST_MATCH words and more are chained per template; a span that covers COVER of a
-    template gives its label. score is 1 with a base phrase, else the best cover. spans lists
+    Matches of LEAST_MATCH words and more are chained in order per template; a span that covers
+    COVER of a template gives its label. score is 1 with a base phrase, else the best cover. spans lists
     start:end:label of the template spans, in words.
 
     Null texts count as empty (0 words, empty labels); null and repeated ids keep their rows; an

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,15 +35,46 @@ def newest_by_hash(revised: DataFrame) -> DataFrame:
     return revised.groupBy("source_id", "content_hash").agg(F.max("revision").alias("revision"), F.max_by("ingest_id", "revision").alias("ingest_id"))
 
 
+#: Words by which a text and a query inside it find each other.
+ANCHOR = 5
+
+
+def _runs(words: str, n: int) -> Column:
+    """All runs of n words of an array, joined by a space."""
+    joined = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def passages(texts: DataFrame, queries: DataFrame, around: int = 40) -> DataFrame:
     """Texts (text_id, text) that contain a query (query_id, query), in any case: where first, and the
-    text around it. Queries are few and broadcast; each text is read once."""
-    low = texts.withColumn("low", F.lower("text"))
-    asked = F.broadcast(queries.select("query_id", F.lower("query").alias("q")).filter("q <> ''"))
-    found = low.join(asked, F.contains(F.col("low"), F.col("q")))
+    text around it.
+
+    A query's first and last words may be parts of words of the text, but those between stand there
+    whole. Up to ANCHOR of these are joined to the runs of as many words of every text, and only
+    pairs that meet are searched. Queries of one or two words have none and are searched in all
+    texts, in batches of rows. Queries that are blank find nothing.
+    """
+    low = texts.select("text_id", "text", F.lower("text").alias("low"))
+    inner = F.slice(F.split("q", r"\s+"), 2, 1 << 30)
+    asked = queries.select("query_id", F.lower("query").alias("q")).filter(F.trim("q") != "").withColumn("inner", F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))))
+    asked = asked.withColumn("n", F.least(F.size("inner"), F.lit(ANCHOR))).withColumn("key", F.array_join(F.slice("inner", 1, ANCHOR), " "))
+    sizes = sorted(x.n for x in asked.select("n").distinct().collect())  # at most ANCHOR + 1
+    w = F.split("low", r"\s+")
+    met = []
+    if any(sizes):
+        runs = [_runs("w", n) for n in sizes if n]
+        keys = asked.filter("n > 0").select("query_id", "q", "key")
+        found = low.withColumn("w", w).select("text_id", F.explode(F.array_distinct(F.concat(*runs))).alias("key")).join(keys, "key").select("text_id", "query_id", "q")
+        met.append(low.join(found, "text_id").select("query_id", "q", "text_id", "text", "low"))
+    if 0 in sizes:
+        met.append(low.join(asked.filter("n = 0").select("query_id", "q"), F.contains("low", F.col("q"))).select("query_id", "q", "text_id", "text", "low"))
+    if not met:
+        met.append(low.join(asked.select("query_id", "q"), F.lit(False)).select("query_id", "q", "text_id", "text", "low"))
+    found = reduce(DataFrame.union, met)
     at = F.instr(F.col("low"), F.col("q"))
     start = F.greatest(at - around, F.lit(1))
-    return found.select("query_id", "text_id", at.alias("at"), F.substring(F.col("text"), start, F.length("q") + 2 * around).alias("passage"))
+    found = found.filter(at > 0).select("query_id", "text_id", at.alias("at"), F.substring(F.col("text"), start, F.length("q") + 2 * around).alias("passage"))
+    return found.dropDuplicates(["query_id", "text_id", "at"])
 
 
 def html_text(pages: DataFrame) -> DataFrame:
@@ -119,18 +153,40 @@ def hashed_embeddings(texts: DataFrame, dims: int = 32) -> DataFrame:
     return sums.select("text_id", F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector).alias("embedding"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
-    """The k vectors (vec_id, embedding) of the highest cosine with each query, at least so near.
-
-    Queries are few and broadcast; partial tops of each input partition bound what is shuffled."""
+#: Vectors and queries that are multiplied at once.
+VECTORS, QUERIES = 8192, 2048
 
-    def unit(v):
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return F.transform(v, lambda x: x.cast("double") / norm)
 
-    a = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    b = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q")))
-    score = F.round(F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
-    pairs = a.join(b, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score")).filter(F.col("score") >= least)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """The k vectors (vec_id, embedding) of the highest cosine with each query, at least so near;
+    ties go to the smaller id, and a query is no neighbour of its own id.
+
+    Both sides are dealt into blocks by hash; each pair of a block of queries and one of vectors is
+    one matrix product in a task of its own, which returns at most k rows for each query.
+    """
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n, m = blocks(vectors, VECTORS), blocks(queries, QUERIES)
+    deal = lambda df, of, many, name: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("other"))
+    a = deal(vectors, n, m, "own").select(F.lit(False).alias("asks"), "vec_id", "v", F.col("own").alias("i"), F.col("other").alias("j"))
+    b = deal(queries, m, n, "own").select(F.lit(True).alias("asks"), "vec_id", "v", F.col("other").alias("i"), F.col("own").alias("j"))
+
+    def run(part: pa.Table) -> pa.Table:
+        asks = part.column("asks").to_numpy()
+        ids, v = part.column("vec_id").to_numpy(), np.array(part.column("v").to_pylist(), np.float64).reshape(len(asks), -1)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        out = []
+        if asks.any() and not asks.all():
+            own, others = ids[asks], ids[~asks]
+            scores = np.round(v[asks] @ v[~asks].T, 6)
+            scores[own[:, None] == others] = -np.inf
+            for q, row in zip(own.tolist(), scores, strict=True):
+                low = max(least, np.partition(row, -k)[-k]) if len(row) > k else least
+                found = np.flatnonzero(row >= low)
+                found = found[np.lexsort((others[found], -row[found]))][:k]
+                out.append((np.full(len(found), q), others[found], row[found]))
+        q, w, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(w, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    pairs = a.union(b).groupBy("i", "j").applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -137,3 +137,19 @@ def related(statements: DataFrame, most: int = 5) -> DataFrame:
     rows = statements.select("statement_id", "subject_entity_id").join(best, "subject_entity_id").filter("statement_id <> related_id")
     place = F.row_number().over(Window.partitionBy("statement_id").orderBy("k"))
     return rows.select("statement_id", "related_id", place.alias("place")).filter(F.col("place") <= most)
+
+
+def overlap_counts(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Per key: pairs, how many pairs of its intervals (valid_from, valid_to; a missing bound is open)
+    meet. Of all pairs those count out in which one interval ends before the other begins, and these
+    are counted in one pass over the key's bounds in order of time, not by pairs."""
+    begins = rows.filter("valid_from IS NOT NULL").select(*key, F.col("valid_from").alias("at"), F.lit(0).alias("ends"))
+    ends = rows.filter("valid_to IS NOT NULL").select(*key, F.col("valid_to").alias("at"), F.lit(1).alias("ends"))
+    # At one time beginnings come first: closed intervals that touch meet.
+    order = Window.partitionBy(*key).orderBy("at", "ends").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = begins.union(ends).withColumn("over", F.sum("ends").over(order))
+    apart = bounds.filter("ends = 0").groupBy(*key).agg(F.sum("over").alias("apart"))
+    # An interval that ends before it begins is counted as apart from itself.
+    wrong = F.count_if(F.col("valid_to") < F.col("valid_from"))
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), wrong.alias("wrong"))
+    return sizes.join(apart, key, "left").select(*key, (F.expr("n * (n - 1) DIV 2") - F.coalesce("apart", F.lit(0)) + F.col("wrong")).alias("pairs"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from heapq import heappush, heapreplace
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factgraph.functions.text import is_class_key, normal
 
@@ -31,7 +34,7 @@ def key_shape(proposals: DataFrame, classes: DataFrame) -> DataFrame:
 def existing_key(proposals: DataFrame, classes: DataFrame) -> DataFrame:
     """A key that exists in another spelling is to be reused."""
     have = classes.select(normal(F.col("class_key")).alias("_k")).distinct()
-    rows = proposals.join(F.broadcast(have), normal(F.col("class_key")) == F.col("_k"), "left")
+    rows = proposals.join(have, normal(F.col("class_key")) == F.col("_k"), "left")
     return rows.select("proposal_id", F.lit("existing_key").alias("gate"), F.when(F.col("_k").isNotNull(), "reuse").otherwise("pass").alias("decision"))
 
 
@@ -39,7 +42,7 @@ def existing_key(proposals: DataFrame, classes: DataFrame) -> DataFrame:
 def structural(proposals: DataFrame, classes: DataFrame) -> DataFrame:
     """The parent must exist; a class without parent is for a person to look at."""
     have = classes.select(F.col("class_key").alias("_p")).distinct()
-    rows = proposals.join(F.broadcast(have), F.col("parent_key") == F.col("_p"), "left")
+    rows = proposals.join(have, F.col("parent_key") == F.col("_p"), "left")
     decision = F.when(F.col("parent_key").isNull(), "manual").when(F.col("_p").isNull() | (F.col("parent_key") == F.col("class_key")), "fail").otherwise("pass")
     return rows.select("proposal_id", F.lit("structural").alias("gate"), decision.alias("decision"))
 
@@ -69,10 +72,33 @@ def review_policy(reviews: DataFrame, sure: float = 0.85) -> DataFrame:
 
 
 def packed(candidates: DataFrame, group: str, tokens: str, budget: int, most: int) -> DataFrame:
-    """Greedy packing of a group's candidates in order of tier (0 is pinned) and id, within a token
-    budget and a count. A pinned one that does not fit is passed over; any other tier ends at its
-    first miss. The first candidate always fits."""
-    items = F.sort_array(F.collect_list(F.struct("tier", "candidate_id", F.col(tokens).cast("long").alias("t"))))
+    """Greedy packing of a group's candidates (candidate_id, tier) in order of tier (0 is pinned) and
+    id, within a token budget and a count. A pinned one that does not fit is passed over; any other
+    tier ends at its first miss. The first candidate always fits.
+
+    Only candidates that can matter are gathered: of a tier that ends at a miss, the first most + 1;
+    of the pinned ones, those before which fewer than ``most`` of at most their tokens stand (each
+    of these would have been taken instead). Each partition leaves out its own others first.
+    """
+    rows = candidates.select(F.col(group).alias("_g"), "tier", "candidate_id", F.col(tokens).cast("long").alias("t"))
+    place = F.row_number().over(Window.partitionBy("_g", "tier").orderBy("candidate_id"))
+    others = rows.filter("tier <> 0").withColumn("_place", place).filter(F.col("_place") <= most + 1).drop("_place")
+
+    def can_matter(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, least = None, []
+        for part in parts:
+            keep = []
+            for key, t in zip(part["_g"], part["t"], strict=True):
+                if key != last and not (pd.isna(key) and pd.isna(last)):
+                    last, least = key, []
+                # least: the smallest ones so far, the largest of them first.
+                keep.append(len(least) < most or t < -least[0])
+                if keep[-1]:
+                    (heappush if len(least) < most else heapreplace)(least, -t)
+            yield part[keep]
+
+    pinned = rows.filter("tier = 0").sortWithinPartitions("_g", "candidate_id").mapInPandas(can_matter, rows.schema)
+    items = F.sort_array(F.collect_list(F.struct("tier", "candidate_id", "t")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("closed"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(s, x):
@@ -82,16 +108,94 @@ def packed(candidates: DataFrame, group: str, tokens: str, budget: int, most: in
         full = (F.size(s["ids"]) >= most) | (x["tier"] == s["closed"])
         return F.when(full, s).when(fits, add).when(x["tier"] == 0, s).otherwise(close)
 
-    done = candidates.groupBy(group).agg(F.aggregate(items, start, step).alias("_"))
-    return done.select(group, F.col("_.used").alias("used_tokens"), F.array_join(F.col("_.ids").cast("array<string>"), ",").alias("packed_ids"))
+    done = pinned.unionByName(others).groupBy("_g").agg(F.aggregate(items, start, step).alias("_"))
+    return done.select(F.col("_g").alias(group), F.col("_.used").alias("used_tokens"), F.array_join(F.col("_.ids").cast("array<string>"), ",").alias("packed_ids"))
+
+
+def context_hashes(rows: DataFrame, group: str, place: str, item: Column) -> DataFrame:
+    """Per group: context_hash, the SHA-256 of its items in order of place. A context is what packing
+    or a top-k left of a group, so it is short."""
+    items = F.sort_array(F.collect_list(F.struct(F.col(place).alias("place"), item.cast("string").alias("item"))))
+    return rows.groupBy(group).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["item"]), ";"), 256).alias("context_hash"))
+
+
+# Reasons that challenge nothing, and wording that admits competing models.
+TRIVIAL = ("please reconsider", "please reconsider.", "reconsider", "try again", "wrong", "i disagree")
+VAGUE = ("some kind of", "some sort of", "kind of ability or", "or focus area", "related to agents", "related to an agent")
+LEAST_REASON = 40
+
+
+def is_substantive(reason: Column) -> Column:
+    """Whether the reason of a challenge says something: 40 characters at least, blanks collapsed, and
+    no stock phrase."""
+    clean = F.trim(F.regexp_replace(F.coalesce(reason, F.lit("")), r"\s+", " "))
+    return (F.length(clean) >= LEAST_REASON) & ~F.lower(clean).isin(*TRIVIAL)
+
+
+def is_vague(description: Column) -> Column:
+    """Whether a description admits models that are not equivalent."""
+    return F.lower(F.coalesce(description, F.lit(""))).rlike("|".join(VAGUE))
+
+
+def default_asks(related: DataFrame) -> DataFrame:
+    """Per proposal of related (proposal_id, key, concept, place): asks, at most five questions to its
+    author: two about each of its two nearest concepts, then what it stands for."""
+    first = related.filter(F.col("concept").isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy("proposal_id").orderBy("place", "concept"))).filter("_k <= 2")
+    pairs = first.groupBy("proposal_id").agg(F.sort_array(F.collect_list(F.struct("_k", "concept"))).alias("c"))
+    keys = related.groupBy("proposal_id").agg(F.coalesce(F.min(F.when(F.col("key") != "", F.col("key"))), F.lit("the proposal")).alias("key"))
+    differs = lambda x: F.array(
+        F.format_string("Explain how %s differs from %s.", F.col("key"), x["concept"]),
+        F.format_string("Provide an example assertion that should be valid for %s but not for %s.", F.col("key"), x["concept"]),
+    )
+    last = F.format_string("State whether %s represents an ability, a domain/category, a relation, or something else.", F.col("key"))
+    rows = keys.join(pairs, "proposal_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<_k:int,concept:string>>")))
+    return rows.select("proposal_id", F.slice(F.array_append(F.flatten(F.transform("c", differs)), last), 1, 5).alias("asks"))
+
+
+# What proposals often model twice. Of each kind the first rule that holds counts: its
+# name, folded keys, beginnings of keys, sets of phrases that the words must all have (one set
+# suffices), and the concepts to look at first.
+HINTS = {
+    "predicate": (
+        ("employment_path", ("employedby", "hasemployer", "hascurrentemployer", "employerof"), (), (("employed by",), ("current employer",)), ("holdsRole", "roleAt", "Person", "Role", "Organization", "Employment")),
+        ("role_validity", ("currentrole", "hascurrentrole"), (), (("current role",),), ("holdsRole", "Role", "Agent", "Person")),
+        ("usage_direction", ("usedby", "uses"), (), (), ("dependsOn", "deployedOn", "relatedTo", "System", "Agent")),
+        ("negative_semantics", ("avoids", "avoid"), (), (), ("relatedTo", "Preference", "Constraint")),
+        ("part_whole", ("partof", "haspart"), (), (), ("relatedTo", "dependsOn")),
+    ),
+    "class": (
+        ("temporal_role", ("historicalrole", "formerrole", "pastrole"), (), (("historical", "role"),), ("Role", "holdsRole")),
+        ("verified_qualifier", (), ("verified", "confirmed"), (("verified", "skill"),), ("Skill", "hasSkill")),
+        ("confidence_qualifier", (), ("probable", "likely"), (("confidence", "goal"), ("confidence", "probable")), ("Goal", "hasGoal")),
+        ("employment_class", ("employmentrelation", "employment"), (), (("ongoing employment",), ("employment relationship",)), ("Employment", "RelationshipContext", "Role", "holdsRole", "roleAt")),
+        ("professional_skill", ("professionalskill",), (), (("professional", "skill", "role"),), ("Skill", "Role", "hasSkill")),
+        ("core_leakage", (), ("didac",), (("personal", "goal"), ("only inside",), ("product experiment",), ("quantitative finance",), ("trading signal",)), ("Goal", "Observation", "Document")),
+    ),
+}
+
+
+def modelling_hints(kind: Column, key: Column, label: Column, description: Column) -> Column:
+    """Struct (hint, pins): the first modelling rule of HINTS that a proposal meets, and the concepts
+    that its context starts with; null where none does."""
+    empty = F.lit("")
+    key, label, description = (F.coalesce(x, empty) for x in (key, label, description))
+    folded, words = F.lower(key), F.lower(F.concat_ws(" ", key, label, description))
+    out = F
+    for name, rules in HINTS.items():
+        for hint, keys, starts, phrases, pins in rules:
+            met = folded.isin(*keys) if keys else F.lit(False)
+            for x in starts:
+                met = met | folded.startswith(x)
+            for some in phrases:
+                met = met | F.forall(F.array(*map(F.lit, some)), lambda x: F.contains(words, x))
+            out = out.when((kind == name) & met, F.struct(F.lit(hint).alias("hint"), F.array(*map(F.lit, pins)).alias("pins")))
+    return out
 
 
 def apply_classes(classes: DataFrame, accepted: DataFrame) -> DataFrame:
     """Class revisions after accepted proposals (proposal_id, class_key, label, base_revision): a
     proposal made on another revision than the current one is stale; of several for one class the
     first applies. Returns proposal_id, outcome, revision."""
-    from pyspark.sql.window import Window
-
     now = classes.select("class_key", F.col("revision").alias("_now"))
     rows = accepted.join(now, "class_key", "left")
     current = F.coalesce("_now", F.lit(0))
@@ -102,8 +206,6 @@ def apply_classes(classes: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def review_lineage(reviews: DataFrame) -> DataFrame:
     """Each review with the one before it on the same proposal, and whether it changed the decision."""
-    from pyspark.sql.window import Window
-
     before = F.lag("decision").over(Window.partitionBy("proposal_id").orderBy("review_id"))
     return reviews.withColumn("previous_decision", before).withColumn("decision_changed", F.col("previous_decision").isNotNull() & (F.col("previous_decision") != F.col("decision")))
 
@@ -114,8 +216,6 @@ def lexical_nearest(proposals: DataFrame, concepts: DataFrame, most: int = 12, w
 
     The join is on tokens, so only pairs with one in common are looked at.
     """
-    from pyspark.sql.window import Window
-
     p = proposals.select("proposal_id", F.size(F.array_distinct("tokens")).alias("_n"), F.explode(F.array_distinct("tokens")).alias("_t"))
     c = concepts.select("concept", F.size(F.array_distinct("tokens")).alias("_m"), F.explode(F.array_distinct("tokens")).alias("_t"))
     both = p.join(c, "_t").groupBy("proposal_id", "concept", "_n", "_m").agg(F.count("*").alias("_k"))
@@ -128,8 +228,6 @@ def lexical_nearest(proposals: DataFrame, concepts: DataFrame, most: int = 12, w
 def superseded_asks(asks: DataFrame) -> DataFrame:
     """asks (proposal_id, ask_id, status): of a proposal's open ones the newest stays open, the others
     are superseded; closed ones stay as they are."""
-    from pyspark.sql.window import Window
-
     open_ = F.col("status") == "open"
     newest = F.max(F.when(open_, F.col("ask_id"))).over(Window.partitionBy("proposal_id"))
     return asks.withColumn("status", F.when(open_ & (F.col("ask_id") < newest), "superseded").otherwise(F.col("status")))

@@ -15,13 +15,28 @@ TEXT = ("excerpt", "object_string", "description", "title")
 GONE = "[REDACTED]"
 
 
+def hides(name: str, value: Any, texts: bool) -> bool:
+    """Whether the value under this (folded) key goes."""
+    return any(x in name for x in SECRET) or (texts and name in TEXT and isinstance(value, str))
+
+
 def redacted(value: Any, key: str = "", texts: bool = False) -> Any:
-    name = key.casefold()
-    if any(x in name for x in SECRET) or (texts and isinstance(value, str) and name in TEXT):
-        return GONE
-    if isinstance(value, dict):
-        return {k: redacted(v, k, texts) for k, v in value.items()}
-    return [redacted(v, key, texts) for v in value] if isinstance(value, list) else value
+    """A copy of parsed JSON without what ``hides`` names. Open places are kept on a stack, so depth
+    costs no recursion; items of a list stand under the list's key."""
+    out = [value]
+    places: list[tuple[Any, Any, str]] = [(out, 0, key.casefold())]
+    while places:
+        held, at, name = places.pop()
+        found = held[at]
+        if hides(name, found, texts):
+            held[at] = GONE
+        elif isinstance(found, dict):
+            held[at] = dict(found)
+            places += [(held[at], k, k.casefold()) for k in found]
+        elif isinstance(found, list):
+            held[at] = list(found)
+            places += [(held[at], k, name) for k in range(len(found))]
+    return out[0]
 
 
 def redact(df: DataFrame, column: str, mode: str) -> DataFrame:

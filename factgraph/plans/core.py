@@ -555,10 +555,10 @@ def e05_newest_by_hash(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS q FROM benchmark)
-SELECT query_id, doc_id AS text_id, CAST(instr(lower(text), q) AS INTEGER) AS at FROM documents JOIN q ON q <> '' AND contains(lower(text), q)""")
+WITH q AS (SELECT item_id AS query_id, lower(text) AS q FROM benchmark)
+SELECT query_id, doc_id AS text_id, CAST(instr(lower(text), q) AS INTEGER) AS at FROM documents JOIN q ON trim(q) <> '' AND contains(lower(text), q)""")
 def c32_passages(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return content.passages(docs, asked).select("query_id", "text_id", "at")
 
@@ -574,12 +574,12 @@ def h21_hashed_embeddings(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v JOIN v q ON q.vec_id < 10 AND v.vec_id <> q.vec_id),
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v JOIN v q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p WHERE score >= 0.1)
 SELECT query_id, vec_id, score, place FROM r WHERE place <= 10""")
 def f04_nearest_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return content.nearest(rows, rows.filter("vec_id < 10"), 10, 0.1)
+    return content.nearest(rows, rows.filter("vec_id % 20 = 0"), 10, 0.1)
 
 
 # Retrieval
@@ -591,11 +591,17 @@ def _asked(spark):
     return spark.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")
 
 
-@query("""
-WITH t AS (SELECT doc_id, lower(text[1:60]) AS q FROM documents), s AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(q, '[a-z0-9]+'), ' ') || ' ' AS s FROM t)
-SELECT doc_id, CASE WHEN contains(s, ' was ') OR contains(s, ' were ') OR contains(s, ' studied ') THEN 'historical' ELSE 'neutral' END AS intent FROM s""")
-def h08_intent_of_openings(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", temporal.intent(F.substring("text", 1, 60)).alias("intent"))
+def _met(cues):
+    """SQL that looks for cues in the words w (one word) and the phrase s (longer ones)."""
+    tests = [f"list_contains(w, '{c}')" if " " not in c else f"contains(s, '{c}')" for c in cues]
+    return "(" + " OR ".join(tests) + ")"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), s AS (SELECT doc_id, w, array_to_string(w, ' ') AS s FROM t), f AS (SELECT doc_id, {_met(temporal.HISTORICAL)} AS past, {_met(temporal.CURRENT)} AS now, {_met(temporal.STRONG)} AS strong, {_met(temporal.PAST_VERBS)} AS verb FROM s)
+SELECT doc_id, CASE WHEN past AND now THEN CASE WHEN strong THEN 'historical' ELSE 'current' END WHEN past THEN 'historical' WHEN now THEN 'current' WHEN verb THEN 'historical' ELSE 'neutral' END AS intent FROM f""")
+def h08_intent_of_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", temporal.intent(F.col("text")).alias("intent"))
 
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -679,7 +685,12 @@ def d24_gate_outcomes(spark, sf_dir):
     return governance.gate_outcomes(_gated(spark, sf_dir))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT source, doc_id % 3 AS tier, doc_id AS id, length(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3, doc_id) AS k FROM documents),
+ w AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, -1::BIGINT AS closed, 0 AS n, ''::VARCHAR AS ids FROM c WHERE k = 1
+  UNION ALL SELECT c.source, c.k, CASE WHEN takes THEN used + t ELSE used END, CASE WHEN NOT takes AND open AND tier <> 0 THEN tier ELSE closed END, CASE WHEN takes THEN n + 1 ELSE n END, CASE WHEN takes THEN ids || CASE WHEN n > 0 THEN ',' ELSE '' END || id ELSE ids END
+  FROM (SELECT c.*, w.used, w.closed, w.n, w.ids, w.n < 25 AND c.tier <> w.closed AS open, w.n < 25 AND c.tier <> w.closed AND (w.used + c.t <= 20000 OR w.n = 0) AS takes FROM w JOIN c ON c.source = w.source AND c.k = w.k + 1) c)
+SELECT source, used::BIGINT AS used_tokens, ids AS packed_ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k DESC) AS last FROM w) WHERE last = 1""")
 def f10_packed(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 3).alias("tier"), F.col("doc_id").alias("candidate_id"), F.length("text").alias("tokens"))
     return governance.packed(rows, "source", "tokens", 20000, 25)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, facts, governance, repair, reporting, retrieval
+from factgraph.operators import audits, changes, facts, governance, graph, proposals, repair, reporting, retrieval
 from factgraph.plans.core import AS_OF, PARENTS, ROOTS, WALKS, _asked, _edges, query
 from factgraph.sources.tables import table, view
 
@@ -44,10 +44,8 @@ def b22_public_payload(spark, sf_dir):
 SELECT count(*) AS pairs FROM fx_statement a JOIN fx_statement b ON a.subject_entity_id = b.subject_entity_id AND a.predicate_key = b.predicate_key AND a.statement_id < b.statement_id
 WHERE a.predicate_key = 'preferredPriority' AND coalesce(a.valid_from <= b.valid_to, true) AND coalesce(b.valid_from <= a.valid_to, true)""")
 def c08_overlaps(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_statement").filter("predicate_key = 'preferredPriority'").select("subject_entity_id", "statement_id", "valid_from", "valid_to")
-    a, b = rows.alias("a"), rows.alias("b")
-    met = temporal.overlap(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
-    return a.join(b, (F.col("a.subject_entity_id") == F.col("b.subject_entity_id")) & (F.col("a.statement_id") < F.col("b.statement_id")) & met).agg(F.count("*").alias("pairs"))
+    rows = view(spark, sf_dir, "fx_statement").filter("predicate_key = 'preferredPriority'")
+    return facts.overlap_counts(rows, ["subject_entity_id", "predicate_key"]).agg(F.sum("pairs").alias("pairs"))
 
 
 @query("SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem")
@@ -152,8 +150,8 @@ def g07_ontology_union(spark, sf_dir):
     a = p.filter(F.contains(F.lower("p_type"), F.lit("brass"))).select(F.lit(1).alias("branch"), F.col("p_type").alias("key")).distinct()
     b = p.filter(F.contains(F.lower("p_brand"), F.lit("1"))).select(F.lit(2), "p_brand").distinct()
     c = table(spark, sf_dir, "nation").filter("lower(n_name) = 'france'").select(F.lit(3), "n_name")
-    rows = a.union(b).union(c)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("branch", "key"))).filter("place <= 30")
+    first = a.union(b).union(c).orderBy("branch", "key").limit(30)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("branch", "key")))
 
 
 @query()
@@ -170,32 +168,30 @@ def h18_utc(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(aware, "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 
-@query("""
-SELECT doc_id, length(trim(regexp_replace(text[1:60], '\\s+', ' ', 'g'))) >= 40 AND lower(trim(regexp_replace(text[1:60], '\\s+', ' ', 'g'))) NOT IN ('try again', 'wrong') AS substantive, contains(lower(text), 'some kind of') AS vague FROM documents""")
+@query(f"""
+SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 40 AND lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) NOT IN ({', '.join(f"'{x}'" for x in governance.TRIVIAL)}) AS substantive, regexp_matches(lower(text), '{'|'.join(governance.VAGUE)}') AS vague FROM documents""")
 def h26_challenges(spark, sf_dir):
-    reason = F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "))
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.length(reason) >= 40) & ~F.lower(reason).isin("try again", "wrong")).alias("substantive"), F.contains(F.lower("text"), F.lit("some kind of")).alias("vague"))
-
-
-@query("""
-SELECT p_partkey, CASE WHEN p_size > 40 THEN 'size is an attribute, not a class' WHEN contains(lower(p_type), 'brass') THEN 'material is a relation' ELSE NULL END AS hint FROM part""")
-def h27_modelling_hints(spark, sf_dir):
-    hint = F.when(F.col("p_size") > 40, "size is an attribute, not a class").when(F.contains(F.lower("p_type"), F.lit("brass")), "material is a relation")
-    return table(spark, sf_dir, "part").select("p_partkey", hint.alias("hint"))
+    return table(spark, sf_dir, "documents").select("doc_id", governance.is_substantive(F.col("text")).alias("substantive"), governance.is_vague(F.col("text")).alias("vague"))
 
 
-@query("""
-SELECT vec_id % 5 AS proposal, sha256(string_agg(vec_id || ':' || label, ';' ORDER BY vec_id)) AS context_hash FROM embeddings GROUP BY 1""")
-def h29_context_hash(spark, sf_dir):
-    item = F.struct("vec_id", F.concat_ws(":", "vec_id", "label").alias("t"))
-    rows = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 5).alias("proposal")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return rows.select("proposal", F.sha2(F.array_join(F.transform("items", lambda x: x["t"]), ";"), 256).alias("context_hash"))
+HINTED = """WITH p AS (SELECT p_partkey AS proposal_id, CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'predicate' END AS kind,
+ CASE p_partkey % 9 WHEN 0 THEN 'EmployedBy' WHEN 1 THEN 'uses' WHEN 2 THEN 'VerifiedPart' WHEN 3 THEN 'partOf' WHEN 4 THEN 'FormerRole' WHEN 5 THEN 'currentRole' ELSE 'Thing' || p_partkey END AS key, p_type AS label,
+ CASE WHEN p_partkey % 7 = 0 THEN 'A historical Role of ' || p_name WHEN p_partkey % 11 = 0 THEN 'Confidence in a probable ' || p_name WHEN p_partkey % 13 = 0 THEN NULL ELSE p_name || ' employed by a firm' END AS description FROM part),
+ w AS (SELECT *, lower(key) AS k, lower(key || ' ' || label || ' ' || coalesce(description, '')) AS b FROM p) """
 
 
-@query("SELECT p_brand, 'Which of ' || count(*) || ' products did you mean: ' || array_to_string((list(p_name ORDER BY p_partkey))[1:5], ', ') || '?' AS question FROM part GROUP BY 1")
-def h31_questions(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), 1, 5).alias("first"))
-    return rows.select("p_brand", F.format_string("Which of %d products did you mean: %s?", F.col("n"), F.array_join("first.p_name", ", ")).alias("question"))
+@query(HINTED + """
+SELECT proposal_id, CASE WHEN kind = 'predicate' THEN CASE WHEN k IN ('employedby', 'hasemployer', 'hascurrentemployer', 'employerof') OR contains(b, 'employed by') OR contains(b, 'current employer') THEN 'employment_path' WHEN k IN ('currentrole', 'hascurrentrole') OR contains(b, 'current role') THEN 'role_validity'
+  WHEN k IN ('usedby', 'uses') THEN 'usage_direction' WHEN k IN ('avoids', 'avoid') THEN 'negative_semantics' WHEN k IN ('partof', 'haspart') THEN 'part_whole' END
+ ELSE CASE WHEN k IN ('historicalrole', 'formerrole', 'pastrole') OR (contains(b, 'historical') AND contains(b, 'role')) THEN 'temporal_role' WHEN starts_with(k, 'verified') OR starts_with(k, 'confirmed') OR (contains(b, 'verified') AND contains(b, 'skill')) THEN 'verified_qualifier'
+  WHEN starts_with(k, 'probable') OR starts_with(k, 'likely') OR (contains(b, 'confidence') AND (contains(b, 'goal') OR contains(b, 'probable'))) THEN 'confidence_qualifier' WHEN k IN ('employmentrelation', 'employment') OR contains(b, 'ongoing employment') OR contains(b, 'employment relationship') THEN 'employment_class' END END AS hint FROM w""")
+def h27_modelling_hints(spark, sf_dir):
+    k = F.col("p_partkey")
+    names = ("EmployedBy", "uses", "VerifiedPart", "partOf", "FormerRole", "currentRole")
+    key = F.coalesce(F.get(F.array(*map(F.lit, names)), (k % 9).cast("int")), F.concat(F.lit("Thing"), k))
+    description = F.when(k % 7 == 0, F.concat(F.lit("A historical Role of "), "p_name")).when(k % 11 == 0, F.concat(F.lit("Confidence in a probable "), "p_name")).when(k % 13 != 0, F.concat("p_name", F.lit(" employed by a firm")))
+    hint = governance.modelling_hints(F.when(k % 2 == 0, "class").otherwise("predicate"), key, F.col("p_type"), description)
+    return table(spark, sf_dir, "part").select(k.alias("proposal_id"), hint["hint"].alias("hint"))
 
 
 @query(WALKS + """, e AS (SELECT statement_id, lag(statement_id) OVER (PARTITION BY subject_entity_id ORDER BY asserted_at, statement_id) AS successor_id FROM fx_statement WHERE predicate_key = 'preferredPriority' AND statement_id LIKE '%5'),
@@ -250,14 +246,14 @@ def i09_connected_support(spark, sf_dir):
     return _edges(spark, sf_dir).withColumn("k", place).filter("k <= 3").select(F.col("parent").alias("concept"), F.col("child").alias("support"))
 
 
-@query(ROOTS + """, a AS (SELECT 'customer:' || c_custkey AS anchor FROM customer WHERE c_custkey % 100 = 1),
- f AS (SELECT a.anchor, s.statement_id, row_number() OVER (PARTITION BY a.anchor ORDER BY coalesce(s.valid_from, s.asserted_at), s.asserted_at, s.statement_id) AS k FROM a JOIN fx_statement s ON s.object_entity_id = a.anchor WHERE s.value_kind = 'entity' AND s.status <> 'retracted') SELECT anchor, statement_id FROM f WHERE k <= 5""")
+@query(ROOTS + """, a AS (SELECT 'customer:' || c_custkey AS anchor FROM customer WHERE c_custkey % 20 = 0),
+ f AS (SELECT a.anchor, s.statement_id, row_number() OVER (PARTITION BY a.anchor ORDER BY coalesce(s.valid_from, s.asserted_at), s.asserted_at, s.statement_id) AS k FROM a JOIN fx_statement s ON s.object_entity_id = a.anchor WHERE s.value_kind = 'entity' AND s.status <> 'retracted') SELECT anchor, statement_id FROM f WHERE k <= 40""")
 def i08_anchor_expansion(spark, sf_dir):
-    anchors = table(spark, sf_dir, "customer").filter("c_custkey % 100 = 1").select(F.concat(F.lit("customer:"), "c_custkey").alias("anchor"))
+    anchors = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("anchor"))
     rows = view(spark, sf_dir, "fx_statement").filter("value_kind = 'entity' AND status <> 'retracted'")
     found = rows.join(anchors, rows.object_entity_id == anchors.anchor).withColumn("query_id", F.col("anchor"))
     order = [F.coalesce("valid_from", "asserted_at"), F.col("asserted_at"), F.col("statement_id")]
-    return retrieval.capped(found, "query_id", "anchor", order, 5, 5).select("anchor", "statement_id")
+    return retrieval.capped(found, "query_id", "anchor", order).select("anchor", "statement_id")
 
 
 @query()
@@ -290,7 +286,14 @@ def f07_lexical_nearest(spark, sf_dir):
     return _nearest_types(spark, sf_dir)
 
 
-@query()
+PACKED = NEAREST.replace("WITH p AS", "WITH RECURSIVE p AS") + """, cand AS (SELECT proposal_id, CASE WHEN score >= 0.55 THEN 1 ELSE 2 END AS tier, place AS id, length(concept) * 10 AS t, row_number() OVER (PARTITION BY proposal_id ORDER BY CASE WHEN score >= 0.55 THEN 1 ELSE 2 END, place) AS k FROM r WHERE place <= 12),
+ w AS (SELECT proposal_id, 0::BIGINT AS k, 0::BIGINT AS used, -1::BIGINT AS closed, 0 AS n, ''::VARCHAR AS ids FROM cand WHERE k = 1
+  UNION ALL SELECT c.proposal_id, c.k, CASE WHEN takes THEN used + t ELSE used END, CASE WHEN NOT takes AND open AND tier <> 0 THEN tier ELSE closed END, CASE WHEN takes THEN n + 1 ELSE n END, CASE WHEN takes THEN ids || CASE WHEN n > 0 THEN ',' ELSE '' END || id ELSE ids END
+  FROM (SELECT c.*, w.used, w.closed, w.n, w.ids, w.n < 8 AND c.tier <> w.closed AS open, w.n < 8 AND c.tier <> w.closed AND (w.used + c.t <= 600 OR w.n = 0) AS takes FROM w JOIN cand c ON c.proposal_id = w.proposal_id AND c.k = w.k + 1) c)
+SELECT proposal_id, used::BIGINT AS used_tokens, ids AS packed_ids FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY k DESC) AS last FROM w) WHERE last = 1"""
+
+
+@query(PACKED)
 def j18_review_context(spark, sf_dir):
     near = _nearest_types(spark, sf_dir).select("proposal_id", "tier", F.col("place").cast("long").alias("candidate_id"), (F.length("concept") * 10).alias("tokens"))
     return governance.packed(near, "proposal_id", "tokens", 600, 8)
@@ -301,3 +304,59 @@ WITH a AS (SELECT doc_id % 40 AS proposal_id, doc_id AS ask_id, CASE WHEN toxic
 def j20_superseded_asks(spark, sf_dir):
     asks = table(spark, sf_dir, "labels").select((F.col("doc_id") % 40).alias("proposal_id"), F.col("doc_id").alias("ask_id"), F.when(F.col("toxic") == 1, "answered").otherwise("open").alias("status"))
     return governance.superseded_asks(asks)
+
+
+@query(NEAREST + "SELECT proposal_id, sha256(string_agg(concept || ':' || CASE WHEN score >= 0.55 THEN 1 ELSE 2 END, ';' ORDER BY place)) AS context_hash FROM r WHERE place <= 12 GROUP BY 1")
+def h29_context_hash(spark, sf_dir):
+    return governance.context_hashes(_nearest_types(spark, sf_dir), "proposal_id", "place", F.concat_ws(":", "concept", "tier"))
+
+
+@query(NEAREST + """, a AS (SELECT proposal_id, list(concept ORDER BY place) AS c FROM r WHERE place <= 2 GROUP BY 1), k AS (SELECT proposal_id, 'Part' || proposal_id AS key, c FROM (SELECT DISTINCT p_partkey AS proposal_id FROM part WHERE p_partkey % 20 = 0) LEFT JOIN a USING (proposal_id))
+SELECT proposal_id, coalesce('Explain how ' || key || ' differs from ' || c[1] || '.|Provide an example assertion that should be valid for ' || key || ' but not for ' || c[1] || '.|', '') || coalesce('Explain how ' || key || ' differs from ' || c[2] || '.|Provide an example assertion that should be valid for ' || key || ' but not for ' || c[2] || '.|', '')
+ || 'State whether ' || key || ' represents an ability, a domain/category, a relation, or something else.' AS asks FROM k""")
+def h31_default_asks(spark, sf_dir):
+    key = F.concat(F.lit("Part"), "proposal_id")
+    asked = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("proposal_id"))
+    related = asked.join(_nearest_types(spark, sf_dir), "proposal_id", "left").select("proposal_id", key.alias("key"), "concept", "place")
+    return governance.default_asks(related).select("proposal_id", F.array_join("asks", "|").alias("asks"))
+
+
+PROPOSED = """WITH p AS (SELECT p_partkey AS proposal_id, CASE p_partkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'predicate' WHEN 2 THEN 'constraint' WHEN 3 THEN 'alias' ELSE 'class_parent' END AS kind, CASE WHEN p_partkey % 31 <> 0 THEN 'core' END AS namespace_key,
+ CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN lower(p_brand) WHEN 2 THEN 'newKey' WHEN 3 THEN 'NewKey' WHEN 4 THEN 'contains' ELSE 'bad key' END AS key, CASE p_partkey % 4 WHEN 0 THEN 'entity' WHEN 1 THEN 'string' WHEN 2 THEN 'colour' ELSE 'number' END AS value_kind, CASE WHEN p_partkey % 3 <> 0 THEN 'one' END AS cardinality, CASE WHEN p_partkey % 2 = 0 THEN 'unique' END AS constraint_type,
+ CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE 'fresh' END AS alias, CASE WHEN p_partkey % 4 < 2 THEN 'class' ELSE 'predicate' END AS target_type, CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN 'contains' ELSE 'Nothing' END AS target_key,
+ CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS child_key, CASE WHEN p_partkey % 3 = 1 THEN p_type WHEN p_partkey % 19 = 0 THEN 'Nothing' ELSE p_brand END AS parent_key, CASE WHEN p_partkey % 17 = 0 THEN [p_brand, 'Nothing'] WHEN p_partkey % 13 = 0 THEN ['NewKey'] ELSE [p_brand] END AS parent_keys,
+ CASE WHEN p_partkey % 23 = 0 THEN ['Nothing'] ELSE [p_type] END AS domain_keys, CASE WHEN p_partkey % 8 < 3 THEN [p_brand] ELSE []::VARCHAR[] END AS range_keys, CASE WHEN p_partkey % 29 = 1 THEN 1 END AS base_revision FROM part),
+ concepts AS (SELECT DISTINCT 'class' AS kind, p_brand AS key FROM part UNION SELECT DISTINCT 'class', p_type FROM part UNION SELECT 'predicate', 'contains'), up AS (SELECT DISTINCT p_brand AS node, p_type AS ancestor FROM part UNION SELECT DISTINCT p_brand, p_brand FROM part UNION SELECT DISTINCT p_type, p_type FROM part), """
+
+
+@query(PROPOSED + """
+ has(kind, keys) AS (SELECT kind, list(key) FROM concepts GROUP BY 1), f AS (SELECT p.*, coalesce(namespace_key, '') = 'core' AS core, (SELECT keys FROM has WHERE kind = 'class') AS classes, (SELECT keys FROM has WHERE kind = 'predicate') AS predicates FROM p),
+ g AS (SELECT *, core AND kind IN ('class', 'predicate') AND len(list_filter(CASE kind WHEN 'class' THEN classes ELSE predicates END, lambda x: lower(x) = lower(key))) > 0 AS spelled,
+  core AND list_contains(classes, child_key) AS has_child, core AND list_contains(classes, parent_key) AS has_parent, core AND list_contains(CASE target_type WHEN 'class' THEN classes ELSE predicates END, target_key) AS has_target,
+  core AND list_has_all(classes, parent_keys) AS has_parents, core AND list_has_all(classes, domain_keys) AS has_domains, len(range_keys) = 0 OR (core AND list_has_all(classes, range_keys)) AS has_ranges FROM f),
+ t AS (SELECT proposal_id, CASE WHEN namespace_key IS NULL OR (kind = 'predicate' AND cardinality IS NULL) OR (kind = 'constraint' AND constraint_type IS NULL) THEN 'fail' ELSE 'pass' END AS schema, 'pass' AS authorization_,
+  CASE WHEN spelled AND (kind = 'class' OR base_revision IS NULL) THEN 'reuse' ELSE 'pass' END AS existing_key,
+  CASE WHEN NOT spelled AND ((kind = 'class' AND NOT regexp_full_match(key, '[A-Z][A-Za-z0-9]*')) OR (kind = 'predicate' AND NOT regexp_full_match(key, '[a-z][A-Za-z0-9]*'))) THEN 'fail' ELSE 'pass' END AS key_shape,
+  CASE WHEN kind = 'alias' AND core AND alias IN (SELECT lower(p_type) FROM part) THEN 'reuse' ELSE 'pass' END AS alias,
+  CASE WHEN (kind = 'class' AND NOT has_parents) OR (kind = 'class_parent' AND NOT (has_child AND has_parent)) OR (kind = 'alias' AND NOT has_target) OR (kind = 'predicate' AND value_kind = 'colour') THEN 'fail' ELSE 'pass' END AS structural,
+  CASE WHEN (kind = 'class_parent' AND has_child AND has_parent AND EXISTS (SELECT 1 FROM up WHERE node = parent_key AND ancestor = child_key)) OR (kind = 'class' AND list_contains(parent_keys, key)) THEN 'fail' ELSE 'pass' END AS cycle,
+  CASE WHEN kind = 'predicate' AND (NOT has_domains OR NOT has_ranges OR (value_kind = 'entity') <> (len(range_keys) > 0)) THEN 'fail' ELSE 'pass' END AS domain_range FROM g),
+ u AS (SELECT proposal_id, unnest(['schema', 'authorization', 'existing_key', 'key_shape', 'alias', 'structural', 'cycle', 'domain_range', 'final_deterministic']) AS gate, unnest([schema, authorization_, existing_key, key_shape, alias, structural, cycle, domain_range, CASE WHEN 'fail' IN (schema, existing_key, key_shape, alias, structural, cycle, domain_range) THEN 'fail' ELSE 'pass' END]) AS decision FROM t)
+SELECT proposal_id, gate, decision FROM u""")
+def j15_proposal_gates(spark, sf_dir):
+    k, p = F.col("p_partkey"), table(spark, sf_dir, "part")
+    pick = lambda n, *values: F.coalesce(*[F.when(k % n == i, v) for i, v in enumerate(values[:-1])], values[-1])
+    lit, brand, parent = F.lit, F.col("p_brand"), F.col("p_type")
+    given = p.select(
+        k.alias("proposal_id"), pick(5, lit("class"), lit("predicate"), lit("constraint"), lit("alias"), lit("class_parent")).alias("kind"), F.when(k % 31 != 0, "core").alias("namespace_key"),
+        pick(7, brand, F.lower(brand), lit("newKey"), lit("NewKey"), lit("contains"), lit("bad key")).alias("key"), pick(4, lit("entity"), lit("string"), lit("colour"), lit("number")).alias("value_kind"),
+        F.when(k % 3 != 0, "one").alias("cardinality"), F.when(k % 2 == 0, "unique").alias("constraint_type"), F.when(k % 2 == 0, F.lower(parent)).otherwise("fresh").alias("alias"), F.when(k % 4 < 2, "class").otherwise("predicate").alias("target_type"),
+        pick(6, brand, lit("contains"), lit("Nothing")).alias("target_key"), F.when(k % 3 == 0, parent).otherwise(brand).alias("child_key"), F.when(k % 3 == 1, parent).when(k % 19 == 0, "Nothing").otherwise(brand).alias("parent_key"),
+        F.when(k % 17 == 0, F.array(brand, lit("Nothing"))).when(k % 13 == 0, F.array(lit("NewKey"))).otherwise(F.array(brand)).alias("parent_keys"), F.when(k % 23 == 0, F.array(lit("Nothing"))).otherwise(F.array(parent)).alias("domain_keys"),
+        F.when(k % 8 < 3, F.array(brand)).otherwise(F.array().cast("array<string>")).alias("range_keys"), F.when(k % 29 == 1, 1).alias("base_revision"),
+    )
+    core = lambda kind, key: p.select(lit(kind).alias("kind"), lit("core").alias("namespace_key"), key.alias("key")).distinct()
+    concepts = core("class", brand).union(core("class", parent)).union(core("predicate", lit("contains")))
+    aliases = p.select(lit("core").alias("namespace_key"), F.lower(parent).alias("alias")).distinct()
+    up = graph.closure(p.select(brand.alias("child"), parent.alias("parent")).distinct(), concepts.filter("kind = 'class'").select(F.col("key").alias("node")))
+    return proposals.gates(given, concepts, aliases, up)

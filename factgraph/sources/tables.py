@@ -32,7 +32,7 @@ SELECT 'st:pp:' || CAST(o_orderkey AS STRING) AS statement_id, 'customer:' || CA
  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 20 <> 0 THEN CASE WHEN o_orderkey % 97 = 1 THEN NULL WHEN o_orderkey % 89 = 1 THEN 'st:pp:-1' WHEN o_orderkey % 83 = 1 THEN 'st:pp:' || CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING) WHEN o_orderkey % 79 = 1 THEN 'st:ob:' || CAST(o_orderkey AS STRING) ELSE 'st:pp:' || CAST(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS STRING) END END AS superseded_by_statement_id FROM orders
 UNION ALL SELECT 'st:ob:' || CAST(o_orderkey AS STRING), 'order:' || CAST(o_orderkey AS STRING), 'orderedBy', 'entity', 'customer:' || CAST(o_custkey AS STRING), NULL, NULL, 'asserted', o_orderdate, o_orderdate, NULL, NULL FROM orders
 UNION ALL SELECT 'st:tp:' || CAST(o_orderkey AS STRING), 'order:' || CAST(o_orderkey AS STRING), 'totalPrice', 'number', NULL, NULL, CAST(o_totalprice AS DECIMAL(18,2)), 'asserted', o_orderdate, NULL, NULL, NULL FROM orders
-UNION ALL SELECT 'st:li:' || CAST(l_orderkey AS STRING) || ':' || CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS STRING), 'order:' || CAST(l_orderkey AS STRING), 'contains', 'entity', 'part:' || CAST(l_partkey AS STRING), NULL, NULL, CASE l_returnflag WHEN 'R' THEN 'retracted' WHEN 'A' THEN 'superseded' ELSE 'asserted' END, l_shipdate, l_shipdate, CASE WHEN l_linestatus = 'F' THEN l_shipdate + INTERVAL '14' DAY END, NULL FROM lineitem
+UNION ALL SELECT 'st:li:' || concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)), 'order:' || CAST(l_orderkey AS STRING), 'contains', 'entity', 'part:' || CAST(l_partkey AS STRING), NULL, NULL, CASE l_returnflag WHEN 'R' THEN 'retracted' WHEN 'A' THEN 'superseded' ELSE 'asserted' END, l_shipdate, l_shipdate, CASE WHEN l_linestatus = 'F' THEN l_shipdate + INTERVAL '14' DAY END, NULL FROM lineitem
 UNION ALL SELECT 'st:pd:' || CAST(p_partkey AS STRING), 'part:' || CAST(p_partkey AS STRING), 'description', 'string', NULL, p_type || ' ' || p_name, NULL, 'asserted', TIMESTAMP '2000-01-01 00:00:00', NULL, NULL, NULL FROM part
 UNION ALL SELECT 'st:cl:' || CAST(c_custkey AS STRING), 'customer:' || CAST(c_custkey AS STRING), 'locatedAt', 'entity', 'nation:' || CAST(c_nationkey AS STRING), NULL, NULL, 'asserted', TIMESTAMP '1996-01-01 00:00:00', TIMESTAMP '1996-01-01 00:00:00', NULL, NULL FROM customer
 UNION ALL SELECT 'st:nr:' || CAST(n_nationkey AS STRING), 'nation:' || CAST(n_nationkey AS STRING), 'locatedAt', 'entity', 'region:' || CAST(n_regionkey AS STRING), NULL, NULL, 'asserted', TIMESTAMP '1996-01-01 00:00:00', NULL, NULL, NULL FROM nation
@@ -43,7 +43,7 @@ UNION ALL SELECT 'st:td:' || CAST(o_orderkey AS STRING), 'order:' || CAST(o_orde
 SELECT 'src:' || CAST(s_suppkey AS STRING) AS source_id, CASE s_suppkey % 5 WHEN 0 THEN 'Wiki' WHEN 1 THEN 'Corp Wiki' WHEN 2 THEN 'corp-wiki ' WHEN 3 THEN 'Tracker' ELSE NULL END AS source_system, CASE WHEN s_suppkey % 11 <> 0 THEN 'ext-' || CAST(s_suppkey % 37 AS STRING) END AS external_id, CAST((s_suppkey % 101) / 100.0 AS DECIMAL(5,4)) AS reliability FROM supplier
 """,
     "fx_evidence": """
-SELECT 'st:li:' || CAST(l_orderkey AS STRING) || ':' || CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS STRING) AS statement_id, 'src:' || CAST(l_suppkey AS STRING) AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN 'line ' || CAST(l_linenumber AS STRING) END AS excerpt FROM lineitem WHERE l_returnflag <> 'A'
+SELECT 'st:li:' || concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS statement_id, 'src:' || CAST(l_suppkey AS STRING) AS source_id, CASE WHEN l_linenumber % 2 = 0 THEN 'line ' || CAST(l_linenumber AS STRING) END AS excerpt FROM lineitem WHERE l_returnflag <> 'A'
 """,
     "fx_operation_log": """
 SELECT event_id AS operation_id, user_id AS actor_id, event_type AS operation_name, CASE WHEN event_type <> 'error' THEN 'success' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'rejected' END AS status, CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'E' || CAST(event_id % 7 AS STRING) END AS error_code, 'k' || CAST(event_id % 400 AS STRING) AS idempotency_key, sha2(event_type || props, 256) AS request_hash, ts AS started_at, ts AS created_at FROM events
@@ -76,11 +76,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fact-graph view; nothing is read before it is used."""
-    sql = VIEWS[name]
-    for t in TABLES:
-        if re.search(rf"\bFROM {t}\b", sql):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\bFROM {t}\b", VIEWS[name])}
+    # Tables are handed in by name, so no view of the session is touched.
+    return spark.sql(re.sub(rf"\bFROM ({'|'.join(TABLES)})\b", r"FROM {\1}", VIEWS[name]), **used)
 
 
 def duckdb_views(sql: str) -> str:

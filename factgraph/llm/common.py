@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,24 +56,63 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, each finished execution's shuffle files go at once, not when the driver happens to
+    collect its garbage: rounds that are written to checkpoints need them no longer."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def batches_by_size(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts in a column have about ``size`` bytes at most, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = done = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(at, end - at)
+            at, done = end, int(ends[end - 1])
+
+
 class Memo:
-    """A function's results by key, in two generations of about ``limit`` entries each.
+    """A function's results (of some length) by key (a string), in two generations of about
+    ``limit`` bytes each.
 
-    ``function`` maps a list of new keys to their values. A full young generation becomes the old
-    one and the former old one goes, so memory stays bounded and results never depend on it.
+    ``function`` maps a list of keys to their values. A full young generation becomes the old one
+    and the former old one goes, so memory stays bounded whatever the keys are, and results never
+    depend on it. Keys of over LONGEST characters are not kept.
     """
 
-    def __init__(self, function, limit: int = 300_000):
-        self.function, self.limit, self.young, self.old = function, limit, {}, {}
-
-    def having(self, lists) -> dict:
-        """A dict with the value of every key in the lists; good until the next call."""
-        if len(self.young) >= self.limit:
-            self.young, self.old = {}, self.young
-        new = set().union(*lists).difference(self.young)
-        if new:
-            known = {k: self.old[k] for k in new if k in self.old}
-            self.young.update(known)
-            fresh = list(new.difference(known))
-            self.young.update(zip(fresh, self.function(fresh), strict=True))
-        return self.young
+    LONGEST = 256
+
+    def __init__(self, function, limit: int = 100 << 20, entry: int = 200):
+        """entry: what an entry takes besides the key's and the value's length."""
+        self.function, self.limit, self.entry, self.held, self.young, self.old = function, limit, entry, 0, {}, {}
+
+    def values(self, keys: list[str]) -> list:
+        """The value of each key."""
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        fresh = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            key = keys[i]
+            if key in old:
+                out[i] = young[key] = old[key]
+                self.held += len(key) + len(out[i]) + self.entry
+            else:
+                fresh.append(i)
+        if fresh:
+            for i, value in zip(fresh, self.function([keys[i] for i in fresh]), strict=True):
+                out[i], key = value, keys[i]
+                if len(key) <= self.LONGEST:
+                    young[key] = value
+                    self.held += len(key) + len(value) + self.entry
+        if self.held > self.limit:
+            self.young, self.old, self.held = {}, young, 0
+        return out

@@ -23,12 +23,14 @@ SPACE = "▁"
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Piece types in a model file.
 NORMAL, BYTE = 1, 6
+#: Pairs of pieces whose fit a worker remembers.
+FITS_HELD = 200_000
 
 
 class PieceCodec:
     """Pieces of a BPE model with identity normalisation, dummy prefix and byte fallback."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 64 << 20):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -50,10 +52,12 @@ class PieceCodec:
         for piece in self.ids:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        self.most = max(map(len, self.ids))
         self.shorter = {x: next((x[:k] for k in range(len(x) - 1, 0, -1) if x[:k] in self.ids), None) for x in self.ids}
         self.other = re.compile("([^" + "".join(re.escape(x) for x in self.ids if len(x) == 1) + "])")
+        #: Whether two pieces fit as neighbours; pieces are bounded in length, so entries are too.
         self.fits: dict[tuple[str, str], bool] = {}
-        self.chunks = Memo(lambda new: list(map(self._digest_parts, new)), limit)
+        self.chunks = Memo(lambda new: list(map(self._digest_parts, new)), limit, 500)
 
     def _merged(self, text: str) -> list[str]:
         """Characters merged by score: the best pair first, the leftmost of equals."""
@@ -72,7 +76,7 @@ class PieceCodec:
     def _fit(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) >= 400_000:
+            if len(self.fits) >= FITS_HELD:
                 self.fits.clear()
             found = self.fits[left, right] = self._merged(left + right) == [left, right]
         return found
@@ -82,19 +86,20 @@ class PieceCodec:
         longest = [x for _, x in self.automaton.iter_long(text)]
         if all(map(self._fit, longest, longest[1:])):
             return longest
-        open_at = (1 << (len(text) + 1)) - 1
+        # A bit for each place, set while a way on from it may exist.
+        open_at = bytearray(b"\xff" * (len(text) // 8 + 1))
         out: list[str] = []
         at, piece = 0, longest[0]
         while piece is not None:
             end = at + len(piece)
-            if open_at >> end & 1 and (not out or self._fit(out[-1], piece)):
+            if open_at[end >> 3] >> (end & 7) & 1 and (not out or self._fit(out[-1], piece)):
                 out.append(piece)
                 at = end
-                piece = next(self.automaton.iter_long(text, at))[1] if at < len(text) else None
+                piece = next(self.automaton.iter_long(text[at : at + self.most]))[1] if at < len(text) else None
             elif self.shorter[piece]:
                 piece = self.shorter[piece]
             else:
-                open_at &= ~(1 << at)
+                open_at[at >> 3] &= ~(1 << (at & 7)) & 0xFF
                 piece = out.pop()
                 at -= len(piece)
         return out
@@ -136,7 +141,8 @@ class PieceCodec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: number of ids, SHA-256 of the ids and of the text decoded from them."""
         lists = [self.split(x) for x in texts]
-        known, out = self.chunks.having(lists), []
+        distinct, out = list(set().union(*lists)), []
+        known = dict(zip(distinct, self.chunks.values(distinct), strict=True))
         for chunks in lists:
             parts = [known[x] for x in chunks]
             ids = ",".join([x[0] for x in parts])

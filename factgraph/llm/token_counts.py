@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import small_batches, text_of
+from factgraph.llm.byte_bpe import byte_bpe
+from factgraph.llm.common import batches_by_size, text_of
 
-#: Pre-tokens that a broadcast may hold, and documents they are looked for in. Both are fixed, so
-#: the broadcast has a fixed bound; any other pre-token takes the shuffled join, whatever they are.
-HEAD_UNITS, HEAD_DOCS = 100_000, 4_000
+#: Pre-tokens that a broadcast may hold, their characters at most, and documents they are looked for
+#: in. All three are fixed, so the broadcast has a fixed bound; any other pre-token takes the
+#: shuffled join, whatever they are.
+HEAD_PIECES, HEAD_CHARS, HEAD_DOCS = 100_000, 64, 4_000
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Each text is cut into pre-tokens (space-led units that the tokenizer treats alone) with their
-    frequencies in the document. Frequencies of common pre-tokens, whose counts are broadcast, are
-    summed at once; all others are shuffled by pre-token, where every distinct one is counted once
-    and joined to its frequencies, and the products are summed per document.
+    Each text is cut into the tokenizer's pre-tokens with their frequencies in the document.
+    Frequencies of common pre-tokens, whose counts are broadcast, are summed at once; all others
+    are shuffled by pre-token, where every distinct one is counted once and joined to its
+    frequencies, and the products are summed per document.
 
     Null texts count as empty (0 bytes, 0 tokens); null ids and repeated rows or ids keep a row
     each; an empty table gives no rows; other columns are not read.
@@ -33,48 +35,37 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     head = docs.sparkSession.sparkContext.broadcast(_head(rows, tokenizer))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from factgraph.llm.byte_bpe import byte_bpe
-
         bpe, known = byte_bpe(tokenizer), head.value
-        for batch in small_batches(batches, 512):
-            at, units, freqs, sums = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                found = Counter(bpe.units(text.as_py()))
-                common = found.keys() & known.keys()
-                sums.append(sum([found.pop(x) * known[x] for x in common]))
-                units += found
-                freqs += found.values()
-                at.append(len(found))
-            # The first rows have no unit: what is known of each document.
-            ids = batch.column(0)
-            each = np.repeat(np.arange(len(at)), at)
-            n = len(at)
+        for batch in batches_by_size(batches, 1):
+            pieces, text, piece, times = bpe.frequencies(batch.column(1))
+            tokens = np.array([known.get(x, 0) for x in pieces.to_numpy(zero_copy_only=False).tolist()], np.int64)
+            n, rare = batch.num_rows, tokens[piece] == 0
+            sums = np.bincount(text, tokens[piece] * times, n).astype(np.int64)
+            of = pa.array(np.concatenate((np.arange(n), text[rare])))
+            # The first rows have no pre-token: what is known of each document.
+            names = pieces.take(pa.array(piece[rare]))
             yield pa.record_batch([
-                pa.concat_arrays([ids, ids.take(pa.array(each))]), pa.concat_arrays([batch.column(2), batch.column(2).take(pa.array(each))]),
-                pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(units, pa.string())]),
-                pa.array(np.concatenate((np.array(sums, np.int64), np.array(freqs, np.int64)))),
-                pa.concat_arrays([pa.array([len(x.as_py().encode()) for x in batch.column(1)], pa.int64()), pa.nulls(len(units), pa.int64())]),
-            ], ["doc_id", "h", "unit", "n", "n_bytes"])
+                batch.column(0).take(of), batch.column(2).take(of), pa.concat_arrays([pa.nulls(n, pa.string()), names]), pa.array(np.concatenate((sums, times[rare]))),
+                pa.concat_arrays([pc.binary_length(batch.column(1)).cast(pa.int64()), pa.nulls(len(names), pa.int64())]),
+            ], ["doc_id", "h", "piece", "n", "n_bytes"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by unit; a run of equal units is counted once and joined to its rows."""
-        from factgraph.llm.byte_bpe import byte_bpe
-
+        """Rows come sorted by pre-token; a run of equal ones is counted once and joined to its rows."""
         bpe, last, size = byte_bpe(tokenizer), None, 0
         for batch in batches:
             runs = batch.column(2).dictionary_encode()
-            new = runs.dictionary.to_pylist()
-            sizes = bpe.counts([x for x in new if x != last])
-            if last is not None and new[:1] == [last]:
+            new = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+            sizes = bpe.counts(new[1:] if new and new[0] == last else new)
+            if len(sizes) < len(new):
                 sizes.insert(0, size)
             if new:
                 last, size = new[-1], sizes[-1]
-            # A null unit stands for a document, whose sum is known.
+            # A null pre-token stands for a document, whose sum is known.
             counts = np.array([*sizes, 1], np.int64)[runs.indices.fill_null(len(sizes)).to_numpy()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts * batch.column(3).to_numpy()), batch.column(4)], ["doc_id", "h", "n", "n_bytes"])
 
-    split = rows.mapInArrow(frequencies, "doc_id long, h long, unit string, n long, n_bytes long")
-    split = split.repartition(F.coalesce("unit", F.col("h").cast("string"))).sortWithinPartitions("unit")
+    split = rows.mapInArrow(frequencies, "doc_id long, h long, piece string, n long, n_bytes long")
+    split = split.repartition(F.coalesce("piece", F.col("h").cast("string"))).sortWithinPartitions("piece")
     counts = split.mapInArrow(counted, "doc_id long, h long, n long, n_bytes long")
     # Equal rows add up to the same multiple of everything.
     sums = counts.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.count("n_bytes").alias("rows"), F.max("n_bytes").alias("n_bytes"))
@@ -85,16 +76,16 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
 def _head(rows: DataFrame, tokenizer: str) -> dict[str, int]:
     """Token counts of the most frequent pre-tokens in about HEAD_DOCS documents chosen by hash."""
-    from factgraph.llm.byte_bpe import byte_bpe
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
-        for batch in batches:
-            units = Counter(x for text in batch.column(0) for x in bpe.units(text.as_py()))
-            yield pa.record_batch([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
+        for batch in batches_by_size(batches, 0):
+            pieces, _, piece, times = bpe.frequencies(batch.column(0))
+            sums = np.bincount(piece, times, len(pieces)).astype(np.int64)
+            yield pa.record_batch([pieces, pa.array(sums)], ["piece", "n"])
 
     every = max(1, rows.count() // HEAD_DOCS)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(every)) == 0).select("text")
-    top = sample.mapInArrow(found, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(HEAD_UNITS)
-    units = [x.unit for x in top.select("unit").collect()]
-    return dict(zip(units, byte_bpe(tokenizer).counts(units), strict=True))
+    sums = sample.mapInArrow(found, "piece string, n long").filter(F.length("piece") <= HEAD_CHARS).groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = [x.piece for x in sums.orderBy(F.desc("n"), "piece").limit(HEAD_PIECES).select("piece").collect()]
+    return dict(zip(pieces, byte_bpe(tokenizer).counts(pieces), strict=True))

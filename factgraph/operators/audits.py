@@ -70,7 +70,7 @@ def class_violations(statements: DataFrame, types: DataFrame, closed: DataFrame,
     types: entity_id, class_key; closed: node, ancestor; allowed: predicate_key, class_key. A
     predicate without rows in ``allowed`` takes any class; an entity without class breaks the rule.
     """
-    limited = statements.join(F.broadcast(allowed.select("predicate_key").distinct()), "predicate_key", "left_semi").filter(F.col(end).isNotNull())
-    fits = types.join(F.broadcast(closed), types.class_key == closed.node).select("entity_id", F.col("ancestor").alias("class_key"))
-    fits = fits.join(F.broadcast(allowed), "class_key").select(F.col("entity_id").alias(end), "predicate_key").distinct()
+    limited = statements.join(allowed.select("predicate_key").distinct(), "predicate_key", "left_semi").filter(F.col(end).isNotNull())
+    fits = types.join(closed, types.class_key == closed.node).select("entity_id", F.col("ancestor").alias("class_key"))
+    fits = fits.join(allowed, "class_key").select(F.col("entity_id").alias(end), "predicate_key").distinct()
     return limited.join(fits, [end, "predicate_key"], "left_anti")

@@ -86,7 +86,7 @@ def canonical_systems(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """sources with canonical_system: the registered key of the system's normal form, else that form."""
     key = source_system_key(F.col("source_system"))
     registry = aliases.select(F.col("normalized_alias").alias("_alias"), "canonical_key")
-    rows = sources.withColumn("_key", key).join(F.broadcast(registry), F.col("_key") == F.col("_alias"), "left")
+    rows = sources.withColumn("_key", key).join(registry, F.col("_key") == F.col("_alias"), "left")
     return rows.withColumn("canonical_system", F.coalesce("canonical_key", "_key")).drop("_key", "_alias", "canonical_key")
 
 

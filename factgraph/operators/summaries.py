@@ -43,7 +43,7 @@ def operations_summary(log: DataFrame) -> DataFrame:
 def call_costs(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """calls with cost_amount, cost_currency and cost_status: the reported cost, else tokens times
     rates, else unknown (a null amount, never zero). pricing has a row for each priced model."""
-    priced = calls.join(F.broadcast(pricing), ["provider", "model"], "left")
+    priced = calls.join(pricing, ["provider", "model"], "left")
     known = F.col("input_rate").isNotNull() & F.col("output_rate").isNotNull() & F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
     reported = F.col("provider_reported_cost").isNotNull()
     estimate = (F.col("input_tokens") * F.col("input_rate") + F.col("output_tokens") * F.col("output_rate")).cast("decimal(18,8)")

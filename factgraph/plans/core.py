@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, retrieval, summaries
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, ontology, retrieval, summaries
 from factgraph.sources.tables import duckdb_views, table, view
 
 AS_OF = "2001-12-31 00:00:00"
@@ -378,7 +378,7 @@ def j17_review_policy(spark, sf_dir):
 
 NAMES = """WITH active AS (SELECT * FROM fx_entity WHERE status = 'active'), named AS (SELECT entity_id, lower(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))) AS norm, 'canonical' AS strength FROM active
  UNION ALL SELECT a.entity_id, lower(trim(regexp_replace(alias, '\\s+', ' ', 'g'))), identity_strength FROM fx_entity_alias a JOIN active USING (entity_id)),
- asked AS (SELECT p_partkey AS request_id, lower(trim(regexp_replace(CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || p_name || '   ' || p_brand WHEN 2 THEN split_part(p_name, ' ', 1) ELSE 'unknown ' || p_name END, '\\s+', ' ', 'g'))) AS norm FROM part WHERE p_partkey <= 100) """
+ asked AS (SELECT p_partkey AS request_id, lower(trim(regexp_replace(CASE (p_partkey // 20) % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || p_name || '   ' || p_brand WHEN 2 THEN split_part(p_name, ' ', 1) ELSE 'unknown ' || p_name END, '\\s+', ' ', 'g'))) AS norm FROM part WHERE p_partkey % 20 = 0) """
 
 
 def _named(spark, sf_dir):
@@ -386,10 +386,11 @@ def _named(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """Names asked for: upper-cased, padded with the brand, first words and unknown ones, of a hundred parts."""
+    """Names asked for: upper-cased, padded with the brand, first words and unknown ones, of every part whose id 20 divides."""
     k, name = F.col("p_partkey"), F.col("p_name")
-    asked = F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, F.concat(F.lit("  "), name, F.lit("   "), F.col("p_brand"))).when(k % 4 == 2, F.split(name, " ")[0]).otherwise(F.concat(F.lit("unknown "), name))
-    return table(spark, sf_dir, "part").filter(k <= 100).select(k.alias("request_id"), asked.alias("name"))
+    way = F.floor(k / 20) % 4
+    asked = F.when(way == 0, F.upper(name)).when(way == 1, F.concat(F.lit("  "), name, F.lit("   "), F.col("p_brand"))).when(way == 2, F.split(name, " ")[0]).otherwise(F.concat(F.lit("unknown "), name))
+    return table(spark, sf_dir, "part").filter(k % 20 == 0).select(k.alias("request_id"), asked.alias("name"))
 
 
 @query(NAMES + "SELECT request_id, entity_id, min(strength) AS strength FROM asked JOIN named USING (norm) GROUP BY 1, 2")
@@ -623,10 +624,25 @@ def h09_validity_scores(spark, sf_dir):
     return rows.select("statement_id", temporal.validity_score(F.col("valid_from"), F.col("valid_to"), F.col("status"), now, F.lit("current")).alias("score"))
 
 
+def _found(spark, sf_dir, queries, k=25):
+    """Hybrid search over the fact graph with all its candidates' sources."""
+    e, rows = view(spark, sf_dir, "fx_entity"), view(spark, sf_dir, "fx_statement")
+    cues = ontology.lexicon(rows.select("predicate_key", F.lit(None).cast("string").alias("label")).distinct())
+    return retrieval.search(queries, e, rows, view(spark, sf_dir, "fx_evidence"), AS_OF, k, sources=view(spark, sf_dir, "fx_source"), cues=cues, groups=graph.identity_groups(e, direct_only=True))
+
+
 @query()
 def j24_hybrid_search(spark, sf_dir):
-    evidence = facts.evidence_stats(view(spark, sf_dir, "fx_evidence"), view(spark, sf_dir, "fx_source"))
-    return retrieval.search(_asked(spark), view(spark, sf_dir, "fx_entity"), view(spark, sf_dir, "fx_statement"), evidence, AS_OF)
+    return _found(spark, sf_dir, _asked(spark))
+
+
+@query()
+def d17_search_quality(spark, sf_dir):
+    """Recall and reciprocal rank of search for the names of every active part whose id 20 divides."""
+    parts = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").cast("int").alias("query_id"), F.concat_ws(" ", "p_name", F.lit("part")).alias("query"), F.concat(F.lit("part:"), "p_partkey").alias("wanted"))
+    hits = _found(spark, sf_dir, parts.select("query_id", "query"), 10)
+    ranks = parts.join(hits.select("query_id", F.col("id").alias("wanted"), "place"), ["query_id", "wanted"], "left")
+    return summaries.retrieval_quality(ranks.select(F.col("query_id").alias("case_id"), F.col("place").alias("rank")), [])
 
 
 LEX = """WITH q AS (SELECT * FROM (VALUES (0, 'red plate', ['red', 'plate']), (3, 'customer#000000007', ['customer', '000000007'])) t(query_id, q, tokens)),

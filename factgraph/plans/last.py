@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from factgraph.functions import temporal, text
 from factgraph.operators import audits, changes, facts, governance, graph, proposals, repair, reporting, retrieval
-from factgraph.plans.core import AS_OF, PARENTS, ROOTS, WALKS, _asked, _edges, query
+from factgraph.plans.core import PARENTS, ROOTS, WALKS, _asked, _edges, _found, query
 from factgraph.sources.tables import table, view
 
 ANY = "(contains(lower(p_name), 'red') OR contains(lower(p_name), 'plate'))"
@@ -258,9 +258,7 @@ def i08_anchor_expansion(spark, sf_dir):
 
 @query()
 def h13_statement_scores(spark, sf_dir):
-    q = retrieval.prepared(_asked(spark).filter("query_id < 3"))
-    evidence = facts.evidence_stats(view(spark, sf_dir, "fx_evidence"), view(spark, sf_dir, "fx_source"))
-    return retrieval.statement_hits(view(spark, sf_dir, "fx_statement"), view(spark, sf_dir, "fx_entity"), evidence, q, AS_OF)
+    return _found(spark, sf_dir, _asked(spark), 100).filter("hit_type = 'statement'")
 
 
 @query("""

@@ -43,7 +43,7 @@ def a09_rebuild_partition(spark, sf_dir):
 def a12_backfill(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     n = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey", "n_name")
-    rows = table(spark, sf_dir, "orders").join(c, "o_custkey", "left").join(F.broadcast(n), "n_nationkey", "left")
+    rows = table(spark, sf_dir, "orders").join(c, "o_custkey", "left").join(n, "n_nationkey", "left")
     return rows.select("o_orderkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"))
 
 
@@ -60,7 +60,7 @@ def b06_ontology_search(spark, sf_dir):
 def b10_allowed_facts(spark, sf_dir):
     allowed = spark.createDataFrame([("contains",), ("locatedAt",)], "predicate_key string")
     rows = view(spark, sf_dir, "fx_statement").filter("value_kind = 'entity' AND status = 'asserted'")
-    return rows.join(F.broadcast(allowed), "predicate_key", "left_semi").groupBy("predicate_key").agg(F.count("*").alias("n"))
+    return rows.join(allowed, "predicate_key", "left_semi").groupBy("predicate_key").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'neutral' AS intent, count(*) AS n FROM fx_statement WHERE status = 'asserted' UNION ALL SELECT 'historical', count(*) FROM fx_statement")
@@ -130,14 +130,14 @@ def _predicates(spark):
 WITH p AS (SELECT * FROM (VALUES ('preferredPriority', 'one', 1), ('orderedBy', 'one', 1), ('totalPrice', 'one', 1), ('contains', 'many', 2), ('description', 'one', 1)) t(predicate_key, cardinality, revision))
 SELECT cardinality, count(*) AS n FROM fx_statement JOIN p USING (predicate_key) GROUP BY 1""")
 def c03_predicate_join(spark, sf_dir):
-    return view(spark, sf_dir, "fx_statement").join(F.broadcast(_predicates(spark)), "predicate_key").groupBy("cardinality").agg(F.count("*").alias("n"))
+    return view(spark, sf_dir, "fx_statement").join(_predicates(spark), "predicate_key").groupBy("cardinality").agg(F.count("*").alias("n"))
 
 
 @query("""
 WITH p AS (SELECT * FROM (VALUES ('preferredPriority', 1), ('orderedBy', 1), ('totalPrice', 1), ('contains', 2), ('description', 1)) t(predicate_key, revision))
 SELECT f.predicate_key, p.revision, count(*) AS n FROM fx_statement f LEFT JOIN p USING (predicate_key) GROUP BY 1, 2""")
 def c04_current_revision(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_statement").join(F.broadcast(_predicates(spark)), "predicate_key", "left")
+    rows = view(spark, sf_dir, "fx_statement").join(_predicates(spark), "predicate_key", "left")
     return rows.groupBy("predicate_key", "revision").agg(F.count("*").alias("n"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -87,57 +89,125 @@ def html_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(run, "page_id long, markdown string")
 
 
+# Elements that go with all they hold, that never hold anything, and whose text is a block.
+GONE = {"script", "style", "noscript", "head", "meta", "link"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+BLOCKS = {"address", "article", "aside", "body", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "html", "main", "nav", "section"}
+MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+
+
+#: Levels of elements; deeper ones stand beside each other.
+DEEPEST = 150
+
+
+class _Tree(HTMLParser):
+    """Elements as (tag, attributes, children); an end tag closes what stands open inside its element."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.top = ("", {}, [])
+        self.open = [self.top]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [])
+        self.open[-1][2].append(node)
+        if tag not in VOID and len(self.open) < DEEPEST:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def _raw(node) -> str:
+    return node if isinstance(node, str) else "".join(map(_raw, node[2]))
+
+
+def _joined(parts: list[tuple[bool, str]]) -> str:
+    """Inline parts run on; a block stands between blank lines."""
+    out, before = "", False
+    for block, text in parts:
+        out += ("\n\n" if out and (block or before) and text else "") + (text.lstrip(" ") if before and not block else text)
+        before = (block or before and not text) if text or before else before
+    return out
+
+
+def _flat(node, depth: int = 0) -> str:
+    """An element's content on one line."""
+    return re.sub(r"\s+", " ", _joined([x for child in node[2] for x in _parts(child, depth)])).strip()
+
+
+def _listed(node, depth: int) -> str:
+    lines, indent = [], "  " * depth
+    for k, item in enumerate((x for x in node[2] if not isinstance(x, str) and x[0] == "li"), 1):
+        text = re.sub(r"\n+", "\n", _joined([x for child in item[2] for x in _parts(child, depth + 1)]).strip())
+        first, *rest = text.split("\n")
+        lines += [f"{indent}{f'{k}.' if node[0] == 'ol' else '-'} {first}", *[f"{indent}  {x}" for x in rest]]
+    return "\n".join(lines)
+
+
+def _rows(node) -> list[str]:
+    """Rows of a table at any depth, cells apart by bars."""
+    if isinstance(node, str):
+        return []
+    if node[0] == "tr":
+        cells = [_flat(x) for x in node[2] if not isinstance(x, str) and x[0] in ("td", "th")]
+        return [" | ".join(cells)] if cells else []
+    return [row for child in node[2] for row in _rows(child)]
+
+
+def _parts(node, depth: int) -> list[tuple[bool, str]]:
+    """What a node gives: (whether it is a block, Markdown)."""
+    if isinstance(node, str):
+        return [(False, re.sub(r"[ \t\r\n\f\v]+", " ", node))]
+    tag, attrs, children = node
+    if tag in GONE:
+        return []
+    if tag in MARKS:
+        return [(False, f"{MARKS[tag]}{_flat(node)}{MARKS[tag]}")]
+    if tag == "a":
+        return [(False, f"[{_flat(node)}]({attrs['href']})" if attrs.get("href") else _flat(node))]
+    if tag == "code":
+        return [(False, "`" + _raw(node).replace("`", "\\`") + "`")]
+    if tag == "br":
+        return [(False, "\n")]
+    block = None
+    if tag == "hr":
+        block = "---"
+    elif re.fullmatch("h[1-6]", tag):
+        block = "#" * int(tag[1]) + " " + _flat(node)
+    elif tag == "p":
+        block = _flat(node)
+    elif tag == "li":
+        block = "- " + _flat(node)
+    elif tag == "pre":
+        block = "```\n" + _raw(node).rstrip("\n") + "\n```"
+    elif tag in ("ul", "ol"):
+        block = _listed(node, depth)
+    elif tag == "table":
+        block = "\n".join(_rows(node))
+    inner = [] if block is not None else [x for child in children for x in _parts(child, depth)]
+    if tag == "blockquote":
+        block = "\n".join(f"> {x}" for x in _joined(inner).strip("\n").split("\n")) if _joined(inner).strip() else ""
+    elif tag in BLOCKS and any(text.strip() for _, text in inner):
+        block = _joined(inner).strip()
+    return [(True, block)] if block is not None else inner
+
+
 def markdown(html: str) -> str:
-    """Markdown of one page; scripts and styles go."""
-    import re
-    from html.parser import HTMLParser
-
-    class Writer(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.out, self.skip, self.link = [], 0, []
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("script", "style", "head"):
-                self.skip += 1
-            elif re.fullmatch("h[1-6]", tag):
-                self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-            elif tag == "li":
-                self.out.append("\n- ")
-            elif tag == "br":
-                self.out.append("\n")
-            elif tag == "a":
-                self.link.append(dict(attrs).get("href") or "")
-                self.out.append("[")
-            elif tag in ("strong", "b"):
-                self.out.append("**")
-            elif tag in ("em", "i"):
-                self.out.append("*")
-            elif tag in ("p", "div", "section", "article", "table", "tr", "ul", "ol", "blockquote", "pre"):
-                self.out.append("\n\n")
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style", "head"):
-                self.skip = max(0, self.skip - 1)
-            elif tag == "a" and self.link:
-                self.out.append(f"]({self.link.pop()})")
-            elif tag in ("strong", "b"):
-                self.out.append("**")
-            elif tag in ("em", "i"):
-                self.out.append("*")
-            elif re.fullmatch("h[1-6]|p|div|section|article|table|tr|ul|ol|blockquote|pre", tag):
-                self.out.append("\n\n")
-
-        def handle_data(self, data):
-            if not self.skip:
-                self.out.append(re.sub(r"\s+", " ", data))
-
-    writer = Writer()
-    writer.feed(html)
-    writer.close()
-    lines = [x.strip() for x in "".join(writer.out).split("\n")]
-    text = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-    return text + "\n" if text else ""
+    """Markdown of one page: headings, paragraphs, quotes, code, nested lists, links, emphasis and tables;
+    scripts, styles and heads go. Lines end without blanks, no two blank lines follow each other, and a
+    text ends with one line feed."""
+    text = _joined([x for node in _Tree(html).top[2] for x in _parts(node, 0)])
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip("\n")
+    return text.strip() + "\n" if text.strip() else ""
 
 
 def hashed_embeddings(texts: DataFrame, dims: int = 32) -> DataFrame:
@@ -153,6 +223,21 @@ def hashed_embeddings(texts: DataFrame, dims: int = 32) -> DataFrame:
     return sums.select("text_id", F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector).alias("embedding"))
 
 
+#: Embeddings by name: each takes (text_id, text) and gives (text_id, embedding). Others are added by
+#: ``register_provider``, such as one that calls a model in batches.
+PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {"hashed": hashed_embeddings}
+
+
+def register_provider(name: str, provider: Callable[[DataFrame], DataFrame]) -> None:
+    PROVIDERS[name] = provider
+
+
+def embedded(texts: DataFrame, provider: str = "hashed") -> DataFrame:
+    """Rows of the embedding table for (text_id, text): text_id, model, content_hash, embedding."""
+    hashes = texts.select("text_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return PROVIDERS[provider](texts).join(hashes, "text_id").select("text_id", F.lit(provider).alias("model"), "content_hash", "embedding")
+
+
 #: Vectors and queries that are multiplied at once.
 VECTORS, QUERIES = 8192, 2048
 

@@ -110,6 +110,89 @@ def test_markdown():
     assert content.markdown("") == ""
 
 
+def test_markdown_structures():
+    html = """<html><head><title>t</title><style>x</style></head><body><h1>Hi <b>you</b></h1><p>One  two<em>!</em></p> tail <a href='u'>L</a>
+<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><ol><li>x</li><li>y</li></ol><blockquote><p>q1</p><p>q2</p></blockquote><pre>a
+  b</pre><table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td><td> 2 </td></tr></tbody></table><div>d1</div><div>d2</div><hr>code <code>a`b</code><noscript>no</noscript></body></html>"""
+    want = """# Hi **you**
+
+One two*!*
+
+tail [L](u)
+
+- a
+    - b
+- c
+
+1. x
+2. y
+
+> q1
+>
+> q2
+
+```
+a
+  b
+```
+
+A | B
+1 | 2
+
+d1
+
+d2
+
+---
+
+code `a\\`b`
+"""
+    assert content.markdown(html) == want
+    assert content.markdown("<div>" * 5000 + "deep") == "deep\n" and content.markdown("<p>a</b><i>b") == "a*b*\n" and content.markdown("plain &amp; text") == "plain & text\n"
+
+
+def test_embedding_providers(spark):
+    texts = spark.createDataFrame([(1, "red plate"), (2, None)], "text_id int, text string")
+    content.register_provider("lengths", lambda t: t.select("text_id", F.array(F.length(F.coalesce("text", F.lit(""))).cast("double")).alias("embedding")))
+    got = {r.text_id: (r.model, list(r.embedding)) for r in content.embedded(texts, "lengths").collect()}
+    assert got == {1: ("lengths", [9.0]), 2: ("lengths", [0.0])} and content.embedded(texts).count() == 2
+
+
+def test_packed_keeps_what_matters(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice((0, 0, 1, 2)), i, rng.randint(1, 60)) for g in ("a", "b", None) for i in range(80)]
+    got = {r.g: (r.used_tokens, r.packed_ids) for r in governance.packed(spark.createDataFrame(rows, "g string, tier int, candidate_id long, t int").repartition(5), "g", "t", 100, 4).collect()}
+    for g in ("a", "b", None):
+        used, closed, taken = 0, -1, []
+        for tier, i, t in sorted((tier, i, t) for x, tier, i, t in rows if x == g):
+            if len(taken) >= 4 or tier == closed:
+                continue
+            if used + t <= 100 or not taken:
+                used, taken = used + t, [*taken, i]
+            elif tier:
+                closed = tier
+        assert got[g] == (used, ",".join(map(str, taken)))
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(content, "VECTORS", 40)
+    monkeypatch.setattr(content, "QUERIES", 7)
+    v = np.random.default_rng(1).normal(size=(200, 5)).round(1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(content.nearest(df, df.filter("vec_id % 20 = 0"), 3, 0.2).collect(), key=lambda r: r.place):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 200, 20):
+        s = (u @ u[q]).round(6)
+        want = sorted((-s[i], i) for i in range(200) if i != q and s[i] >= 0.2)[:3]
+        assert [i for i, _ in got.get(q, [])] == [i for _, i in want]
+
+
 def test_redaction():
     value = {"password": "x", "Title": "t", "deep": [{"api_key": 1, "ok": "y"}], "n": 3}
     assert redaction.redacted(value) == {"password": redaction.GONE, "Title": "t", "deep": [{"api_key": redaction.GONE, "ok": "y"}], "n": 3}

@@ -48,17 +48,29 @@ def test_clarifications_expire(spark, tmp_path):
     path = str(tmp_path / "d")
     schema = "request_id string, created_at timestamp"
     spark.createDataFrame(rows, schema).repartition(1).write.parquet(path)
-    later = [("r3", at + dt.timedelta(hours=5))]
+    later = [[("r3", at + dt.timedelta(hours=5))], [("r4", at + dt.timedelta(days=8))], [("r5", at + dt.timedelta(days=9))]]
     states = jobs.clarification_states(spark.readStream.schema(schema).parquet(path))
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     q = states.writeStream.format("memory").queryName("clarified").option("checkpointLocation", path + "-state").start()
     try:
         q.processAllAvailable()
-        spark.createDataFrame(later, schema).repartition(1).write.mode("append").parquet(path)
-        q.processAllAvailable()
+        for rows in later:
+            spark.createDataFrame(rows, schema).repartition(1).write.mode("append").parquet(path)
+            q.processAllAvailable()
     finally:
         q.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {tuple(r) for r in spark.table("clarified").collect()}
-    assert {("r1", "open"), ("r2", "open"), ("r1", "expired"), ("r2", "expired")} <= got
+    assert {(r, x) for r in ("r1", "r2") for x in ("open", "expired", "gone")} <= got and ("r4", "gone") not in got
+
+
+def test_replay_decisions(spark, sf_dir, tmp_path):
+    log = view(spark, sf_dir, "fx_operation_log").select("operation_id", F.lit(1).alias("actor_id"), "idempotency_key", "request_hash", "started_at")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = streamed(spark, log, str(tmp_path / "e"), lambda x: jobs.replay_decisions(x, 10000, "3650 days"), name="judged")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r.operation_id: r.decision for r in got.collect()}
+    assert got == {r.operation_id: r.decision for r in changes.replays(log).collect()} and set(got.values()) >= {"execute", "reject"}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factgraph.functions.text import normal
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old, with the rows of new in place of those with the same keys."""
@@ -82,6 +84,42 @@ def merged_statements(statements: DataFrame, survivors: DataFrame) -> DataFrame:
     return rows.select("statement_id", F.col("new_subject").alias("subject_entity_id"), "predicate_key", F.col("new_object").alias("object_entity_id"), status.alias("status"))
 
 
+def ingest_entities(items: DataFrame, existing: DataFrame) -> DataFrame:
+    """batch_id, client_ref, entity_id, outcome of entities to be taken in (batch_id, client_ref,
+    canonical_name, class_key): REUSE of an active one of that name and class, else CREATE; of equal
+    ones in all batches the first creates, the others reuse it."""
+    have = existing.filter("status = 'active'").groupBy(normal(F.col("canonical_name")).alias("norm"), "class_key").agg(F.min("entity_id").alias("_have"))
+    rows = items.withColumn("norm", normal(F.col("canonical_name"))).join(have, ["norm", "class_key"], "left")
+    order = Window.partitionBy("norm", "class_key").orderBy("batch_id", "client_ref")
+    made = F.concat(F.lit("new:"), F.sha2(F.concat_ws(":", "class_key", "norm"), 256))
+    outcome = F.when(F.col("_have").isNull() & (F.row_number().over(order) == 1), "CREATE").otherwise("REUSE")
+    return rows.select("batch_id", "client_ref", F.coalesce("_have", made).alias("entity_id"), outcome.alias("outcome"))
+
+
+def ingest_statements(items: DataFrame, entities: DataFrame, existing: DataFrame) -> DataFrame:
+    """batch_id, item, outcome, statement_id of statements of batches (batch_id, item, subject_ref,
+    predicate_key, object_ref, object_string, valid_from, valid_to), whose ends are client references
+    of the same batch or entity ids. An end that is neither is REJECTED; the others are asserted.
+
+    entities: what ingest_entities gave, and known ids with a null batch_id and client_ref;
+    existing: asserted statements with object_key, as assert_statements takes them.
+    """
+    own = entities.filter("client_ref IS NOT NULL").select("batch_id", "client_ref", "entity_id")
+    known = entities.filter("client_ref IS NULL").select("entity_id").distinct()
+    rows = items
+    for end in ("subject", "object"):
+        refs = own.select("batch_id", F.col("client_ref").alias(f"{end}_ref"), F.col("entity_id").alias(f"_{end}_own"))
+        ids = known.select(F.col("entity_id").alias(f"{end}_ref"), F.lit(True).alias(f"_{end}_known"))
+        rows = rows.join(refs, ["batch_id", f"{end}_ref"], "left").join(ids, f"{end}_ref", "left")
+        rows = rows.withColumn(f"_{end}", F.coalesce(f"_{end}_own", F.when(F.col(f"_{end}_known"), F.col(f"{end}_ref"))))
+    lost = F.col("_subject").isNull() | (F.col("object_ref").isNotNull() & F.col("_object").isNull())
+    rows = rows.withColumn("_lost", lost).withColumn("request_id", F.concat_ws("/", "batch_id", "item"))
+    key = F.when(F.col("object_ref").isNotNull(), F.concat(F.lit("entity:"), "_object")).otherwise(F.concat(F.lit("string:"), "object_string"))
+    asked = rows.filter(~F.col("_lost")).select("request_id", F.col("_subject").alias("subject_entity_id"), "predicate_key", key.alias("object_key"), "valid_from", "valid_to", F.struct("batch_id", "item").alias("requested_at"))
+    done = assert_statements(existing, asked)
+    return rows.join(done, "request_id", "left").select("batch_id", "item", F.coalesce("outcome", F.lit("REJECTED")).alias("outcome"), "statement_id")
+
+
 def batch_outcomes(items: DataFrame) -> DataFrame:
     """Per batch of (batch_id, outcome): counts, and failed if any item is rejected, else applied."""
     n = lambda x: F.count_if(F.col("outcome") == x)

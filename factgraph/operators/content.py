@@ -17,14 +17,18 @@ from pyspark.sql.window import Window
 from factgraph.functions.text import canonical_body, content_tokens
 
 
-def revisions(ingests: DataFrame) -> DataFrame:
-    """Content revisions of each source: an ingest whose hash and format equal those of the one
-    before it is no revision; the others are numbered from 1 in order of capture."""
+def _numbered(ingests: DataFrame) -> DataFrame:
     body = canonical_body(F.col("content"))
     rows = ingests.filter("content IS NOT NULL AND content <> ''").select("source_id", "ingest_id", "captured_at", "content_format", F.sha2(body, 256).alias("content_hash"))
     order = Window.partitionBy("source_id").orderBy("captured_at", "ingest_id")
     same = F.lag("content_hash").over(order).eqNullSafe(F.col("content_hash")) & F.lag("content_format").over(order).eqNullSafe(F.col("content_format"))
-    return rows.withColumn("_same", same).filter("NOT _same").select("source_id", "ingest_id", "content_hash", "captured_at", F.row_number().over(order).alias("revision"))
+    return rows.withColumn("_same", same).filter("NOT _same").select("source_id", "ingest_id", "content_hash", "captured_at", F.row_number().over(order).alias("revision"), "content_format")
+
+
+def revisions(ingests: DataFrame) -> DataFrame:
+    """Content revisions of each source: an ingest whose hash and format equal those of the one
+    before it is no revision; the others are numbered from 1 in order of capture."""
+    return _numbered(ingests).drop("content_format")
 
 
 def latest(revised: DataFrame) -> DataFrame:
@@ -32,6 +36,20 @@ def latest(revised: DataFrame) -> DataFrame:
     return revised.groupBy("source_id").agg(F.max("revision").alias("revision"), F.max_by("content_hash", "revision").alias("content_hash"), F.max_by("ingest_id", "revision").alias("ingest_id"))
 
 
+def append_revisions(existing: DataFrame, ingests: DataFrame) -> DataFrame:
+    """What ingests add to existing revisions (as ``revisions`` gives them, or with content_format, which
+    then counts too): an ingest that equals its source's newest revision adds nothing, others go on
+    counting from it."""
+    kind = F.col("content_format") if "content_format" in existing.columns else F.lit(None).cast("string")
+    newest = existing.groupBy("source_id").agg(F.max("revision").alias("_last"), F.max_by(F.struct("content_hash", kind.alias("content_format")), "revision").alias("_same"))
+    added = _numbered(ingests).join(newest, "source_id", "left")
+    # Only the first of a source's new revisions can repeat what is there; the others follow it.
+    again = F.coalesce((F.col("revision") == 1) & (F.col("content_hash") == F.col("_same.content_hash")) & F.coalesce(F.col("content_format") == F.col("_same.content_format"), F.col("_same.content_format").isNull()), F.lit(False))
+    left_out = F.max(again.cast("int")).over(Window.partitionBy("source_id"))
+    added = added.withColumn("_again", again).withColumn("_left", left_out).filter(~F.col("_again"))
+    return added.withColumn("revision", F.col("revision") + F.coalesce("_last", F.lit(0)) - F.col("_left")).drop("_last", "_same", "_again", "_left", "content_format")
+
+
 def newest_by_hash(revised: DataFrame) -> DataFrame:
     """The newest revision of each source and content hash; older repeats go."""
     return revised.groupBy("source_id", "content_hash").agg(F.max("revision").alias("revision"), F.max_by("ingest_id", "revision").alias("ingest_id"))

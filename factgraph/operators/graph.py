@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.session import checkpoint_dir
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factgraph-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
 
 
@@ -44,17 +44,18 @@ def identity_groups(entities: DataFrame, direct_only: bool = False) -> DataFrame
 def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Reflexive transitive closure of (child, parent) over nodes (node): node, ancestor.
 
-    Paths double in length each round until no new pair appears, so cycles end it too.
+    Pairs found in one round are joined to all known ones, so paths double in length each round, and
+    a round looks only at what the last one added; cycles end it too.
     """
     known = _checkpoint(nodes.select("node", F.col("node").alias("ancestor")).union(edges.select("child", "parent")).distinct())
-    size = known.count()
-    while True:
-        step = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
-        known = _checkpoint(step.union(known).distinct())
-        grown = known.count()
-        if grown == size:
-            return known
-        size = grown
+    new = known.filter("node <> ancestor")
+    while not new.isEmpty():
+        further = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("beyond"))
+        step = new.join(further, "ancestor").select("node", F.col("beyond").alias("ancestor")).distinct()
+        have = known.select(F.col("node").alias("_node"), F.col("ancestor").alias("_ancestor"))
+        new = _checkpoint(step.join(have, (F.col("node") == F.col("_node")) & (F.col("ancestor") == F.col("_ancestor")), "left_anti"))
+        known = known.union(new)
+    return known
 
 
 def siblings(edges: DataFrame) -> DataFrame:

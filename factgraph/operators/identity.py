@@ -99,6 +99,22 @@ def source_matches(requests: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("request_id", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("source_id")).alias("source_id"))
 
 
+def resolve_sources(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """request_id, outcome, source_id of requests (request_id, canonical_system, external_id,
+    content_hash) against sources with the same columns and source_id.
+
+    The identity decides first: MATCH, or AMBIGUOUS if several sources have it. Without a source of
+    that identity (or an identity), the smallest source with the same content is a MATCH, else one is
+    to be made: CREATE, with an id that its identity gives, or its content.
+    """
+    by_id = source_matches(requests, sources).select("request_id", F.col("outcome").alias("_by"), F.col("source_id").alias("_own"))
+    content = sources.filter("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("source_id").alias("_same"))
+    rows = requests.join(by_id, "request_id").join(content, "content_hash", "left")
+    made = F.concat(F.lit("new:"), F.coalesce(F.when(F.col("external_id").isNotNull(), F.sha2(F.concat_ws(":", "canonical_system", "external_id"), 256)), "content_hash"))
+    outcome = F.when(F.col("_by") != "NO_MATCH", F.col("_by")).when(F.col("_same").isNotNull(), "MATCH").otherwise("CREATE")
+    return rows.select("request_id", outcome.alias("outcome"), F.when(outcome == "CREATE", made).otherwise(F.coalesce("_own", F.when(outcome == "MATCH", F.col("_same")))).alias("source_id"))
+
+
 def evidence_package(candidates: DataFrame, most: int) -> DataFrame:
     """The first candidates of each request by id, and how many are left out."""
     group = Window.partitionBy("request_id")

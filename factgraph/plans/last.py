@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, facts, governance, graph, proposals, repair, reporting, retrieval
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, proposals, repair, reporting, retrieval
 from factgraph.plans.core import PARENTS, ROOTS, WALKS, _asked, _edges, _found, query
 from factgraph.sources.tables import table, view
 
@@ -57,10 +57,11 @@ def c19_distinct_evidence(spark, sf_dir):
 WITH ask AS (SELECT doc_id, source, md5(text) AS h FROM documents), have AS (SELECT md5(text) AS h, min(doc_id) AS id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
 SELECT doc_id, CASE WHEN id IS NOT NULL THEN 'MATCH' ELSE 'CREATE' END AS outcome, coalesce('src:' || id, 'new:' || h) AS source_id FROM ask LEFT JOIN have USING (h)""")
 def c26_resolve_or_create(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    have = rows.filter("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("id"))
-    found = rows.join(have, "h", "left")
-    return found.select("doc_id", F.when(F.col("id").isNotNull(), "MATCH").otherwise("CREATE").alias("outcome"), F.coalesce(F.concat(F.lit("src:"), "id"), F.concat(F.lit("new:"), "h")).alias("source_id"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), none.alias("canonical_system"), none.alias("external_id"), F.md5("text").alias("content_hash"))
+    have = rows.filter("request_id % 2 = 0").groupBy("content_hash").agg(F.min("request_id").alias("id"))
+    have = have.select(F.concat(F.lit("src:"), "id").alias("source_id"), none.alias("canonical_system"), none.alias("external_id"), "content_hash")
+    return identity.resolve_sources(rows, have).withColumnRenamed("request_id", "doc_id")
 
 
 @query("""
@@ -358,3 +359,50 @@ def j15_proposal_gates(spark, sf_dir):
     aliases = p.select(lit("core").alias("namespace_key"), F.lower(parent).alias("alias")).distinct()
     up = graph.closure(p.select(brand.alias("child"), parent.alias("parent")).distinct(), concepts.filter("kind = 'class'").select(F.col("key").alias("node")))
     return proposals.gates(given, concepts, aliases, up)
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS proposal_id, 'key_shape' AS gate, CASE WHEN p_size > 25 THEN 'pass' ELSE 'fail' END AS decision FROM part), n AS (SELECT p_partkey AS proposal_id, 'key_shape' AS gate, 'pass' AS decision FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'final_deterministic', 'pass' FROM part WHERE p_size % 3 = 1)
+SELECT * FROM n UNION ALL SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.proposal_id = g.proposal_id AND n.gate = g.gate)""")
+def a08_gate_upsert(spark, sf_dir):
+    row = lambda where, gate, decision: table(spark, sf_dir, "part").filter(where).select(F.col("p_partkey").alias("proposal_id"), F.lit(gate).alias("gate"), decision.alias("decision"))
+    old = row("true", "key_shape", F.when(F.col("p_size") > 25, "pass").otherwise("fail"))
+    new = row("p_size % 3 = 0", "key_shape", F.lit("pass")).union(row("p_size % 3 = 1", "final_deterministic", F.lit("pass")))
+    return changes.upsert(old, new, ["proposal_id", "gate"])
+
+
+@query("""
+WITH e AS (SELECT DISTINCT lower(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))) AS norm, class_key, min(entity_id) OVER (PARTITION BY lower(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))), class_key) AS have FROM fx_entity WHERE status = 'active'),
+ i AS (SELECT o_orderkey % 50 AS batch_id, 'c' || o_orderkey AS client_ref, lower(CASE WHEN o_orderkey % 3 = 0 THEN 'Customer ' || o_custkey ELSE 'Order#' || o_orderkey END) AS norm, CASE WHEN o_orderkey % 3 = 0 THEN 'Organization' ELSE 'Event' END AS class_key FROM orders),
+ r AS (SELECT i.*, have, row_number() OVER (PARTITION BY i.norm, i.class_key ORDER BY batch_id, client_ref) AS k FROM i LEFT JOIN e ON e.norm = i.norm AND e.class_key = i.class_key)
+SELECT batch_id, client_ref, coalesce(have, 'new:' || sha256(class_key || ':' || norm)) AS entity_id, CASE WHEN have IS NULL AND k = 1 THEN 'CREATE' ELSE 'REUSE' END AS outcome FROM r""")
+def a11_ingest_entities(spark, sf_dir):
+    k, third = F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    items = table(spark, sf_dir, "orders").select((k % 50).alias("batch_id"), F.concat(F.lit("c"), k).alias("client_ref"), F.when(third, F.concat(F.lit("Customer "), "o_custkey")).otherwise(F.concat(F.lit("Order#"), k)).alias("canonical_name"), F.when(third, "Organization").otherwise("Event").alias("class_key"))
+    return changes.ingest_entities(items, view(spark, sf_dir, "fx_entity"))
+
+
+@query("""
+WITH i AS (SELECT o_orderkey % 50 AS batch_id, o_orderkey AS item, 'c' || o_orderkey AS subject_ref, CASE WHEN o_orderkey % 7 = 0 THEN 'c-unknown' WHEN o_orderkey % 2 = 0 THEN 'customer:' || o_custkey END AS object_ref, o_orderpriority AS object_string FROM orders),
+ k AS (SELECT *, object_ref IS NOT NULL AND object_ref = 'c-unknown' AS lost, 'new:order' || item AS s, CASE WHEN object_ref IS NOT NULL THEN 'entity:' || object_ref ELSE 'string:' || object_string END AS o FROM i)
+SELECT batch_id, item, CASE WHEN lost THEN 'REJECTED' ELSE 'CREATE' END AS outcome, CASE WHEN NOT lost THEN 'new:' || batch_id || '/' || item END AS statement_id FROM k""")
+def a11_ingest_statements(spark, sf_dir):
+    k, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    batch, ref, none = (k % 50).alias("batch_id"), F.concat(F.lit("c"), k), F.lit(None)
+    items = orders.select(batch, k.alias("item"), ref.alias("subject_ref"), F.lit("about").alias("predicate_key"), F.when(k % 7 == 0, "c-unknown").when(k % 2 == 0, F.concat(F.lit("customer:"), "o_custkey")).alias("object_ref"), F.col("o_orderpriority").alias("object_string"), none.cast("timestamp").alias("valid_from"), none.cast("timestamp").alias("valid_to"))
+    ends = orders.select(batch, ref.alias("client_ref"), F.concat(F.lit("new:order"), k).alias("entity_id")).union(view(spark, sf_dir, "fx_entity").select(none.cast("long"), none.cast("string"), "entity_id"))
+    have = view(spark, sf_dir, "fx_statement").select("statement_id", "subject_entity_id", "predicate_key", F.concat(F.lit("string:"), "object_string").alias("object_key"), "valid_from", "valid_to", "status")
+    return changes.ingest_statements(items, ends, have)
+
+
+@query("""
+WITH b AS (SELECT doc_id, 'doc-src:' || source AS source_id, sha256(rtrim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), chr(10)) || chr(10)) AS h FROM documents WHERE text IS NOT NULL AND text <> '')
+SELECT source_id, count(*) AS n FROM (SELECT source_id, h, lag(h) OVER (PARTITION BY source_id ORDER BY doc_id) AS before FROM b) WHERE h IS DISTINCT FROM before GROUP BY 1""")
+def a10_appended_revisions(spark, sf_dir):
+    """Revisions of each source when the second half of its documents is appended to those of the first."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_id"), F.concat(F.lit("doc-src:"), "source").alias("source_id"), F.col("text").alias("content"), F.lit("text").alias("content_format"), F.timestamp_seconds("doc_id").alias("captured_at"))
+    half = docs.agg(F.percentile_approx("ingest_id", 0.5).alias("half"))
+    docs = docs.crossJoin(half)
+    first = content.revisions(docs.filter("ingest_id <= half"))
+    added = content.append_revisions(first, docs.filter("ingest_id > half"))
+    return first.select("source_id", "revision").union(added.select("source_id", "revision")).groupBy("source_id").agg(F.max("revision").cast("long").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +20,15 @@ def share_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. A local session without
+    that setting gets a temporary folder; any other fails."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="factgraph-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -1,13 +1,14 @@
 """Rules on small inputs: text, time, identity, retrieval, packing, graph, content."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import changes, content, governance, graph, identity, redaction, retrieval
+from factgraph.operators import changes, content, governance, graph, identity, redaction, reporting, retrieval
 
 
 def one(spark, column):
@@ -193,6 +194,33 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert [i for i, _ in got.get(q, [])] == [i for _, i in want]
 
 
+def test_gold_cases_and_report(spark, tmp_path):
+    gold = {"entities": {"didac": "e1"}, "cases": [{"id": "c1", "query": "who", "tags": ["name", "past"], "expected_entity_ids": ["didac", "e9"]}, {"id": "c2", "query": "none", "tags": [], "expected_entity_ids": []}]}
+    path = tmp_path / "gold.json"
+    path.write_text(json.dumps(gold, indent=1))
+    got = [tuple(r) for r in reporting.gold_cases(spark, str(path)).orderBy("case_id", "expected_id").collect()]
+    assert got == [("c1", "who", ["name", "past"], "e1"), ("c1", "who", ["name", "past"], "e9"), ("c2", "none", [], None)]
+    reporting.write_report(spark.createDataFrame([("mrr", 0.5)], "metric string, value double"), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "report")).select("metric", "value").collect()] == [("mrr", 0.5)]
+
+
+def test_detectors(spark):
+    reporting.register_detector("no_subject", lambda s: s.filter("subject_entity_id IS NULL").select("statement_id", F.lit("no subject").alias("note"), F.lit("high").alias("severity")))
+    rows = spark.createDataFrame([("s1", None), ("s2", "e1")], "statement_id string, subject_entity_id string")
+    try:
+        assert [tuple(r) for r in reporting.inspect(rows).collect()] == [("s1", "no subject", "high", "no_subject")]
+    finally:
+        reporting.DETECTORS.clear()
+
+
+def test_resolve_sources(spark):
+    schema = "canonical_system string, external_id string, content_hash string"
+    sources = spark.createDataFrame([("s1", "wiki", "1", "a"), ("s2", "wiki", "2", "b"), ("s3", "wiki", "2", "c"), ("s0", None, None, "b")], "source_id string, " + schema)
+    asked = spark.createDataFrame([(1, "wiki", "1", "zz"), (2, "wiki", "2", "a"), (3, "wiki", "9", "b"), (4, None, None, "c"), (5, None, None, "q")], "request_id int, " + schema)
+    got = {r.request_id: (r.outcome, r.source_id) for r in identity.resolve_sources(asked, sources).collect()}
+    assert got == {1: ("MATCH", "s1"), 2: ("AMBIGUOUS", None), 3: ("MATCH", "s0"), 4: ("MATCH", "s3"), 5: ("CREATE", "new:q")}
+
+
 def test_redaction():
     value = {"password": "x", "Title": "t", "deep": [{"api_key": 1, "ok": "y"}], "n": 3}
     assert redaction.redacted(value) == {"password": redaction.GONE, "Title": "t", "deep": [{"api_key": redaction.GONE, "ok": "y"}], "n": 3}

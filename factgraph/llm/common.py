@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.session import share_package
+from factgraph.session import checkpoint_dir, share_package
 
 #: Whitespace of the contracts: space and U+0009 to U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -32,13 +31,9 @@ def text_of(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (tests, one machine), a temporary folder is set as checkpoint folder.
+    Where the setting is unset (tests, one machine), a local session gets a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="factgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -56,14 +56,8 @@ def op10_piece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.piece_digests(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op2_license_scan, op3_token_counts, op4_weighted_mix, op5_simhash_groups, op6_exact_duplicates, op7_find_pii, op8_quality_rules, op9_language_id, op10_piece_digests, pipeline)
+    f.__name__: f for f in (op1_wavelet_shards, op2_license_scan, op3_token_counts, op4_weighted_mix, op5_simhash_groups, op6_exact_duplicates, op7_find_pii, op8_quality_rules, op9_language_id, op10_piece_digests)
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_weighted_mix": r"""

@@ -569,7 +569,12 @@ def h25_html_markdown(spark, sf_dir):
     return content.html_text(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT p_partkey AS text_id, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({', '.join(f"'{w}'" for w in text.STOP_WORDS)}))) AS w FROM part),
+ h AS (SELECT text_id, ('0x' || substr(sha256(tok), 1, 2))::INT % 32 AS k, CASE WHEN ('0x' || substr(sha256(tok), 3, 2))::INT % 2 = 0 THEN 1 ELSE -1 END AS v FROM (SELECT text_id, unnest(w) AS tok FROM t)),
+ s AS (SELECT text_id, k, sum(v)::DOUBLE AS v FROM h GROUP BY ALL), e AS (SELECT t.text_id, list(coalesce(v, 0) ORDER BY r.k) AS e FROM t CROSS JOIN range(32) r(k) LEFT JOIN s ON s.text_id = t.text_id AND s.k = r.k GROUP BY 1),
+ n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM e)
+SELECT text_id, CASE WHEN n > 0 THEN list_transform(e, lambda x: x / n) ELSE e END AS embedding FROM n""")
 def h21_hashed_embeddings(spark, sf_dir):
     return content.hashed_embeddings(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")))
 

@@ -383,7 +383,20 @@ def h10_predicate_cues(spark, sf_dir):
     return keys.select("predicate_key", F.array_join(F.sort_array(ontology.with_plurals(ontology.camel_parts(F.col("predicate_key")))), " ").alias("cues"))
 
 
-@query()
+OTHER = "CASE WHEN x[-1] = 's' AND length(x) > 3 THEN x[:-2] ELSE x || 's' END"
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT predicate_key FROM fx_statement), c AS (SELECT predicate_key, list_filter(string_split(lower(regexp_replace(predicate_key, '([a-z])([A-Z])', '\\1 \\2', 'g')), ' '), lambda x: length(x) >= 2) AS a FROM k),
+ cues AS (SELECT DISTINCT predicate_key, unnest(list_concat(a, list_transform(a, lambda x: {OTHER}))) AS cue FROM c), lex AS (SELECT *, count(*) OVER (PARTITION BY cue) = 1 AS own FROM cues),
+ nl(cue, predicate_key) AS (VALUES ('buyer', 'orderedBy'), ('buyers', 'orderedBy'), ('price', 'totalPrice'), ('where', 'locatedAt'), ('urgent', 'preferredPriority')),
+ q AS (SELECT o_orderkey AS query_id, regexp_extract_all(CASE WHEN o_orderkey % 3 = 0 THEN 'buyers of orders ' ELSE 'preferred priority ' END || lower(o_orderpriority), '[a-z0-9]+') AS w FROM orders),
+ t AS (SELECT query_id, unnest(list_distinct(list_filter(w, lambda x: (length(x) >= 2 AND x NOT IN ({', '.join(f"'{w}'" for w in text.STOP_WORDS)})) OR x IN ('buyer', 'buyers', 'price', 'where', 'urgent')))) AS x FROM q),
+ said AS (SELECT DISTINCT query_id, unnest([x, {OTHER}]) AS cue FROM t),
+ h AS (SELECT query_id, predicate_key, count(*) AS o, count(*) FILTER (own) AS d, 0 AS n FROM said JOIN lex USING (cue) GROUP BY 1, 2 UNION ALL SELECT query_id, predicate_key, 0, 0, 1 FROM said JOIN nl USING (cue) GROUP BY 1, 2),
+ s AS (SELECT query_id, predicate_key, sum(o) AS o, sum(d) AS d, max(n) AS n FROM h GROUP BY 1, 2),
+ r AS (SELECT query_id, predicate_key, round(greatest(CASE WHEN d > 0 THEN least(1.0, 0.60 + 0.20 * least(d, 3)) WHEN o >= 2 THEN least(1.0, 0.50 + 0.15 * least(o, 3)) ELSE 0.0 END::DOUBLE, CASE WHEN n > 0 THEN 0.78 ELSE 0.0 END::DOUBLE), 6) AS score FROM s WHERE predicate_key NOT IN ({', '.join(f"'{x}'" for x in ontology.NO_BOOST)}))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, predicate_key) AS place FROM r WHERE score >= 0.55) WHERE place <= 2""")
 def h11_predicate_intents(spark, sf_dir):
     keys = view(spark, sf_dir, "fx_statement").select("predicate_key", F.lit(None).cast("string").alias("label")).distinct()
     nl = spark.createDataFrame([("buyer", "orderedBy"), ("buyers", "orderedBy"), ("price", "totalPrice"), ("where", "locatedAt"), ("urgent", "preferredPriority")], "cue string, predicate_key string")

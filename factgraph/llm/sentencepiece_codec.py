@@ -57,7 +57,7 @@ class PieceCodec:
         self.other = re.compile("([^" + "".join(re.escape(x) for x in self.ids if len(x) == 1) + "])")
         #: Whether two pieces fit as neighbours; pieces are bounded in length, so entries are too.
         self.fits: dict[tuple[str, str], bool] = {}
-        self.chunks = Memo(lambda new: list(map(self._digest_parts, new)), limit, 500)
+        self.chunks = Memo(lambda new: list(map(self._digest_part, new)), limit, 150)
 
     def _merged(self, text: str) -> list[str]:
         """Characters merged by score: the best pair first, the leftmost of equals."""
@@ -134,19 +134,24 @@ class PieceCodec:
         out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
         return out.decode(errors="replace").replace(SPACE, " ")
 
-    def _digest_parts(self, chunk: str) -> tuple[str, str]:
+    def _digest_part(self, chunk: str) -> str | tuple[str, str]:
+        """A chunk's ids, comma-joined, and the text they stand for, if that is not the chunk itself."""
         ids = self._encode_chunk(chunk)
-        return ",".join(map(str, ids)), self._surface(ids)
+        text, surface = ",".join(map(str, ids)), self._surface(ids)
+        return text if surface == chunk.replace(SPACE, " ") else (text, surface)
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: number of ids, SHA-256 of the ids and of the text decoded from them."""
         lists = [self.split(x) for x in texts]
         distinct, out = list(set().union(*lists)), []
         known = dict(zip(distinct, self.chunks.values(distinct), strict=True))
+        odd = {x for x, y in known.items() if type(y) is tuple}
         for chunks in lists:
-            parts = [known[x] for x in chunks]
-            ids = ",".join([x[0] for x in parts])
-            text = "".join([x[1] for x in parts])[1:]
+            if odd.isdisjoint(chunks):
+                ids, text = ",".join([known[x] for x in chunks]), "".join(chunks).replace(SPACE, " ")[1:]
+            else:
+                parts = [known[x] if x in odd else (known[x], x.replace(SPACE, " ")) for x in chunks]
+                ids, text = ",".join([x[0] for x in parts]), "".join([x[1] for x in parts])[1:]
             out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -120,6 +120,11 @@ def ingest_statements(items: DataFrame, entities: DataFrame, existing: DataFrame
     return rows.join(done, "request_id", "left").select("batch_id", "item", F.coalesce("outcome", F.lit("REJECTED")).alias("outcome"), "statement_id")
 
 
+def merged_metadata(old: Column, new: Column) -> Column:
+    """Metadata (maps) put together; where both have a key, the new value stands."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
 def batch_outcomes(items: DataFrame) -> DataFrame:
     """Per batch of (batch_id, outcome): counts, and failed if any item is rejected, else applied."""
     n = lambda x: F.count_if(F.col("outcome") == x)

@@ -50,6 +50,11 @@ def append_revisions(existing: DataFrame, ingests: DataFrame) -> DataFrame:
     return added.withColumn("revision", F.col("revision") + F.coalesce("_last", F.lit(0)) - F.col("_left")).drop("_last", "_same", "_again", "_left", "content_format")
 
 
+def newest_content(ingests: DataFrame) -> DataFrame:
+    """The newest ingest with content of each source: source_id, ingest_id."""
+    return ingests.filter("content <> ''").groupBy("source_id").agg(F.max_by("ingest_id", F.struct("captured_at", "ingest_id")).alias("ingest_id"))
+
+
 def newest_by_hash(revised: DataFrame) -> DataFrame:
     """The newest revision of each source and content hash; older repeats go."""
     return revised.groupBy("source_id", "content_hash").agg(F.max("revision").alias("revision"), F.max_by("ingest_id", "revision").alias("ingest_id"))

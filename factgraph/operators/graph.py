@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factgraph.session import checkpoint_dir
 
@@ -65,6 +66,12 @@ def siblings(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.child").alias("node"), F.col("b.child").alias("sibling"), F.col("a.parent").alias("parent"))
 
 
+def connected_support(picked: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` supports (links: concept, support) of each picked concept, by key."""
+    place = F.row_number().over(Window.partitionBy("concept").orderBy("support"))
+    return links.join(picked.select("concept"), "concept", "left_semi").withColumn("_k", place).filter(F.col("_k") <= most).select("concept", "support")
+
+
 def cycle_gate(proposed: DataFrame, closed: DataFrame) -> DataFrame:
     """Proposed (child, parent) edges that would close a cycle: the parent already descends from the child."""
     closed = closed.select(F.col("node").alias("parent"), F.col("ancestor").alias("child"))

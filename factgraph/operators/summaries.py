@@ -83,6 +83,12 @@ def nearest_rank(df: DataFrame, groups: list[str], value: str, shares: dict[str,
     return rows.groupBy(*groups).agg(F.count("*").alias("n"), *picks, F.max(value).alias("max"))
 
 
+def relevance(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """Ranked hits (case_id, hit, ...) with relevant: whether the case expects the hit (case_id, hit)."""
+    wanted = expected.select("case_id", "hit").distinct().withColumn("_yes", F.lit(True))
+    return hits.join(wanted, ["case_id", "hit"], "left").withColumn("relevant", F.coalesce("_yes", F.lit(False))).drop("_yes")
+
+
 def retrieval_quality(ranks: DataFrame, groups: list[str]) -> DataFrame:
     """Of (case_id, rank; null is a miss): cases, recall at 1, 3 and 10, mean reciprocal rank, misses."""
     best = ranks.groupBy(*groups, "case_id").agg(F.min("rank").alias("rank"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, proposals, repair, reporting, retrieval
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, proposals, redaction, repair, reporting, retrieval, summaries
 from factgraph.plans.core import PARENTS, ROOTS, WALKS, _asked, _edges, _found, query
 from factgraph.sources.tables import table, view
 
@@ -37,7 +37,7 @@ def b09_issue_page(spark, sf_dir):
 def b22_public_payload(spark, sf_dir):
     rows = table(spark, sf_dir, "events").filter("event_type = 'signup'")
     full = F.map_concat(F.from_json("props", "map<string,int>"), F.create_map(F.lit("_internal"), F.lit(1)))
-    return rows.select("event_id", F.to_json(F.map_filter(full, lambda k, v: ~k.startswith("_"))).alias("payload"))
+    return rows.select("event_id", F.to_json(redaction.public(full)).alias("payload"))
 
 
 @query("""
@@ -67,8 +67,7 @@ def c26_resolve_or_create(spark, sf_dir):
 @query("""
 WITH r AS (SELECT source_id, ingest_id, row_number() OVER (PARTITION BY source_id ORDER BY captured_at DESC, ingest_id DESC) AS k FROM fx_content_ingest WHERE content <> '') SELECT source_id, ingest_id FROM r WHERE k = 1""")
 def c33_latest_content(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_content_ingest").filter("content <> ''")
-    return rows.groupBy("source_id").agg(F.max_by("ingest_id", F.struct("captured_at", "ingest_id")).alias("ingest_id"))
+    return content.newest_content(view(spark, sf_dir, "fx_content_ingest"))
 
 
 @query("SELECT count(*) AS total FROM fx_statement WHERE status = 'asserted' AND predicate_key = 'contains'")
@@ -100,9 +99,9 @@ def d18_relevance(spark, sf_dir):
     d = F.col("doc_id")
     order = Window.partitionBy("case_id").orderBy(F.desc("n_chars"), "hit")
     hits = table(spark, sf_dir, "documents").select((d % 20).alias("case_id"), d.alias("hit"), "n_chars").withColumn("rank", F.row_number().over(order).cast("long"))
-    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select((d % 20).alias("case_id"), d.alias("hit"), F.lit(1).alias("yes"))
-    rows = hits.join(wanted, ["case_id", "hit"], "left")
-    return rows.groupBy("case_id").agg(F.min(F.when(F.col("yes") == 1, F.col("rank"))).alias("first_relevant_rank"), F.count("yes").alias("relevant"))
+    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select((d % 20).alias("case_id"), d.alias("hit"))
+    labelled = summaries.relevance(hits, wanted)
+    return labelled.groupBy("case_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_relevant_rank"), F.count_if("relevant").alias("relevant"))
 
 
 @query("WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) SELECT p_brand, p_partkey, place FROM r WHERE place <= 5")
@@ -112,13 +111,15 @@ def f03_top_per_group(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT p_size AS query_id, p_partkey AS id, p_partkey % 100 / 100.0 AS lex, p_partkey % 17 = 0 AS focus FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY focus DESC, lex DESC, id) AS place FROM h WHERE focus OR lex >= 0.75)
+WITH h AS (SELECT p_size AS query_id, p_partkey AS id, p_partkey % 100 / 100.0 AS lex FROM part), f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, id) AS k FROM h WHERE id % 17 = 0),
+ c AS (SELECT h.*, f.id IS NOT NULL AS focus FROM h LEFT JOIN f ON f.query_id = h.query_id AND f.id = h.id AND k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY focus DESC, lex DESC, id) AS place FROM c WHERE focus OR lex >= 0.75)
 SELECT query_id, id, place FROM r WHERE place <= 3""")
 def f08_strong_anchors(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), k.alias("id"), (k % 100 / 100).alias("lex"), (k % 17 == 0).alias("focus")).filter("focus OR lex >= 0.75")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("focus"), F.desc("lex"), "id"))
-    return rows.withColumn("place", place).filter("place <= 3").select("query_id", "id", "place")
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("query_id"), k.alias("id"), (k % 100 / 100).alias("lexical"), F.lit("partial_token_match").alias("reason"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "id"))
+    focus = rows.filter("id % 17 = 0").groupBy("query_id").agg(F.max_by("id", F.struct("lexical", -F.col("id"))).alias("focus_entity_id"))
+    return retrieval.strong_anchors(rows.withColumn("place", place), focus).withColumnRenamed("anchor", "id")
 
 
 @query("""
@@ -165,8 +166,7 @@ def h15_key_similarity(spark, sf_dir):
 def h18_utc(spark, sf_dir):
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     given = F.when(F.col("o_orderkey") % 4 == 0, stamp).otherwise(F.concat(stamp, F.lit("+00:00")))
-    aware = F.when(given.rlike(r"(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(given, F.lit("yyyy-MM-dd HH:mm:ssXXX")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(aware, "yyyy-MM-dd HH:mm:ss").alias("instant"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(temporal.instant(given), "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 
 @query(f"""
@@ -237,14 +237,14 @@ def j03_correct(spark, sf_dir):
 def j23_metadata_merge(spark, sf_dir):
     old = F.create_map(F.lit("kind"), F.lit("old"))
     new = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("kind"), F.lit("new"), F.lit("note"), F.lit("note"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+    merged = changes.merged_metadata(old, new)
     return table(spark, sf_dir, "supplier").select("s_suppkey", merged["kind"].alias("kind"), F.try_element_at(merged, F.lit("note")).alias("note"))
 
 
 @query(f"WITH edge AS ({PARENTS}), r AS (SELECT child AS node, parent, row_number() OVER (PARTITION BY parent ORDER BY child) AS k FROM edge) SELECT parent AS concept, node AS support FROM r WHERE k <= 3")
 def i09_connected_support(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("parent").orderBy("child"))
-    return _edges(spark, sf_dir).withColumn("k", place).filter("k <= 3").select(F.col("parent").alias("concept"), F.col("child").alias("support"))
+    edges = _edges(spark, sf_dir).select(F.col("parent").alias("concept"), F.col("child").alias("support"))
+    return graph.connected_support(edges.select("concept").distinct(), edges, 3)
 
 
 @query(ROOTS + """, a AS (SELECT 'customer:' || c_custkey AS anchor FROM customer WHERE c_custkey % 20 = 0),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from heapq import heappush, heapreplace
 
 import pandas as pd
@@ -225,6 +226,47 @@ def lexical_nearest(proposals: DataFrame, concepts: DataFrame, most: int = 12, w
     return rows.withColumn("place", place).filter(F.col("place") <= most).withColumn("tier", F.when(F.col("score") >= strong, 1).otherwise(2))
 
 
+# Tiers of a review context (pinned come first), the root of all classes, scores of the
+# ways in which a concept gets in, and limits between tiers.
+PINNED, SUPPORTING, GENERIC, ROOT = 0, 1, 2, "Thing"
+WAYS = {"exact": 1.0, "alias": 0.98, "pin": 0.99, "parent": 0.72, "root": 0.55}
+STRONG_LEXICAL, STRONG_EMBEDDING, NEAR_SIBLING = 0.55, 0.75, 0.35
+
+
+def review_candidates(proposals: DataFrame, concepts: DataFrame, aliases: DataFrame, links: DataFrame, near: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
+    """Concepts that a reviewer of a proposal should see: proposal_id, concept, tier, score, reason; of
+    several ways to one concept the one of the best tier, then score, then reason counts (a pin only
+    where no other way is of the first tier).
+
+    proposals: proposal_id, key, parent_keys and pins (arrays, may be null); concepts: concept; aliases:
+    alias, concept; links: parent, child; near: proposal_id, concept, score (lexical); embedded:
+    proposal_id, concept, score (cosine). The ways: the same key but for case and blanks, an alias,
+    pins of modelling hints, wording, embedding, a proposed parent, and the parent's other children,
+    by how near their wording is.
+    """
+    key, many = normal(F.coalesce("key", F.lit(""))), lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    asked = proposals.select("proposal_id", key.alias("_k")).filter("_k <> ''")
+    way = lambda rows, tier, score, reason: rows.select("proposal_id", "concept", tier.alias("tier"), score.cast("double").alias("score"), F.lit(reason).alias("reason"))
+    fixed = lambda rows, reason, tier=PINNED: way(rows, F.lit(tier), F.lit(WAYS[reason]), reason)
+    found = [
+        fixed(asked.join(concepts.select("concept", normal(F.col("concept")).alias("_k")), "_k"), "exact"),
+        fixed(asked.join(aliases.select("concept", normal(F.col("alias")).alias("_k")), "_k"), "alias"),
+        fixed(proposals.select("proposal_id", F.explode(many("pins")).alias("concept")).join(concepts.select("concept"), "concept", "left_semi"), "pin"),
+        way(near, F.when(F.col("score") >= STRONG_LEXICAL, PINNED).otherwise(SUPPORTING), F.col("score"), "lexical"),
+    ]
+    if embedded is not None:
+        found.append(way(embedded, F.when(F.col("score") >= STRONG_EMBEDDING, PINNED).otherwise(SUPPORTING), 0.5 + 0.5 * F.col("score"), "embedding"))
+    parents = proposals.select("proposal_id", "key", F.explode(many("parent_keys")).alias("concept")).join(concepts.select("concept"), "concept", "left_semi")
+    found += [fixed(parents.filter(F.col("concept") != ROOT), "parent", SUPPORTING), fixed(parents.filter(F.col("concept") == ROOT), "root", GENERIC)]
+    children = parents.join(links.select(F.col("parent").alias("concept"), "child"), "concept").filter(F.col("child") != F.coalesce("key", F.lit(""))).select("proposal_id", F.col("child").alias("concept")).distinct()
+    prox = F.coalesce("_prox", F.lit(0.0))
+    children = children.join(near.select("proposal_id", "concept", F.col("score").alias("_prox")), ["proposal_id", "concept"], "left")
+    found.append(way(children, F.when(prox >= NEAR_SIBLING, SUPPORTING).otherwise(GENERIC), 0.45 + 0.45 * prox, "sibling"))
+    best = F.min(F.struct("tier", (F.col("reason") == "pin").alias("p"), (-F.col("score")).alias("s"), "reason")).alias("_")
+    rows = reduce(DataFrame.unionByName, found).groupBy("proposal_id", "concept").agg(best)
+    return rows.select("proposal_id", "concept", F.col("_.tier").alias("tier"), F.round(-F.col("_.s"), 6).alias("score"), F.col("_.reason").alias("reason"))
+
+
 def superseded_asks(asks: DataFrame) -> DataFrame:
     """asks (proposal_id, ask_id, status): of a proposal's open ones the newest stays open, the others
     are superseded; closed ones stay as they are."""

@@ -292,6 +292,31 @@ PACKED = NEAREST.replace("WITH p AS", "WITH RECURSIVE p AS") + """, cand AS (SEL
 SELECT proposal_id, used::BIGINT AS used_tokens, ids AS packed_ids FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY k DESC) AS last FROM w) WHERE last = 1"""
 
 
+REVIEWED = NEAREST + """, known AS (SELECT DISTINCT p_type AS concept FROM part UNION SELECT DISTINCT p_brand FROM part), link AS (SELECT DISTINCT p_brand AS parent, p_type AS child FROM part),
+ ask AS (SELECT p_partkey AS proposal_id, CASE (p_partkey // 20) % 3 WHEN 0 THEN p_type WHEN 1 THEN '  ' || lower(p_type) ELSE 'New' || p_partkey END AS key, p_brand AS parent, CASE WHEN p_partkey % 40 = 0 THEN [p_brand, 'nothing'] ELSE []::VARCHAR[] END AS pins FROM part WHERE p_partkey % 20 = 0),
+ near AS (SELECT proposal_id, concept, score FROM r WHERE place <= 12),
+ way AS (SELECT proposal_id, concept, 0 AS tier, 1.0::DOUBLE AS score, 'exact' AS reason FROM ask JOIN known ON lower(concept) = lower(trim(key))
+  UNION ALL SELECT a.proposal_id, p_type, 0, 0.98::DOUBLE, 'alias' FROM ask a JOIN part ON lower(key) = 'new' || p_partkey WHERE p_partkey % 60 = 40
+  UNION ALL SELECT proposal_id, concept, 0, 0.99::DOUBLE, 'pin' FROM (SELECT proposal_id, unnest(pins) AS concept FROM ask) WHERE concept IN (SELECT concept FROM known)
+  UNION ALL SELECT proposal_id, concept, CASE WHEN score >= 0.55 THEN 0 ELSE 1 END, score, 'lexical' FROM near
+  UNION ALL SELECT proposal_id, parent, 1, 0.72::DOUBLE, 'parent' FROM ask
+  UNION ALL SELECT a.proposal_id, child, CASE WHEN coalesce(n.score, 0) >= 0.35 THEN 1 ELSE 2 END, 0.45::DOUBLE + 0.45::DOUBLE * coalesce(n.score, 0), 'sibling' FROM ask a JOIN link l ON l.parent = a.parent AND child <> key LEFT JOIN near n ON n.proposal_id = a.proposal_id AND n.concept = child),
+ best AS (SELECT *, row_number() OVER (PARTITION BY proposal_id, concept ORDER BY tier, reason = 'pin', score DESC, reason) AS k FROM way) SELECT proposal_id, concept, tier, round(score, 6) AS score, reason FROM best WHERE k = 1"""
+
+
+@query(REVIEWED)
+def j18_review_candidates(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    way = F.floor(k / 20) % 3
+    key = F.when(way == 0, F.col("p_type")).when(way == 1, F.concat(F.lit("  "), F.lower("p_type"))).otherwise(F.concat(F.lit("New"), k))
+    pins = F.when(k % 40 == 0, F.array("p_brand", F.lit("nothing")))
+    asked = p.filter(k % 20 == 0).select(k.alias("proposal_id"), key.alias("key"), F.array("p_brand").alias("parent_keys"), pins.alias("pins"))
+    concepts = p.select(F.col("p_type").alias("concept")).union(p.select("p_brand")).distinct()
+    aliases = p.filter(k % 60 == 40).select(F.concat(F.lit("New"), k).alias("alias"), F.col("p_type").alias("concept"))
+    links = p.select(F.col("p_brand").alias("parent"), F.col("p_type").alias("child")).distinct()
+    return governance.review_candidates(asked, concepts, aliases, links, _nearest_types(spark, sf_dir))
+
+
 @query(PACKED)
 def j18_review_context(spark, sf_dir):
     near = _nearest_types(spark, sf_dir).select("proposal_id", "tier", F.col("place").cast("long").alias("candidate_id"), (F.length("concept") * 10).alias("tokens"))

@@ -24,13 +24,13 @@ _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Piece types in a model file.
 NORMAL, BYTE = 1, 6
 #: Pairs of pieces whose fit a worker remembers.
-FITS_HELD = 200_000
+FITS_HELD = 100_000
 
 
 class PieceCodec:
     """Pieces of a BPE model with identity normalisation, dummy prefix and byte fallback."""
 
-    def __init__(self, path: str, limit: int = 64 << 20):
+    def __init__(self, path: str, limit: int = 32 << 20):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 

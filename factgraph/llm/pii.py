@@ -165,11 +165,15 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_c
     """Where the terms (column term) stand as whole runs of letters, in whatever case: doc_id, h,
     kind (TERM), start and end. Rows alike give one set of spans."""
     rows, terms = _rows(docs, id_col, text_col), _few(terms.select("term"), "term")
-    having = checkpoint(rows.select("doc_id", "h", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi").select("doc_id", "h").distinct())
-    runs = _of(rows, having).select("doc_id", "h", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))).alias("k", "run"))
-    so_far = Window.partitionBy("doc_id", "h").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = runs.withColumn("end", F.sum(F.length("run")).over(so_far)).withColumn("term", F.lower("run")).join(terms, "term", "left_semi")
-    return runs.select("doc_id", "h", F.lit(TERM).alias("kind"), (F.col("end") - F.length("run")).alias("start"), "end")
+    having = rows.select("doc_id", "h", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    having = checkpoint(having.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("term").alias("found")))
+    texts = rows.join(_few(having), rows.doc_id.eqNullSafe(F.col("_id")) & (rows.h == F.col("_h"))).dropDuplicates(["doc_id", "h"])
+    texts = texts.withColumn("runs", F.regexp_extract_all("text", F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)))
+    # Only runs that are terms are placed: each by the length of all before it.
+    texts = texts.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: F.array_contains("found", F.lower(F.get("runs", i)))))
+    start = lambda i: F.length(F.array_join(F.slice("runs", F.lit(1), i), "")).cast("long")
+    spans = texts.select("doc_id", "h", F.explode(F.transform("at", lambda i: F.struct(start(i).alias("start"), F.length(F.get("runs", i)).alias("n")))).alias("_"))
+    return spans.select("doc_id", "h", F.lit(TERM).alias("kind"), F.col("_.start").alias("start"), (F.col("_.start") + F.col("_.n")).alias("end"))
 
 
 def _ordered(spans: DataFrame) -> DataFrame:

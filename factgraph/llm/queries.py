@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import exact_dedup, language_id, license_scan, mixing, pii, quality_rules, sentencepiece_codec, simhash_dedup, token_counts, wavelet_shards
+from factgraph.llm import conversation_trie, exact_dedup, language_id, license_scan, mixing, pii, quality_rules, sentencepiece_codec, simhash_dedup, spelling_variants, token_counts, toxicity, wavelet_shards
 from factgraph.llm.common import documents, shared_dir
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -56,8 +56,21 @@ def op10_piece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.piece_digests(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
+def op11_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_shards, op2_license_scan, op3_token_counts, op4_weighted_mix, op5_simhash_groups, op6_exact_duplicates, op7_find_pii, op8_quality_rules, op9_language_id, op10_piece_digests)
+    f.__name__: f for f in (op1_wavelet_shards, op2_license_scan, op3_token_counts, op4_weighted_mix, op5_simhash_groups, op6_exact_duplicates, op7_find_pii, op8_quality_rules, op9_language_id, op10_piece_digests, op11_toxicity_scores, op12_spelling_variants, op13_conversation_trie)
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_weighted_mix": r"""
@@ -97,4 +110,33 @@ WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(co
  p AS (SELECT rule, mean, CASE WHEN rho > 1 / (1 + 1e6::DOUBLE) THEN greatest(1.0, 1 / rho - 1) ELSE 1e6::DOUBLE END AS strength FROM q),
  r AS (SELECT source, max((f + mean * strength) / (n + strength)) AS rate FROM h JOIN p ON p.rule = h.rule GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
+    "op12_spelling_variants": r"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+ r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+ k AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+ b AS (SELECT run, n, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: unicode(x)) AS points FROM k),
+ h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(points, lambda x: CASE WHEN x < 128 THEN [x::BIGINT] ELSE [(192 + (x >> 6))::BIGINT, (128 + (x & 63))::BIGINT] END))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b CROSS JOIN c),
+ v AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+ e AS (SELECT word, n, unnest(list_append(list_transform(range(length(word)), lambda i: substring(word, 1, i) || substring(word, i + 2)), word)) AS part FROM v),
+ p AS (SELECT DISTINCT a.word AS word, b.word AS near, a.n AS n, b.n AS near_n FROM e a JOIN e b ON a.part = b.part AND a.word <> b.word),
+ f AS (SELECT word, length(word) AS l, length(near) AS m, near, n, near_n, len(list_filter(range(1, least(length(word), length(near)) + 1), lambda i: word[1:i] = near[1:i])) AS head, len(list_filter(range(1, least(length(word), length(near)) + 1), lambda i: right(word, i) = right(near, i))) AS tail FROM p),
+ g AS (SELECT * FROM f WHERE head + tail >= greatest(l, m) - 1),
+ q AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM g GROUP BY word),
+ o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN q ON q.word = v.word),
+ z AS (WITH RECURSIVE w(word, root, next) AS (SELECT word, word, form FROM o UNION ALL SELECT w.word, o.word, o.form FROM w JOIN o ON o.word = w.next) SELECT word, root FROM w WHERE next IS NULL)
+SELECT o.word, n, n_near, form, form_n, root FROM o JOIN z ON z.word = o.word""",
+    "op13_conversation_trie": r"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+ s AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list({'key': key, 'size': size} ORDER BY turn NULLS FIRST, key) AS steps FROM s GROUP BY conv_id),
+ h AS (SELECT conv_id, steps, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h FROM o CROSS JOIN c),
+ r AS (SELECT h.conv_id, list_concat(coalesce(b.steps[1:h.h], []), h.steps[h.h + 1:]) AS steps FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+ m AS (SELECT conv_id, unnest(range(len(steps) + 1)) AS depth, steps, len(steps) AS l FROM r),
+ p AS (SELECT conv_id, depth, l, sha256(array_to_string(list_transform(steps[1:depth], lambda x: x.key), ',')) AS node, CASE WHEN depth > 0 THEN sha256(array_to_string(list_transform(steps[1:depth - 1], lambda x: x.key), ',')) END AS above, CASE WHEN depth > 0 THEN steps[depth].size ELSE 0 END AS size FROM m),
+ n AS (SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = l), '')) AS ends_sha256 FROM p GROUP BY depth, node),
+ k AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+ f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.node = n.node),
+ a AS (SELECT p.depth, p.node, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.size)::BIGINT AS saved_tokens FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, a.saved_tokens, f.ends_sha256
+FROM f JOIN a ON a.depth = f.depth AND a.node = f.node LEFT JOIN n u ON u.depth = f.depth - 1 AND u.node = f.above""",
 }

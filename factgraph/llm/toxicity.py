@@ -166,26 +166,35 @@ def held_out(id_col: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, penalty: float = COUNTERFACTUAL) -> ToxicityModel:
     """Learns from labelled documents outside the held-out fold.
 
-    About ``rows`` documents of each label are chosen by a hash of id and text (the documented bound
-    of the sample) and weighed so that labels have their true shares. Features are found and
-    counted on the executors; the driver gets at most FEATURES hashes, the sample's places among
-    them, and the distinct swaps. Null labels are no labels; a label that stands twice counts once;
-    without labelled rows every score is 0, with one label only the score is its smoothed share.
+    About ``rows`` labels of each kind are chosen by a hash of the id (the documented bound of the
+    sample) and weighed so that kinds have their true shares; where ids repeat so often that their
+    documents are over twice the bound, these are thinned by a hash of id and text. Only chosen
+    labels meet the documents, by broadcast, so no text is shuffled. Features are found and counted
+    on the executors; the driver gets at most FEATURES hashes, the sample's places among them, and
+    the distinct swaps. Null labels are no labels; a label that stands twice counts once; without
+    labelled rows every score is 0, with one kind of label only the score is its smoothed share.
     """
     share_package(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("label_id"), (F.col(label_col) > 0).cast("int").alias("label")).filter("label IS NOT NULL AND label_id IS NOT NULL").distinct()
-    texts = docs.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    both = texts.join(known, F.col("id") == F.col("label_id"))
-    sizes = {r.label: r.n for r in both.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    label_id = F.col(id_col)
+    known = labels.filter(~held_out(label_id)).select(label_id.alias("label_id"), (F.col(label_col) > 0).cast("int").alias("label")).filter("label IS NOT NULL").distinct()
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         n = sum(sizes.values())
         p = (sizes.get(1, 0) + 1) / (n + 2) if n else 0.0
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))) if n else -np.inf)
-    key = F.md5(F.concat(F.lit("toxic:"), F.col("id").cast("string"), F.lit(":"), F.md5("text")))
-    at = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+    def share_of(key: Column) -> Column:
+        return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+    name = F.col("label_id").cast("string")
     limit = F.when(F.col("label") == 1, F.lit(rows / sizes[1])).otherwise(F.lit(rows / sizes[0]))
+    chosen = F.broadcast(known.filter(share_of(F.concat(F.lit("toxic:"), name)) < limit))
+    both = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(chosen, F.col("id") == F.col("label_id"))
+    thin = 2 * rows / max(1, both.count())
+    if thin < 1:
+        both = both.filter(share_of(F.concat(F.lit("thin:"), name, F.lit(":"), F.md5("text"))) < thin)
     # Written once: the passes below read no more than the sample.
-    sample = checkpoint(both.filter(at < limit).select("label", "text", key.alias("key")).dropDuplicates(["key", "label"]))
+    sample = checkpoint(both.select("label", "text", F.md5(F.concat(name, F.lit(":"), F.md5("text"))).alias("key")))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,9 +9,19 @@ from pyspark.sql.window import Window
 from factgraph.functions.text import normal
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old, with the rows of new in place of those with the same keys."""
-    return old.join(new, keys, "left_anti").unionByName(new)
+def _first_of(requests: DataFrame, key: str) -> Column:
+    """Number of a request among those on the same key: by request_id if there is one, else by all of
+    its columns."""
+    order = ["request_id"] if "request_id" in requests.columns else [c for c in requests.columns if c != key] or [key]
+    return F.row_number().over(Window.partitionBy(key).orderBy(*order))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """old, with the rows of new in place of those with the same keys. Of several new rows with the same
+    keys the one stays that is last by ``order`` (by all its other columns, if none is given)."""
+    order = order or [c for c in new.columns if c not in keys] or keys
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    return old.join(last, keys, "left_anti").unionByName(last)
 
 
 def insert_missing(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -47,8 +57,10 @@ def assert_statements(existing: DataFrame, requests: DataFrame) -> DataFrame:
 
 def supersede(statements: DataFrame, requests: DataFrame) -> DataFrame:
     """New statements for requests (statement_id, object_string, valid_from; null inherits) on asserted
-    statements: what replaces what, with fields that are not given taken over."""
-    patch = requests.select("statement_id", F.col("object_string").alias("_s"), F.col("valid_from").alias("_f"))
+    statements: what replaces what, with fields that are not given taken over. Of several requests on
+    one statement the first counts; after it the statement is superseded."""
+    first = requests.withColumn("_k", _first_of(requests, "statement_id")).filter("_k = 1")
+    patch = first.select("statement_id", F.col("object_string").alias("_s"), F.col("valid_from").alias("_f"))
     rows = statements.filter("status = 'asserted'").join(patch, "statement_id")
     return rows.select(
         F.concat(F.lit("new:"), F.col("statement_id")).alias("statement_id"), F.col("statement_id").alias("supersedes_id"), "subject_entity_id", "predicate_key",
@@ -57,17 +69,20 @@ def supersede(statements: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def retract(statements: DataFrame, requests: DataFrame) -> DataFrame:
-    """statement_id, outcome: RETRACTED, NO_CHANGE if it is already, REJECTED if superseded or unknown."""
-    rows = requests.join(statements.select("statement_id", "status"), "statement_id", "left")
-    outcome = F.when(F.col("status") == "asserted", "RETRACTED").when(F.col("status") == "retracted", "NO_CHANGE").otherwise("REJECTED")
+    """statement_id, outcome: RETRACTED, NO_CHANGE if it is already (by an earlier request, too),
+    REJECTED if superseded or unknown."""
+    rows = requests.withColumn("_k", _first_of(requests, "statement_id")).join(statements.select("statement_id", "status"), "statement_id", "left")
+    outcome = F.when((F.col("status") == "asserted") & (F.col("_k") == 1), "RETRACTED").when(F.col("status").isin("asserted", "retracted"), "NO_CHANGE").otherwise("REJECTED")
     return rows.select("statement_id", outcome.alias("outcome"))
 
 
 def resolve(issues: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """key, outcome: open issues with a note resolve; others are rejected."""
-    rows = requests.join(issues.select(key, "status"), key, "left")
-    ok = (F.col("status") == "open") & (F.trim(F.coalesce("note", F.lit(""))) != "")
-    return rows.select(key, F.when(ok, "RESOLVED").otherwise("REJECTED").alias("outcome"))
+    """key, outcome: open issues resolve by the first request with a note; other requests are rejected."""
+    rows = requests.withColumn("_noted", F.trim(F.coalesce("note", F.lit(""))) != "")
+    order = ["request_id"] if "request_id" in requests.columns else [c for c in requests.columns if c != key]
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_noted").orderBy(*order))).join(issues.select(key, "status"), key, "left")
+    ok = (F.col("status") == "open") & F.col("_noted") & (F.col("_k") == 1)
+    return rows.select(key, F.when(F.coalesce(ok, F.lit(False)), "RESOLVED").otherwise("REJECTED").alias("outcome"))
 
 
 def merged_statements(statements: DataFrame, survivors: DataFrame) -> DataFrame:

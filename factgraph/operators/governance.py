@@ -170,14 +170,15 @@ HINTS = {
         ("confidence_qualifier", (), ("probable", "likely"), (("confidence", "goal"), ("confidence", "probable")), ("Goal", "hasGoal")),
         ("employment_class", ("employmentrelation", "employment"), (), (("ongoing employment",), ("employment relationship",)), ("Employment", "RelationshipContext", "Role", "holdsRole", "roleAt")),
         ("professional_skill", ("professionalskill",), (), (("professional", "skill", "role"),), ("Skill", "Role", "hasSkill")),
-        ("core_leakage", (), ("didac",), (("personal", "goal"), ("only inside",), ("product experiment",), ("quantitative finance",), ("trading signal",)), ("Goal", "Observation", "Document")),
+        ("core_leakage", (), (), (("personal", "goal"), ("only inside",), ("product experiment",), ("quantitative finance",), ("trading signal",)), ("Goal", "Observation", "Document")),
     ),
 }
 
 
-def modelling_hints(kind: Column, key: Column, label: Column, description: Column) -> Column:
+def modelling_hints(kind: Column, key: Column, label: Column, description: Column, owners: tuple[str, ...] = ()) -> Column:
     """Struct (hint, pins): the first modelling rule of HINTS that a proposal meets, and the concepts
-    that its context starts with; null where none does."""
+    that its context starts with; null where none does. owners are names (in lower case) of persons
+    whose own classes don't belong into the core: a class key that starts with one is a leakage."""
     empty = F.lit("")
     key, label, description = (F.coalesce(x, empty) for x in (key, label, description))
     folded, words = F.lower(key), F.lower(F.concat_ws(" ", key, label, description))
@@ -185,7 +186,7 @@ def modelling_hints(kind: Column, key: Column, label: Column, description: Colum
     for name, rules in HINTS.items():
         for hint, keys, starts, phrases, pins in rules:
             met = folded.isin(*keys) if keys else F.lit(False)
-            for x in starts:
+            for x in (*starts, *(owners if hint == "core_leakage" else ())):
                 met = met | folded.startswith(x)
             for some in phrases:
                 met = met | F.forall(F.array(*map(F.lit, some)), lambda x: F.contains(words, x))

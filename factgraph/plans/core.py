@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, ontology, retrieval, summaries
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, ontology, relevance, retrieval, summaries
 from factgraph.sources.tables import duckdb_views, table, view
 
 AS_OF = "2001-12-31 00:00:00"
@@ -629,11 +630,11 @@ def h09_validity_scores(spark, sf_dir):
     return rows.select("statement_id", temporal.validity_score(F.col("valid_from"), F.col("valid_to"), F.col("status"), now, F.lit("current")).alias("score"))
 
 
-def _found(spark, sf_dir, queries, k=25):
+def _found(spark, sf_dir, queries, k=25, by_entity=False):
     """Hybrid search over the fact graph with all its candidates' sources."""
     e, rows = view(spark, sf_dir, "fx_entity"), view(spark, sf_dir, "fx_statement")
     cues = ontology.lexicon(rows.select("predicate_key", F.lit(None).cast("string").alias("label")).distinct())
-    return retrieval.search(queries, e, rows, view(spark, sf_dir, "fx_evidence"), AS_OF, k, sources=view(spark, sf_dir, "fx_source"), cues=cues, groups=graph.identity_groups(e, direct_only=True))
+    return retrieval.search(queries, e, rows, view(spark, sf_dir, "fx_evidence"), AS_OF, k, sources=view(spark, sf_dir, "fx_source"), cues=cues, groups=graph.identity_groups(e, direct_only=True), by_entity=by_entity)
 
 
 @query()
@@ -641,13 +642,28 @@ def j24_hybrid_search(spark, sf_dir):
     return _found(spark, sf_dir, _asked(spark))
 
 
+def search_cases(spark, sf_dir):
+    """Cases over the whole graph (query_id, query, tags) and what they expect: names of every part
+    whose id 20 divides, bare and in a question (all parts of that name answer), of every place, and
+    questions for what lies in a place."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), "p_partkey")
+    asked = p.filter("p_partkey % 20 = 0")
+    places = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    places = places.union(table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), "r_regionkey"), "r_name"))
+    kinds = [(asked, "name", F.col("name")), (asked, "question", F.concat(F.lit("what do you know about the "), "name")), (places, "place", F.col("name")), (places, "inside", F.concat(F.lit("who is located at "), "name"))]
+    cases = reduce(DataFrame.union, [rows.select(F.concat(F.lit(tag + "/"), "id").alias("query_id"), said.alias("query"), F.array(F.lit(tag)).alias("tags"), "name") for rows, tag, said in kinds])
+    known = p.select("id", "name").union(places)
+    entities = cases.join(known, "name").select("query_id", F.lit("entity").alias("kind"), F.col("id").alias("value"))
+    predicates = cases.filter(F.array_contains("tags", "inside")).select("query_id", F.lit("predicate"), F.lit("locatedAt"))
+    return cases.drop("name"), entities.union(predicates)
+
+
 @query()
 def d17_search_quality(spark, sf_dir):
-    """Recall and reciprocal rank of search for the names of every active part whose id 20 divides."""
-    parts = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").cast("int").alias("query_id"), F.concat_ws(" ", "p_name", F.lit("part")).alias("query"), F.concat(F.lit("part:"), "p_partkey").alias("wanted"))
-    hits = _found(spark, sf_dir, parts.select("query_id", "query"), 10)
-    ranks = parts.join(hits.select("query_id", F.col("id").alias("wanted"), "place"), ["query_id", "wanted"], "left")
-    return summaries.retrieval_quality(ranks.select(F.col("query_id").alias("case_id"), F.col("place").alias("rank")), [])
+    """Recall and reciprocal rank of search by kind of case, entities first."""
+    cases, expected = search_cases(spark, sf_dir)
+    hits = _found(spark, sf_dir, cases.select("query_id", "query"), 10, by_entity=True)
+    return relevance.quality(cases, relevance.labelled(hits, expected, view(spark, sf_dir, "fx_entity"), view(spark, sf_dir, "fx_statement")))
 
 
 LEX = """WITH q AS (SELECT * FROM (VALUES (0, 'red plate', ['red', 'plate']), (3, 'customer#000000007', ['customer', '000000007'])) t(query_id, q, tokens)),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, proposals, redaction, repair, reporting, retrieval, summaries
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, proposals, redaction, relevance, repair, reporting, retrieval, summaries
 from factgraph.plans.core import PARENTS, ROOTS, WALKS, _asked, _edges, _found, query
 from factgraph.sources.tables import table, view
 
@@ -93,15 +93,26 @@ def d11_predicate_specificity(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT doc_id % 20 AS case_id, doc_id AS hit, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS rank FROM documents), x AS (SELECT doc_id % 20 AS case_id, doc_id AS hit FROM labels WHERE quality = 1)
-SELECT h.case_id, min(CASE WHEN x.hit IS NOT NULL THEN rank END) AS first_relevant_rank, count(x.hit) AS relevant FROM h LEFT JOIN x USING (case_id, hit) GROUP BY 1""")
+WITH hits AS (SELECT subject_entity_id AS q, statement_id AS id, row_number() OVER (PARTITION BY subject_entity_id ORDER BY asserted_at DESC, statement_id) AS place FROM fx_statement WHERE predicate_key IN ('contains', 'orderedBy', 'totalPrice', 'preferredPriority')),
+ h AS (SELECT q, 'statement' AS hit_type, id, place FROM hits WHERE place <= 5 UNION ALL SELECT o.q, 'entity', e.entity_id, 6 FROM (SELECT DISTINCT q FROM hits WHERE q LIKE 'order:%') o JOIN fx_entity e ON e.entity_id = 'part:' || (CAST(split_part(o.q, ':', 2) AS BIGINT) % 100 + 1)),
+ k AS (SELECT q, CAST(split_part(q, ':', 2) AS BIGINT) AS n FROM (SELECT DISTINCT q FROM h)),
+ c AS (SELECT q, CASE WHEN n % 3 = 0 THEN 'part:' || (n % 100 + 1) WHEN n % 3 = 1 THEN 'customer:' || (n % 100 + 1) END AS entity, CASE WHEN n % 2 = 0 THEN 'totalPrice' END AS predicate, CASE WHEN n % 5 = 0 THEN 'RED' END AS needle, 'st:od:' || n AS bad FROM k),
+ d AS (SELECT h.*, c.entity, c.predicate, c.needle, c.bad, s.subject_entity_id, s.object_entity_id, s.predicate_key, CASE WHEN h.hit_type = 'entity' THEN lower(e.canonical_name) ELSE lower(concat_ws(' ', s.object_string, s.predicate_key)) END AS said, coalesce(c.entity IN (h.id, s.subject_entity_id, s.object_entity_id), false) AS touches
+  FROM h JOIN c ON c.q = h.q LEFT JOIN fx_statement s ON h.hit_type = 'statement' AND s.statement_id = h.id LEFT JOIN fx_entity e ON h.hit_type = 'entity' AND e.entity_id = h.id),
+ m AS (SELECT *, max(touches) OVER (PARTITION BY q) AS met FROM d)
+SELECT q AS query_id, hit_type, id, place, touches OR coalesce(predicate_key = predicate AND (entity IS NULL OR met), false) OR coalesce(contains(said, lower(needle)), false) AS relevant, hit_type = 'statement' AND id = bad AS must_not FROM m""")
 def d18_relevance(spark, sf_dir):
-    d = F.col("doc_id")
-    order = Window.partitionBy("case_id").orderBy(F.desc("n_chars"), "hit")
-    hits = table(spark, sf_dir, "documents").select((d % 20).alias("case_id"), d.alias("hit"), "n_chars").withColumn("rank", F.row_number().over(order).cast("long"))
-    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select((d % 20).alias("case_id"), d.alias("hit"))
-    labelled = summaries.relevance(hits, wanted)
-    return labelled.groupBy("case_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_relevant_rank"), F.count_if("relevant").alias("relevant"))
+    rows, names = view(spark, sf_dir, "fx_statement"), view(spark, sf_dir, "fx_entity")
+    place = F.row_number().over(Window.partitionBy("subject_entity_id").orderBy(F.desc("asserted_at"), "statement_id"))
+    found = rows.filter("predicate_key IN ('contains', 'orderedBy', 'totalPrice', 'preferredPriority')").select(F.col("subject_entity_id").alias("query_id"), F.lit("statement").alias("hit_type"), F.col("statement_id").alias("id"), place.alias("place")).filter("place <= 5")
+    n = F.split_part("query_id", F.lit(":"), F.lit(2)).cast("long")
+    orders = found.filter("query_id LIKE 'order:%'").select("query_id").distinct().select("query_id", F.lit("entity").alias("hit_type"), F.concat(F.lit("part:"), n % 100 + 1).alias("id"), F.lit(6).alias("place"))
+    hits = found.union(orders.join(names.select(F.col("entity_id").alias("id")), "id", "left_semi").select(*found.columns))
+    entity = F.when(n % 3 == 0, F.concat(F.lit("part:"), n % 100 + 1)).when(n % 3 == 1, F.concat(F.lit("customer:"), n % 100 + 1))
+    values = {"entity": entity, "predicate": F.when(n % 2 == 0, "totalPrice"), "needle": F.when(n % 5 == 0, "RED"), "must_not": F.concat(F.lit("st:od:"), n)}
+    wants = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in values.items()])
+    expected = hits.select("query_id").distinct().select("query_id", F.inline(wants)).filter("value IS NOT NULL")
+    return relevance.labelled(hits, expected, names, rows)
 
 
 @query("WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) SELECT p_brand, p_partkey, place FROM r WHERE place <= 5")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -32,3 +33,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="factgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """df, written once as Parquet to ``path`` (else to a new folder in the shared one) and read from there."""
+    spark = df.sparkSession
+    path = path or f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

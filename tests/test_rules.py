@@ -18,9 +18,9 @@ def one(spark, column):
 @pytest.mark.parametrize(
     "query, field, score",
     [
-        ("Didac", "Didac", 1.0),
-        ("Didac Airbus", "Didac", 0.95),
-        ("legacy start date of Didac today", "Didac", 0.40 + 0.25 / 4),
+        ("Alba", "Alba", 1.0),
+        ("Alba Airbus", "Alba", 0.95),
+        ("legacy start date of Alba today", "Alba", 0.40 + 0.25 / 4),
         ("red plate", "a big red plate here", 0.85),
         ("the of", "say the of it", 0.85),
         ("of, the", "nothing", 0.25),
@@ -100,8 +100,8 @@ def test_batch_creates_once(spark):
 
 
 def test_near_names_are_whole_words(spark):
-    named = spark.createDataFrame([("e1", "didac", "canonical"), ("e2", "didac costa", "canonical"), ("e3", "didactic", "canonical")], "entity_id string, norm string, strength string")
-    asked = spark.createDataFrame([(1, "Didac  Garcia"), (2, "Didac")], "request_id int, name string")
+    named = spark.createDataFrame([("e1", "alba", "canonical"), ("e2", "alba costa", "canonical"), ("e3", "albatic", "canonical")], "entity_id string, norm string, strength string")
+    asked = spark.createDataFrame([(1, "Alba  Garcia"), (2, "Alba")], "request_id int, name string")
     assert {tuple(r) for r in identity.near_names(asked, named).collect()} == {(1, "e1"), (2, "e2")}
 
 
@@ -195,7 +195,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
 
 
 def test_gold_cases_and_report(spark, tmp_path):
-    gold = {"entities": {"didac": "e1"}, "cases": [{"id": "c1", "query": "who", "tags": ["name", "past"], "expected_entity_ids": ["didac", "e9"]}, {"id": "c2", "query": "none", "tags": [], "expected_entity_ids": []}]}
+    gold = {"entities": {"alba": "e1"}, "cases": [{"id": "c1", "query": "who", "tags": ["name", "past"], "expected_entity_ids": ["alba", "e9"]}, {"id": "c2", "query": "none", "tags": [], "expected_entity_ids": []}]}
     path = tmp_path / "gold.json"
     path.write_text(json.dumps(gold, indent=1))
     got = [tuple(r) for r in reporting.gold_cases(spark, str(path)).orderBy("case_id", "expected_id").collect()]
@@ -233,3 +233,24 @@ def test_same_answer_under_any_partitioning(spark):
     queries = spark.createDataFrame([(1, "red plate 2"), (2, "ring")], "query_id int, query string")
     answers = [[tuple(r) for r in retrieval.top(retrieval.merged_hits(retrieval.entity_hits(entities.repartition(n), retrieval.prepared(queries), "2001-12-31")), 7).orderBy("query_id", "place").collect()] for n in (1, 7, 64)]
     assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 14
+
+
+def test_repeated_requests(spark):
+    """Of several requests on one row the first counts, the others meet its outcome."""
+    make = spark.createDataFrame
+    old, new = make([(1, "a", 0), (2, "b", 0)], "k int, v string, at int"), make([(2, "x", 5), (2, "y", 4), (3, "z", 1)], "k int, v string, at int")
+    assert sorted(map(tuple, changes.upsert(old, new, ["k"], ["at"]).collect())) == [(1, "a", 0), (2, "x", 5), (3, "z", 1)]
+    facts = make([("s1", "asserted", "p", "e", "o", None), ("s2", "superseded", "p", "e", "o", None)], "statement_id string, status string, predicate_key string, subject_entity_id string, object_string string, valid_from timestamp")
+    asked = make([("s1", 1), ("s1", 2), ("s2", 3), ("s9", 4)], "statement_id string, request_id int")
+    assert sorted(map(tuple, changes.retract(facts, asked).collect())) == [("s1", "NO_CHANGE"), ("s1", "RETRACTED"), ("s2", "REJECTED"), ("s9", "REJECTED")]
+    issues, notes = make([("i1", "open"), ("i2", "closed")], "issue_id string, status string"), make([("i1", " ", 1), ("i1", "done", 2), ("i1", "again", 3), ("i2", "x", 4)], "issue_id string, note string, request_id int")
+    assert sorted(map(tuple, changes.resolve(issues, notes, "issue_id").collect())) == [("i1", "REJECTED"), ("i1", "REJECTED"), ("i1", "RESOLVED"), ("i2", "REJECTED")]
+    twice = make([("s1", "new", None, 1), ("s1", "newer", None, 2)], "statement_id string, object_string string, valid_from timestamp, request_id int")
+    assert [(r.statement_id, r.object_string) for r in changes.supersede(facts, twice).collect()] == [("new:s1", "new")]
+
+
+def test_owners_prefixes(spark):
+    df = spark.createDataFrame([("AlbaGoal",), ("Goal",)], "key string")
+    args = (F.lit("class"), F.col("key"), F.lit(""), F.lit(""))
+    assert [r.h for r in df.select(governance.modelling_hints(*args, owners=("alba",))["hint"].alias("h")).collect()] == ["core_leakage", None]
+    assert [r.h for r in df.select(governance.modelling_hints(*args)["hint"].alias("h")).collect()] == [None, None]

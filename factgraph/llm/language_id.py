@@ -22,9 +22,10 @@ GRAMS, BUCKETS = 4, 1 << 14
 #: Training rows of each language (about so many are chosen by hash, all if fewer), landmarks of
 #: each language, ridge penalty, texts in a batch.
 ROWS, LANDMARKS, RIDGE, BATCH = 400, 32, 0.01, 64
-#: Bounds for all languages together, whatever label values there are: rows (8 KB each on the
-#: driver), landmarks (256 KB each), and languages learned (the most frequent ones; 256 KB each).
-ALL_ROWS, ALL_LANDMARKS, LANGUAGES = 6000, 512, 200
+#: Bounds for all languages together: rows (8 KB each on the driver) and landmarks (256 KB each). Every
+#: label value is learned, from one row and landmark at least, so with more languages than that their
+#: number counts.
+ALL_ROWS, ALL_LANDMARKS = 6000, 512
 UNKNOWN = "und"
 
 
@@ -109,21 +110,23 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Learns from documents outside the held-out fold that have a label, an id and a text.
 
     About ``rows`` documents of each language are chosen by a hash of id and text (a documented
-    bound of the sample; fewer each where all would be over ALL_ROWS, and the most frequent
-    LANGUAGES label values only). Their n-gram presence is found on the executors and packed into
+    bound of the sample; fewer each where all would be over ALL_ROWS, but at least the one whose
+    hash is smallest). Their n-gram presence is found on the executors and packed into
     bits, which is all that comes to the driver; equal rows count once.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
     known = known.filter((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.md5(F.concat(F.lit("lang:"), F.col("id").cast("string"), F.lit(":"), F.md5("text")))
     known = known.withColumn("key", key)
-    sizes = {x.lang: x.n for x in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("first")).orderBy("lang").collect()
+    sizes, firsts = {x.lang: x.n for x in found}, {x.lang: x.first for x in found}
     if not sizes:
         return LanguageModel.fit([], [])
     rows = min(rows, ALL_ROWS // len(sizes))
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
     limits = F.create_map(*[F.lit(y) for lang, n in sizes.items() for y in (lang, rows / n)])
-    sample = known.filter(at < limits[F.col("lang")]).select("key", "lang", "text").dropDuplicates(["key", "lang"])
+    first = F.create_map(*[F.lit(y) for x in firsts.items() for y in x])
+    sample = known.filter((at < limits[F.col("lang")]) | (F.col("key") == first[F.col("lang")])).select("key", "lang", "text").dropDuplicates(["key", "lang"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

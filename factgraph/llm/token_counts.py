@@ -17,6 +17,8 @@ from factgraph.llm.common import batches_by_size, text_of
 #: in. All three are fixed, so the broadcast has a fixed bound; any other pre-token takes the
 #: shuffled join, whatever they are.
 HEAD_PIECES, HEAD_CHARS, HEAD_DOCS = 100_000, 64, 4_000
+#: Parts into which one longer pre-token's rows are dealt; it is counted once in each.
+LONG_TASKS = 32
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +67,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts * batch.column(3).to_numpy()), batch.column(4)], ["doc_id", "h", "n", "n_bytes"])
 
     split = rows.mapInArrow(frequencies, "doc_id long, h long, piece string, n long, n_bytes long")
-    split = split.repartition(F.coalesce("piece", F.col("h").cast("string"))).sortWithinPartitions("piece")
+    # Long pre-tokens never stand in the head, so one that very many documents have is dealt to LONG_TASKS.
+    salt = F.when(F.length("piece") > HEAD_CHARS, F.pmod(F.xxhash64("h", "doc_id"), F.lit(LONG_TASKS)))
+    split = split.repartition(F.coalesce("piece", F.col("h").cast("string")), salt).sortWithinPartitions("piece")
     counts = split.mapInArrow(counted, "doc_id long, h long, n long, n_bytes long")
     # Equal rows add up to the same multiple of everything.
     sums = counts.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.count("n_bytes").alias("rows"), F.max("n_bytes").alias("n_bytes"))

@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions.text import canonical_body, content_tokens
+from factgraph.operators.segments import Segments
+from factgraph.session import written
 
 
 def _numbered(ingests: DataFrame) -> DataFrame:
+    """Ingests that differ from the one before them, numbered; a source of any size takes many tasks."""
     body = canonical_body(F.col("content"))
     rows = ingests.filter("content IS NOT NULL AND content <> ''").select("source_id", "ingest_id", "captured_at", "content_format", F.sha2(body, 256).alias("content_hash"))
-    order = Window.partitionBy("source_id").orderBy("captured_at", "ingest_id")
-    same = F.lag("content_hash").over(order).eqNullSafe(F.col("content_hash")) & F.lag("content_format").over(order).eqNullSafe(F.col("content_format"))
-    return rows.withColumn("_same", same).filter("NOT _same").select("source_id", "ingest_id", "content_hash", "captured_at", F.row_number().over(order).alias("revision"), "content_format")
+    # Written first, as dealing by range reads its input twice.
+    placed = Segments(written(rows, "hashes"), ["source_id"], ["captured_at", "ingest_id"]).before("content_hash", "content_format")
+    same = F.col("_before").isNotNull() & F.col("_before.content_hash").eqNullSafe(F.col("content_hash")) & F.col("_before.content_format").eqNullSafe(F.col("content_format"))
+    return placed.filter(~same).running(F.lit(1), "revision").select("source_id", "ingest_id", "content_hash", "captured_at", F.col("revision").cast("int").alias("revision"), "content_format")
 
 
 def revisions(ingests: DataFrame) -> DataFrame:
@@ -45,8 +49,9 @@ def append_revisions(existing: DataFrame, ingests: DataFrame) -> DataFrame:
     added = _numbered(ingests).join(newest, "source_id", "left")
     # Only the first of a source's new revisions can repeat what is there; the others follow it.
     again = F.coalesce((F.col("revision") == 1) & (F.col("content_hash") == F.col("_same.content_hash")) & F.coalesce(F.col("content_format") == F.col("_same.content_format"), F.col("_same.content_format").isNull()), F.lit(False))
-    left_out = F.max(again.cast("int")).over(Window.partitionBy("source_id"))
-    added = added.withColumn("_again", again).withColumn("_left", left_out).filter(~F.col("_again"))
+    added = written(added.withColumn("_again", again), "added")
+    left_out = added.filter("_again").select("source_id", F.lit(1).alias("_left"))
+    added = added.filter("NOT _again").join(left_out, "source_id", "left").withColumn("_left", F.coalesce("_left", F.lit(0)))
     return added.withColumn("revision", F.col("revision") + F.coalesce("_last", F.lit(0)) - F.col("_left")).drop("_last", "_same", "_again", "_left", "content_format")
 
 

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from factgraph.operators.segments import ranked_values
 
 
 def created_between(df: DataFrame, after: str | None = None, before: str | None = None, column: str = "created_at") -> DataFrame:
@@ -76,17 +77,7 @@ def feedback_summary(issues: DataFrame) -> DataFrame:
 
 def nearest_rank(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles: the value at place round(share * (n - 1)), halves to even, in sorted order."""
-    rows = df.filter(F.col(value).isNotNull())
-    group = Window.partitionBy(*groups)
-    rows = rows.withColumn("_k", F.row_number().over(group.orderBy(value)) - 1).withColumn("_n", F.count("*").over(group))
-    picks = [F.max(F.when(F.col("_k") == F.bround(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, p in shares.items()]
-    return rows.groupBy(*groups).agg(F.count("*").alias("n"), *picks, F.max(value).alias("max"))
-
-
-def relevance(hits: DataFrame, expected: DataFrame) -> DataFrame:
-    """Ranked hits (case_id, hit, ...) with relevant: whether the case expects the hit (case_id, hit)."""
-    wanted = expected.select("case_id", "hit").distinct().withColumn("_yes", F.lit(True))
-    return hits.join(wanted, ["case_id", "hit"], "left").withColumn("relevant", F.coalesce("_yes", F.lit(False))).drop("_yes")
+    return ranked_values(df, groups, value, {name: F.bround(F.lit(p) * (F.col("n") - 1)) for name, p in shares.items()})
 
 
 def retrieval_quality(ranks: DataFrame, groups: list[str]) -> DataFrame:

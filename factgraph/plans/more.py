@@ -270,8 +270,7 @@ def d12_cue_owners(spark, sf_dir):
 @query("SELECT source_id, count(*) + 1 AS next_revision FROM fx_content_ingest WHERE content <> '' GROUP BY 1")
 def d14_next_number(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_content_ingest").filter("content <> ''")
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("captured_at", "ingest_id")))
-    return numbered.groupBy("source_id").agg((F.max("k") + 1).cast("long").alias("next_revision"))
+    return rows.groupBy("source_id").agg((F.count("*") + 1).alias("next_revision"))
 
 
 @query("""

@@ -99,6 +99,40 @@ def merged_statements(statements: DataFrame, survivors: DataFrame) -> DataFrame:
     return rows.select("statement_id", F.col("new_subject").alias("subject_entity_id"), "predicate_key", F.col("new_object").alias("object_entity_id"), status.alias("status"))
 
 
+def merged_entities(entities: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Entities after merges (survivors: entity_id, root): merged ones point to their survivor, and
+    their status says so; an entity on a cycle (root null) stays."""
+    rows = entities.join(survivors.select("entity_id", "root"), "entity_id", "left")
+    moved = F.coalesce(F.col("root") != F.col("entity_id"), F.lit(False))
+    return rows.withColumns({"status": F.when(moved, "merged").otherwise(F.col("status")), "merged_into_entity_id": F.when(moved, F.col("root")).otherwise(F.col("merged_into_entity_id"))}).select(*entities.columns)
+
+
+def merged_aliases(entities: DataFrame, aliases: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Aliases (entity_id, alias, norm, identity_strength) after merges: a merged entity's name becomes an
+    authoritative alias of its survivor, its other aliases follow with the strength that they had.
+
+    What another active entity has as an alias is not transferred, nor what the survivor has already,
+    but that an authoritative one strengthens a supporting one. Of equal transfers to one survivor
+    the strongest counts. The merged entity's own aliases stay where they are.
+    """
+    norm = lambda c: normal(F.col(c)).alias("norm")
+    after = merged_entities(entities, survivors).select("entity_id", "canonical_name", "status")
+    have = aliases.select("entity_id", "alias", norm("alias"), "identity_strength")
+    to = survivors.filter("root IS NOT NULL AND root <> entity_id").select("entity_id", "root")
+    active = after.filter("status = 'active'").select("entity_id")
+    to = to.join(active.select(F.col("entity_id").alias("root")), "root", "left_semi")
+    own = after.join(to, "entity_id").select("entity_id", "root", F.col("canonical_name").alias("alias"), norm("canonical_name"), F.lit("authoritative").alias("identity_strength"))
+    other = have.join(to, "entity_id").join(own.select("entity_id", F.col("norm")), ["entity_id", "norm"], "left_anti").select("entity_id", "root", "alias", "norm", "identity_strength")
+    moved = own.union(other)
+    held = have.join(active, "entity_id", "left_semi").groupBy("norm").agg(F.min("entity_id").alias("_low"), F.max("entity_id").alias("_high"))
+    moved = moved.join(held, "norm", "left").filter(F.col("_low").isNull() | ((F.col("_low") == F.col("root")) & (F.col("_high") == F.col("root"))))
+    best = moved.groupBy(F.col("root").alias("entity_id"), "norm").agg(F.min(F.struct("identity_strength", "alias")).alias("_a"))
+    best = best.select("entity_id", F.col("_a.alias").alias("alias"), "norm", F.col("_a.identity_strength").alias("identity_strength"))
+    stronger = best.filter("identity_strength = 'authoritative'").select("entity_id", "norm", F.lit("authoritative").alias("_now"))
+    kept = have.join(stronger, ["entity_id", "norm"], "left").select("entity_id", "alias", "norm", F.coalesce("_now", "identity_strength").alias("identity_strength"))
+    return kept.union(best.join(have, ["entity_id", "norm"], "left_anti").select("entity_id", "alias", "norm", "identity_strength"))
+
+
 def ingest_entities(items: DataFrame, existing: DataFrame) -> DataFrame:
     """batch_id, client_ref, entity_id, outcome of entities to be taken in (batch_id, client_ref,
     canonical_name, class_key): REUSE of an active one of that name and class, else CREATE; of equal

@@ -93,3 +93,21 @@ def endless(pointers: DataFrame) -> DataFrame:
         if p.isEmpty():
             break
     return p.select("id")
+
+
+def cycle_tops(pointers: DataFrame) -> DataFrame:
+    """Ids on cycles of (id, next, seq), and top, the largest seq of the cycle that each is on.
+
+    Pointers double with each round and carry the largest seq on their way; after as many rounds as
+    the number of rows has bits every way that goes on has come round its cycle, and where ways end
+    then are the ids on cycles.
+    """
+    p = pointers.filter("next IS NOT NULL").select("id", "next", F.col("seq").alias("top"))
+    rounds = max(1, int(p.count()).bit_length())
+    p = _checkpoint(p)
+    for _ in range(rounds):
+        q = p.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("top").alias("further"))
+        p = _checkpoint(p.join(q, "next").select("id", F.col("after").alias("next"), F.greatest("top", "further").alias("top")))
+        if p.isEmpty():
+            break
+    return p.join(p.select(F.col("next").alias("id")).distinct(), "id", "left_semi").select("id", "top")

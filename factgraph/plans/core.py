@@ -512,6 +512,19 @@ def j05_merge_entities(spark, sf_dir):
     return changes.merged_statements(view(spark, sf_dir, "fx_statement"), graph.survivors(view(spark, sf_dir, "fx_entity")))
 
 
+@query(ROOTS + """, n AS (SELECT e.entity_id, e.canonical_name, CASE WHEN r.root <> e.entity_id THEN 'merged' ELSE e.status END AS status, r.root FROM fx_entity e JOIN roots r ON r.entity_id = e.entity_id),
+ act AS (SELECT entity_id FROM n WHERE status = 'active'), have AS (SELECT entity_id, alias, lower(trim(regexp_replace(alias, '\\s+', ' ', 'g'))) AS norm, identity_strength FROM fx_entity_alias),
+ own AS (SELECT entity_id, root, canonical_name AS alias, lower(trim(canonical_name)) AS norm, 'authoritative' AS identity_strength FROM n WHERE root <> entity_id AND root IN (SELECT entity_id FROM act)),
+ mv AS (SELECT root, alias, norm, identity_strength FROM own UNION ALL SELECT o.root, h.alias, h.norm, h.identity_strength FROM have h JOIN own o ON o.entity_id = h.entity_id AND o.norm <> h.norm),
+ ok AS (SELECT * FROM mv WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.norm = mv.norm AND h.entity_id <> mv.root AND h.entity_id IN (SELECT entity_id FROM act))),
+ best AS (SELECT root AS entity_id, norm, min(identity_strength) AS identity_strength, arg_min(alias, identity_strength || alias) AS alias FROM ok GROUP BY ALL)
+SELECT entity_id, alias, norm, CASE WHEN EXISTS (SELECT 1 FROM best b WHERE b.entity_id = h.entity_id AND b.norm = h.norm AND b.identity_strength = 'authoritative') THEN 'authoritative' ELSE identity_strength END AS identity_strength FROM have h
+UNION ALL SELECT entity_id, alias, norm, identity_strength FROM best b WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.entity_id = b.entity_id AND h.norm = b.norm)""")
+def j05_merged_aliases(spark, sf_dir):
+    e = view(spark, sf_dir, "fx_entity")
+    return changes.merged_aliases(e, view(spark, sf_dir, "fx_entity_alias"), graph.survivors(e))
+
+
 @query("""
 SELECT report_id, CASE WHEN report_id % 3 <> 0 AND report_id % 4 <> 0 THEN 'RESOLVED' ELSE 'REJECTED' END AS outcome FROM fx_feedback""")
 def j21_resolve_feedback(spark, sf_dir):

@@ -206,17 +206,30 @@ def h27_modelling_hints(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("proposal_id"), hint["hint"].alias("hint"))
 
 
-@query(WALKS + """, e AS (SELECT statement_id, lag(statement_id) OVER (PARTITION BY subject_entity_id ORDER BY asserted_at, statement_id) AS successor_id FROM fx_statement WHERE predicate_key = 'preferredPriority' AND statement_id LIKE '%5'),
- p AS (SELECT * FROM e WHERE successor_id IS NOT NULL), after_ AS (SELECT s.statement_id AS id, coalesce(p.successor_id, s.superseded_by_statement_id) AS next FROM fx_statement s LEFT JOIN p USING (statement_id)),
- w AS (SELECT id, next, 0 AS hop FROM after_ WHERE next IS NOT NULL UNION ALL SELECT w.id, a.next, hop + 1 FROM w JOIN after_ a ON a.id = w.next WHERE a.next IS NOT NULL AND hop < 200), loops AS (SELECT DISTINCT id FROM w WHERE hop = 200)
-SELECT p.statement_id, p.successor_id, CASE WHEN s.superseded_by_statement_id = p.successor_id THEN 'NO_LONGER_APPLICABLE' WHEN s.status = 'superseded' AND t.subject_entity_id = s.subject_entity_id AND t.predicate_key = s.predicate_key AND p.statement_id NOT IN (SELECT id FROM loops) THEN 'REPAIRED' ELSE 'REJECTED' END AS outcome
-FROM p JOIN fx_statement s ON s.statement_id = p.statement_id LEFT JOIN fx_statement t ON t.statement_id = p.successor_id""")
-def j11_repairs(spark, sf_dir):
+REPAIRS = WALKS + """, bad AS (SELECT s.statement_id FROM fx_statement s LEFT JOIN fx_statement t ON t.statement_id = s.superseded_by_statement_id WHERE s.status = 'superseded' AND (t.statement_id IS NULL OR t.subject_entity_id <> s.subject_entity_id OR t.predicate_key <> s.predicate_key OR s.statement_id IN (SELECT id FROM loop))),
+ own AS (SELECT statement_id, subject_entity_id AS subject, superseded_by_statement_id AS next, lag(statement_id) OVER w AS earlier, lead(statement_id) OVER w AS later, statement_id IN (SELECT statement_id FROM bad) AS found, CAST(split_part(statement_id, ':', 3) AS BIGINT) * 2 AS seq FROM fx_statement WHERE predicate_key = 'preferredPriority' WINDOW w AS (PARTITION BY subject_entity_id ORDER BY asserted_at, statement_id)),
+ e AS (SELECT statement_id, subject, earlier AS successor_id, seq, found FROM own WHERE earlier IS NOT NULL UNION ALL SELECT statement_id, subject, later, seq + 1, found FROM own WHERE later IS NOT NULL),
+ f AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY seq) AS k FROM e WHERE found),
+ base AS (SELECT subject, map(list(statement_id), list(CASE WHEN NOT found THEN next END)) AS ptr, range(count(*)) AS hops FROM own GROUP BY subject),
+ walked AS (SELECT subject, 0::BIGINT AS k, ptr, hops, []::VARCHAR[] AS done, NULL::BIGINT AS seq, false AS ok, false AS late FROM base
+  UNION ALL SELECT subject, k, CASE WHEN fine THEN map_concat(ptr, MAP {statement_id: successor_id}) ELSE ptr END, hops, CASE WHEN fine THEN list_append(done, statement_id) ELSE done END, seq, fine, was
+  FROM (SELECT w.subject, f.k, w.ptr, w.hops, w.done, f.seq, f.statement_id, f.successor_id, list_contains(w.done, f.statement_id) AS was, NOT was AND list_reduce(list_prepend(f.successor_id, list_transform(w.hops, lambda i: '')), lambda x, y: CASE WHEN x = f.statement_id THEN x ELSE element_at(w.ptr, x)[1] END) IS DISTINCT FROM f.statement_id AS fine FROM walked w JOIN f ON f.subject = w.subject AND f.k = w.k + 1)),
+ out AS (SELECT e.statement_id, e.successor_id, e.seq, CASE WHEN NOT e.found OR w.late THEN 'NO_LONGER_APPLICABLE' WHEN w.ok THEN 'REPAIRED' ELSE 'REJECTED' END AS outcome FROM e LEFT JOIN walked w ON w.subject = e.subject AND w.seq = e.seq) """
+
+
+def _repairs(spark, sf_dir):
+    """For each statement of a customer's priorities two edges in turn: to the one before and the one after."""
     rows = view(spark, sf_dir, "fx_statement")
     order = Window.partitionBy("subject_entity_id").orderBy("asserted_at", "statement_id")
-    five = rows.filter("predicate_key = 'preferredPriority'").filter(F.col("statement_id").endswith("5"))
-    edges = five.select("statement_id", F.lag("statement_id").over(order).alias("successor_id")).filter("successor_id IS NOT NULL")
-    return repair.repairs(rows, edges)
+    seq = F.split_part("statement_id", F.lit(":"), F.lit(3)).cast("long") * 2
+    own = rows.filter("predicate_key = 'preferredPriority'").select("statement_id", seq.alias("seq"), F.lag("statement_id").over(order).alias("earlier"), F.lead("statement_id").over(order).alias("later"))
+    edges = own.select("statement_id", F.inline(F.array(F.struct(F.col("earlier").alias("successor_id"), F.col("seq")), F.struct(F.col("later").alias("successor_id"), (F.col("seq") + 1).alias("seq")))))
+    return rows, repair.repairs(rows, edges.filter("successor_id IS NOT NULL"))
+
+
+@query(REPAIRS + "SELECT statement_id, successor_id, seq, outcome FROM out")
+def j11_repairs(spark, sf_dir):
+    return _repairs(spark, sf_dir)[1]
 
 
 @query(WALKS + """, f AS (SELECT s.statement_id, CASE WHEN s.superseded_by_statement_id IS NULL THEN 'missing_successor' WHEN t.statement_id IS NULL THEN 'dangling_successor' WHEN t.subject_entity_id <> s.subject_entity_id OR t.predicate_key <> s.predicate_key THEN 'incompatible_successor' END AS note

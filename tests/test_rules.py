@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import changes, content, governance, graph, identity, redaction, reporting, retrieval
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, redaction, repair, reporting, retrieval
 
 
 def one(spark, column):
@@ -254,3 +254,79 @@ def test_owners_prefixes(spark):
     args = (F.lit("class"), F.col("key"), F.lit(""), F.lit(""))
     assert [r.h for r in df.select(governance.modelling_hints(*args, owners=("alba",))["hint"].alias("h")).collect()] == ["core_leakage", None]
     assert [r.h for r in df.select(governance.modelling_hints(*args)["hint"].alias("h")).collect()] == [None, None]
+
+
+def repairs_by_hand(statements, edges):
+    """statements: {id: (subject, successor)}, all superseded, one predicate; edges one by one."""
+    here = {i: n for i, (_, n) in statements.items()}
+
+    def ends(i):
+        for _ in range(len(here) + 1):
+            i = here.get(i)
+            if i is None:
+                return True
+        return False
+
+    bad = {i for i, (subject, n) in statements.items() if n is None or n not in statements or statements[n][0] != subject or not ends(i)}
+    under = {i for _, i, to in edges if i in bad and to in statements and to != i and statements[to][0] == statements[i][0]}
+    here.update(dict.fromkeys(under))
+    out, done = [], set()
+    for seq, i, to in sorted(edges):
+        if i not in statements:
+            outcome = "REJECTED"
+        elif i not in bad or i in done:
+            outcome = "NO_LONGER_APPLICABLE"
+        elif to not in statements or to == i or statements[to][0] != statements[i][0]:
+            outcome = "REJECTED"
+        else:
+            at, steps = to, 0
+            while at is not None and at != i and steps <= len(here):
+                at, steps = here.get(at), steps + 1
+            outcome = "REJECTED" if at == i else "REPAIRED"
+            if outcome == "REPAIRED":
+                here[i] = to
+                done.add(i)
+        out.append((i, to, seq, outcome))
+    return sorted(out, key=str), here
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repairs_in_order(spark, seed):
+    """As if edges were taken one by one, whatever cycles they close together."""
+    import random
+
+    rng = random.Random(seed)
+    ids_ = [f"s{i}" for i in range(40)]
+    statements = {i: (f"e{rng.randrange(2)}", rng.choice([None, None, "gone", *ids_[:8]])) for i in ids_}
+    edges = [(k, rng.choice([*ids_, "unknown"]), rng.choice(ids_)) for k in range(120)]
+    df = spark.createDataFrame([(i, s, "p", "superseded", n) for i, (s, n) in statements.items()], "statement_id string, subject_entity_id string, predicate_key string, status string, superseded_by_statement_id string")
+    asked = spark.createDataFrame([(i, to, k) for k, i, to in edges], "statement_id string, successor_id string, seq long")
+    want, here = repairs_by_hand(statements, edges)
+    got = repair.repairs(df, asked)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    after = repair.repaired(df, got)
+    fixed = {i for i, _, _, o in want if o == "REPAIRED"}
+    assert {r.statement_id: r.superseded_by_statement_id for r in after.collect() if r.statement_id in fixed} == {i: here[i] for i in fixed}
+    issues = spark.createDataFrame([(f"i{i}", i, "open" if k % 5 else "dismissed") for k, i in enumerate(ids_)], "issue_id string, statement_id string, status string")
+    closed = {r.statement_id: (r.status, r.resolution) for r in repair.closed_issues(issues, got, after).collect()}
+    left = {r.statement_id for r in audits.supersession_findings(after).collect()}
+    for k, i in enumerate(ids_):
+        asked_for = any(i == e[1] for e in edges)
+        want_now = ("resolved", "structural_repair" if i in fixed else "no_action") if k % 5 and i not in left and asked_for else ("open" if k % 5 else "dismissed", None)
+        assert closed[i] == want_now
+
+
+def test_the_latest_edge_of_a_cycle_is_rejected(spark):
+    df = spark.createDataFrame([(i, "e", "p", "superseded", None) for i in "abc"], "statement_id string, subject_entity_id string, predicate_key string, status string, superseded_by_statement_id string")
+    asked = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("c", "a", 3)], "statement_id string, successor_id string, seq long")
+    assert [r.outcome for r in repair.repairs(df, asked).orderBy("seq").collect()] == ["REPAIRED", "REJECTED", "REPAIRED"]
+
+
+def test_merges_transfer_aliases(spark):
+    """The old name leads to the survivor; what another active entity owns, or the survivor has, is not taken over."""
+    entities = spark.createDataFrame([("a", "Old Name", "active", "b"), ("b", "New", "active", None), ("c", "Other", "active", None), ("d", "Lost", "deprecated", None), ("e", "Gone", "active", "d")], "entity_id string, canonical_name string, status string, merged_into_entity_id string")
+    aliases = spark.createDataFrame([("a", "old  NAME", "supporting"), ("a", "Oldie", "supporting"), ("a", "shared", "authoritative"), ("c", "Shared", "supporting"), ("b", "oldie", "supporting"), ("a", "strong", "authoritative"), ("b", "Strong", "supporting")], "entity_id string, alias string, identity_strength string")
+    roots = graph.survivors(entities)
+    got = {(r.entity_id, r.norm): r.identity_strength for r in changes.merged_aliases(entities, aliases, roots).collect()}
+    assert got == {("a", "old name"): "supporting", ("a", "oldie"): "supporting", ("a", "shared"): "authoritative", ("a", "strong"): "authoritative", ("c", "shared"): "supporting", ("b", "oldie"): "supporting", ("b", "strong"): "authoritative", ("b", "old name"): "authoritative"}
+    assert {r.entity_id: (r.status, r.merged_into_entity_id) for r in changes.merged_entities(entities, roots).collect()} == {"a": ("merged", "b"), "b": ("active", None), "c": ("active", None), "d": ("deprecated", None), "e": ("merged", "d")}

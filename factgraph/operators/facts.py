@@ -29,20 +29,48 @@ def touching(statements: DataFrame, ids: DataFrame) -> DataFrame:
     return subject.union(other).dropDuplicates(["statement_id"])
 
 
+#: Intervals of a key beyond which it is parted by time, and how many slices it then has at most.
+SLICED, SLICES = 2000, 512
+
+
+def overlapping_pairs(rows: DataFrame, key: list[str], id_col: str = "statement_id", sliced: int = SLICED, slices: int = SLICES) -> DataFrame:
+    """Pairs (structs a and b) of rows of the same key whose validity (valid_from, valid_to; a missing
+    bound is open) overlaps, each once; a begins first (the smaller id, if both begin at once).
+
+    A sweep in slices of time: each row is at home in the slice in which it begins, and asks in all
+    slices that it covers for rows that begin after it there. Keys of over ``sliced`` rows are parted
+    at the quantiles of their beginnings, so that no task holds all of a hot key; others are one slice.
+    Rows whose key has a null have no pairs.
+    """
+    begin, end = F.unix_micros(F.col("valid_from").cast("timestamp")), F.unix_micros(F.col("valid_to").cast("timestamp"))
+    rows = rows.select(*key, F.struct(*rows.columns).alias("row"), F.col(id_col).alias("id"), begin.alias("begin"), end.alias("end"))
+    hot = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > sliced).select(*key)
+    shares = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    cuts = rows.join(hot, key, "left_semi").groupBy(*key).agg(F.array_distinct(F.percentile_approx("begin", shares, 10 * slices)).alias("cuts"))
+    rows = rows.join(cuts, key, "left")
+    no_cuts = F.array().cast("array<bigint>")
+    slice_of = lambda x, default: F.when(x.isNull(), default).otherwise(F.size(F.filter(F.coalesce("cuts", no_cuts), lambda c: c <= x)))
+    rows = rows.withColumn("home", slice_of(F.col("begin"), F.lit(0))).withColumn("last", slice_of(F.col("end"), F.size(F.coalesce("cuts", no_cuts))))
+    asks = rows.filter("last >= home").select(*key, F.explode(F.sequence("home", "last")).alias("slice"), F.col("row").alias("a"), F.col("id").alias("a_id"), F.col("begin").alias("a_begin"), F.col("end").alias("a_end"))
+    homes = rows.select(*key, F.col("home").alias("slice"), F.col("row").alias("b"), F.col("id").alias("b_id"), F.col("begin").alias("b_begin"), F.col("end").alias("b_end"))
+    lowest = F.lit(-(1 << 63)).cast("long")
+    a, b = F.coalesce("a_begin", lowest), F.coalesce("b_begin", lowest)
+    first = (a < b) | ((a == b) & (F.col("a_id") < F.col("b_id")))
+    met = F.coalesce(F.col("b_begin") <= F.col("a_end"), F.lit(True)) & F.coalesce(F.col("a_begin") <= F.col("b_end"), F.lit(True))
+    return asks.join(homes, [*key, "slice"]).filter(first & met).select("a", "b")
+
+
 def cardinality_conflicts(statements: DataFrame, predicates: list[str]) -> DataFrame:
     """Pairs of asserted statements of single-valued predicates whose values differ and whose
     validity overlaps: subject_entity_id, predicate_key, statement_a_id, statement_b_id (a < b),
-    value_a, value_b.
-
-    The join is on subject and predicate, so it is as wide as a subject's own history.
-    """
+    value_a, value_b. Subjects with many statements are swept in slices of time."""
     rows = statements.filter(F.col("status").eqNullSafe("asserted") & F.col("predicate_key").isin(predicates))
     value = F.coalesce("object_entity_id", "object_string", F.col("object_number").cast("string"))
     rows = rows.select("subject_entity_id", "predicate_key", "statement_id", value.alias("value"), "valid_from", "valid_to")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.subject_entity_id") == F.col("b.subject_entity_id")) & (F.col("a.predicate_key") == F.col("b.predicate_key"))
-    met = overlap(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
-    pairs = a.join(b, same & (F.col("a.statement_id") < F.col("b.statement_id")) & (F.col("a.value") != F.col("b.value")) & met)
+    pairs = overlapping_pairs(rows, ["subject_entity_id", "predicate_key"]).filter("a.value <> b.value")
+    turned = F.col("a.statement_id") > F.col("b.statement_id")
+    low, high = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    pairs = pairs.select(low.alias("a"), high.alias("b"))
     return pairs.select("a.subject_entity_id", "a.predicate_key", F.col("a.statement_id").alias("statement_a_id"), F.col("b.statement_id").alias("statement_b_id"), F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factgraph.functions.temporal import overlap
 from factgraph.functions.text import normal, source_system_key
 
 
@@ -75,11 +76,28 @@ def strongest_aliases(aliases: DataFrame) -> DataFrame:
 
 
 def graph_evidence(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Signals of candidate pairs (request_id, a, b) from facts (entity_id, predicate_key, neighbour_id):
-    shared_neighbor where both have a neighbour by the same predicate in common."""
-    a = facts.select(F.col("entity_id").alias("a"), "predicate_key", F.col("neighbour_id").alias("n"))
-    b = facts.select(F.col("entity_id").alias("b"), "predicate_key", F.col("neighbour_id").alias("n"))
-    return pairs.join(a, "a").join(b, ["b", "predicate_key", "n"]).select("a", "b", "predicate_key", F.col("n").alias("neighbour_id")).distinct()
+    """Signals of candidates (a, b) from facts (entity_id, predicate_key, neighbour_id, statement_id,
+    valid_from, valid_to): a, b, signal, predicate_key, neighbour_id, statements, each evidence once.
+
+    Both candidates of a pair are looked at from the other's side. For each fact of a, by the same
+    predicate: shared_neighbor if b has that neighbour too; else, for each of b's neighbours,
+    conflicting_neighbor, and temporal_conflict if both hold at one time. statements are the ids it
+    rests on, sorted. What is said of one entity by many statements meets only the statements of its
+    candidates, never each other.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
+    side = lambda x: facts.select(F.col("entity_id").alias(x), "predicate_key", F.col("neighbour_id").alias(f"{x}_n"), F.col("statement_id").alias(f"{x}_s"), F.col("valid_from").alias(f"{x}_from"), F.col("valid_to").alias(f"{x}_to"))
+    mine, peers = both.join(side("a"), "a"), side("b")
+    same = peers.select("b", "predicate_key", F.col("b_n").alias("a_n"), "b_s")
+    key = ["a", "b", "predicate_key", "a_n"]
+    shared = mine.join(same, ["b", "predicate_key", "a_n"])
+    refs = F.sort_array(F.array_distinct(F.concat(F.collect_set("a_s"), F.collect_set("b_s"))))
+    shared = shared.groupBy(*key).agg(refs.alias("statements")).select("a", "b", F.lit("shared_neighbor").alias("signal"), "predicate_key", F.col("a_n").alias("neighbour_id"), "statements")
+    apart = mine.join(same.select("b", "predicate_key", "a_n").distinct(), ["b", "predicate_key", "a_n"], "left_anti").join(peers, ["b", "predicate_key"])
+    at_once = overlap(F.col("a_from"), F.col("a_to"), F.col("b_from"), F.col("b_to"))
+    signals = F.array_compact(F.array(F.lit("conflicting_neighbor"), F.when(at_once, "temporal_conflict")))
+    other = apart.select("a", "b", F.explode(signals).alias("signal"), "predicate_key", F.col("a_n").alias("neighbour_id"), F.sort_array(F.array("a_s", "b_s")).alias("statements"))
+    return shared.union(other.distinct())
 
 
 def canonical_systems(sources: DataFrame, aliases: DataFrame) -> DataFrame:

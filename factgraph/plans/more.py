@@ -164,15 +164,33 @@ def c15_candidate_reasons(spark, sf_dir):
     return rows.groupBy("request_id", "entity_id").agg(F.array_join(F.sort_array(F.collect_set("strength")), "+").alias("reasons"))
 
 
+@query("""
+WITH c AS (SELECT 'order:' || o_orderkey AS a, 'order:' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
+ p AS (SELECT a, b FROM c WHERE b IS NOT NULL UNION ALL SELECT b, a FROM c WHERE b IS NOT NULL),
+ f AS (SELECT subject_entity_id AS e, predicate_key, object_entity_id AS n, statement_id AS s, valid_from, valid_to FROM fx_statement WHERE status = 'asserted' AND predicate_key IN ('contains', 'orderedBy')),
+ m AS (SELECT p.a, p.b, x.* EXCLUDE (e), EXISTS (SELECT 1 FROM f y WHERE y.e = p.b AND y.predicate_key = x.predicate_key AND y.n = x.n) AS shared FROM p JOIN f x ON x.e = p.a),
+ j AS (SELECT m.a, m.b, m.predicate_key, m.n, m.s, y.s AS t, m.shared, y.n AS other, coalesce(m.valid_from <= y.valid_to, true) AND coalesce(y.valid_from <= m.valid_to, true) AS at_once FROM m JOIN f y ON y.e = m.b AND y.predicate_key = m.predicate_key),
+ o AS (SELECT a, b, 'shared_neighbor' AS signal, predicate_key, n AS neighbour_id, array_to_string(list_sort(list_distinct(list_concat(list(s), list(t)))), ' ') AS statements FROM j WHERE shared AND other = n GROUP BY ALL
+  UNION ALL SELECT DISTINCT a, b, 'conflicting_neighbor', predicate_key, n, least(s, t) || ' ' || greatest(s, t) FROM j WHERE NOT shared
+  UNION ALL SELECT DISTINCT a, b, 'temporal_conflict', predicate_key, n, least(s, t) || ' ' || greatest(s, t) FROM j WHERE NOT shared AND at_once)
+SELECT * FROM o""")
+def c18_graph_evidence(spark, sf_dir):
+    """Each order of a customer against the customer's next one."""
+    follow = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    name = lambda c: F.concat(F.lit("order:"), c)
+    pairs = table(spark, sf_dir, "orders").select(name(F.col("o_orderkey")).alias("a"), name(F.lead("o_orderkey").over(follow)).alias("b")).filter("b IS NOT NULL")
+    found = view(spark, sf_dir, "fx_statement").filter("status = 'asserted' AND predicate_key IN ('contains', 'orderedBy')")
+    found = found.select(F.col("subject_entity_id").alias("entity_id"), "predicate_key", F.col("object_entity_id").alias("neighbour_id"), "statement_id", "valid_from", "valid_to")
+    return identity.graph_evidence(pairs, found).withColumn("statements", F.array_join("statements", " "))
+
+
 @query(ROOTS + """, f AS (SELECT DISTINCT subject_entity_id AS e, object_entity_id AS n FROM fx_statement WHERE status = 'asserted' AND predicate_key = 'contains'),
- p AS (SELECT DISTINCT 'order:' || a.o_orderkey AS a, 'order:' || b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey)
+ c AS (SELECT 'order:' || o_orderkey AS a, 'order:' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
+ p AS (SELECT a, b FROM c WHERE b IS NOT NULL UNION SELECT b, a FROM c WHERE b IS NOT NULL)
 SELECT DISTINCT p.a, p.b, 'contains' AS predicate_key, x.n AS neighbour_id FROM p JOIN f x ON x.e = p.a JOIN f y ON y.e = p.b AND y.n = x.n""")
 def c18_shared_neighbours(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("k"))
-    x, y = orders.alias("x"), orders.alias("y")
-    pairs = x.join(y, (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    found = view(spark, sf_dir, "fx_statement").filter("status = 'asserted' AND predicate_key = 'contains'")
-    return identity.graph_evidence(pairs, found.select(F.col("subject_entity_id").alias("entity_id"), "predicate_key", F.col("object_entity_id").alias("neighbour_id")).distinct())
+    found = c18_graph_evidence(spark, sf_dir).filter("signal = 'shared_neighbor' AND predicate_key = 'contains'")
+    return found.select("a", "b", "predicate_key", "neighbour_id")
 
 
 @query("""

@@ -330,3 +330,26 @@ def test_merges_transfer_aliases(spark):
     got = {(r.entity_id, r.norm): r.identity_strength for r in changes.merged_aliases(entities, aliases, roots).collect()}
     assert got == {("a", "old name"): "supporting", ("a", "oldie"): "supporting", ("a", "shared"): "authoritative", ("a", "strong"): "authoritative", ("c", "shared"): "supporting", ("b", "oldie"): "supporting", ("b", "strong"): "authoritative", ("b", "old name"): "authoritative"}
     assert {r.entity_id: (r.status, r.merged_into_entity_id) for r in changes.merged_entities(entities, roots).collect()} == {"a": ("merged", "b"), "b": ("active", None), "c": ("active", None), "d": ("deprecated", None), "e": ("merged", "d")}
+
+
+@pytest.mark.parametrize("sliced, slices", [(2000, 512), (5, 7), (0, 64)])
+def test_overlapping_pairs(spark, sliced, slices):
+    """Every pair once, however a key is parted by time; open, equal and inverted bounds included."""
+    import random
+
+    rng, day = random.Random(6), lambda x: None if x is None else dt.datetime(2000, 1, 1) + dt.timedelta(days=x)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, *range(30)]), rng.choice([None, *range(30)])) for i in range(160)]
+    df = spark.createDataFrame([(i, k, day(x), day(y)) for i, k, x, y in rows], "statement_id int, k string, valid_from timestamp, valid_to timestamp")
+    got = [(r.a.statement_id, r.b.statement_id) for r in facts.overlapping_pairs(df, ["k"], sliced=sliced, slices=slices).collect()]
+    meet = lambda p, q: p is None or q is None or p <= q
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[1] and meet(a[2], b[3]) and meet(b[2], a[3])}
+    assert {tuple(sorted(p)) for p in got} == want and len(got) == len(want)
+
+
+def test_graph_evidence(spark):
+    at = dt.datetime(2000, 1, 1)
+    rows = [("a", "worksAt", "x", "s1", None, None), ("b", "worksAt", "x", "s2", None, None), ("a", "livesIn", "p", "s3", None, at), ("b", "livesIn", "q", "s4", at + dt.timedelta(1), None), ("b", "livesIn", "r", "s5", None, None), ("a", "knows", "z", "s6", None, None)]
+    df = spark.createDataFrame(rows, "entity_id string, predicate_key string, neighbour_id string, statement_id string, valid_from timestamp, valid_to timestamp")
+    got = {(r.a, r.signal, r.neighbour_id, tuple(r.statements)) for r in identity.graph_evidence(spark.createDataFrame([("a", "b")], "a string, b string"), df).collect()}
+    clash = {(e, n, s) for e, n, s in (("a", "p", ("s3", "s4")), ("a", "p", ("s3", "s5")), ("b", "q", ("s3", "s4")), ("b", "r", ("s3", "s5")))}
+    assert got == {("a", "shared_neighbor", "x", ("s1", "s2")), ("b", "shared_neighbor", "x", ("s1", "s2"))} | {(e, "conflicting_neighbor", n, s) for e, n, s in clash} | {(e, "temporal_conflict", n, s) for e, n, s in clash if "s5" in s}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions.text import canonical_body, content_tokens
+from factgraph.operators import vector_index
 from factgraph.operators.segments import Segments
 from factgraph.session import written
 
@@ -266,40 +267,8 @@ def embedded(texts: DataFrame, provider: str = "hashed") -> DataFrame:
     return PROVIDERS[provider](texts).join(hashes, "text_id").select("text_id", F.lit(provider).alias("model"), "content_hash", "embedding")
 
 
-#: Vectors and queries that are multiplied at once.
-VECTORS, QUERIES = 8192, 2048
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
     """The k vectors (vec_id, embedding) of the highest cosine with each query, at least so near;
-    ties go to the smaller id, and a query is no neighbour of its own id.
-
-    Both sides are dealt into blocks by hash; each pair of a block of queries and one of vectors is
-    one matrix product in a task of its own, which returns at most k rows for each query.
-    """
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    n, m = blocks(vectors, VECTORS), blocks(queries, QUERIES)
-    deal = lambda df, of, many, name: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("other"))
-    a = deal(vectors, n, m, "own").select(F.lit(False).alias("asks"), "vec_id", "v", F.col("own").alias("i"), F.col("other").alias("j"))
-    b = deal(queries, m, n, "own").select(F.lit(True).alias("asks"), "vec_id", "v", F.col("other").alias("i"), F.col("own").alias("j"))
-
-    def run(part: pa.Table) -> pa.Table:
-        asks = part.column("asks").to_numpy()
-        ids, v = part.column("vec_id").to_numpy(), np.array(part.column("v").to_pylist(), np.float64).reshape(len(asks), -1)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        out = []
-        if asks.any() and not asks.all():
-            own, others = ids[asks], ids[~asks]
-            scores = np.round(v[asks] @ v[~asks].T, 6)
-            scores[own[:, None] == others] = -np.inf
-            for q, row in zip(own.tolist(), scores, strict=True):
-                low = max(least, np.partition(row, -k)[-k]) if len(row) > k else least
-                found = np.flatnonzero(row >= low)
-                found = found[np.lexsort((others[found], -row[found]))][:k]
-                out.append((np.full(len(found), q), others[found], row[found]))
-        q, w, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(w, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    pairs = a.union(b).groupBy("i", "j").applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    ties go to the smaller id, and a query is no neighbour of its own id. Exact, by the cells of an
+    index built for it."""
+    return vector_index.build(vectors).search(queries, k, least)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, ontology, relevance, retrieval, summaries
+from factgraph.operators import audits, changes, content, facts, governance, graph, identity, ontology, relevance, retrieval, summaries, vector_index
 from factgraph.sources.tables import duckdb_views, table, view
 
 AS_OF = "2001-12-31 00:00:00"
@@ -602,6 +602,16 @@ def f04_nearest_vectors(spark, sf_dir):
     return content.nearest(rows, rows.filter("vec_id % 20 = 0"), 10, 0.1)
 
 
+@query()
+def f04_index_recall(spark, sf_dir):
+    """How many of the ten nearest vectors of each id that 20 divides the nearest cells alone hold."""
+    rows = table(spark, sf_dir, "embeddings")
+    index, asked = vector_index.build(rows), rows.filter("vec_id % 20 = 0")
+    near, true = index.search(asked, 10, -1.0, probes=32, exact=False), index.search(asked, 10, -1.0)
+    met = true.join(near.select("query_id", "vec_id", F.lit(1).alias("found")), ["query_id", "vec_id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.count("found").alias("found"), F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+
+
 # Retrieval
 
 ASKED = ("red plate", "previous red plate", "current hot ring", "Customer#000000007", "the and of", "brass ring steel", "AFRICA!", "orderedBy", "what was the urgent priority", "ß-test")

@@ -177,11 +177,9 @@ def test_packed_keeps_what_matters(spark):
         assert got[g] == (used, ",".join(map(str, taken)))
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
+def test_nearest_in_blocks(spark):
     import numpy as np
 
-    monkeypatch.setattr(content, "VECTORS", 40)
-    monkeypatch.setattr(content, "QUERIES", 7)
     v = np.random.default_rng(1).normal(size=(200, 5)).round(1)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {}

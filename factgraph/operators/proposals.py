@@ -7,12 +7,16 @@ child_key, parent_key, parent_keys, domain_keys, range_keys (arrays) and base_re
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factgraph.functions.text import is_class_key, is_predicate_key, normal
+from factgraph.operators.graph import closure
+from factgraph.session import written
 
 # Fields that a proposal of each kind must have, and kinds of values.
 REQUIRED = {
@@ -87,3 +91,81 @@ def gates(proposals: DataFrame, concepts: DataFrame, aliases: DataFrame, ancesto
     failed = reduce(Column.__or__, [F.col(name) == "fail" for name in tests])
     rows = rows.withColumn("final_deterministic", fails(failed))
     return rows.unpivot("proposal_id", list(GATES), "gate", "decision")
+
+
+@dataclass
+class Ontology:
+    """concepts: kind, namespace_key, key, revision; aliases: namespace_key, alias, target_type, target_key;
+    constraints: namespace_key, key; parents: namespace_key, child_key, parent_key."""
+
+    concepts: DataFrame
+    aliases: DataFrame
+    constraints: DataFrame
+    parents: DataFrame
+
+    def ancestors(self, more: DataFrame | None = None) -> DataFrame:
+        """The reflexive closure over class keys: node, ancestor; with more edges (child, parent) in it."""
+        edges = self.parents.select(F.col("child_key").alias("child"), F.col("parent_key").alias("parent"))
+        nodes = self.concepts.filter("kind = 'class'").select(F.col("key").alias("node")).distinct()
+        return closure(edges if more is None else edges.union(more), nodes)
+
+
+def apply_accepted(proposals: DataFrame, ontology: Ontology) -> tuple[DataFrame, Ontology]:
+    """Outcomes (proposal_id, level, outcome, revision) of accepted proposals of all five kinds, and the
+    ontology after them.
+
+    Proposals that name concepts which others of them make wait for these: a level applies what is
+    ready, and the gates run again for the next one against the ontology as it is then. Of several
+    for one object the smallest proposal_id of a level is decided, the others in later levels.
+    Outcomes: applied; rejected (a gate fails); exists (the class, alias, constraint or link is there
+    already, or a new predicate's key is); stale (a predicate's base revision, or that of a link's
+    child, is not the current one); blocked (it names a concept that nothing makes). Links of one
+    level that would close a cycle together are decided one by one, by proposal_id.
+    """
+    todo, level, done = written(proposals, "proposals"), 0, []
+    object_of = F.when(F.col("kind") == "alias", F.struct("kind", "namespace_key", F.col("alias").alias("a"), F.lit("").alias("b"))).when(F.col("kind") == "class_parent", F.struct("kind", "namespace_key", F.col("child_key").alias("a"), F.col("parent_key").alias("b"))).otherwise(F.struct("kind", "namespace_key", F.col("key").alias("a"), F.lit("").alias("b")))
+    none = F.lit(None).cast("int")
+    while True:
+        level += 1
+        known = ontology.concepts.select(F.col("kind").alias("want"), "namespace_key", "key").distinct()
+        waiting = _references(todo).join(known, ["want", "namespace_key", "key"], "left_anti").select("proposal_id").distinct()
+        ready = written(todo.join(waiting, "proposal_id", "left_anti"), "ready")
+        if ready.isEmpty():
+            break
+        up = ontology.ancestors()
+        judged = gates(ready, ontology.concepts, ontology.aliases, up).groupBy("proposal_id").agg(F.max(F.col("decision") == "fail").alias("failed"), F.max(F.col("decision") == "reuse").alias("reused"))
+        rows = ready.join(judged, "proposal_id").withColumn("_object", object_of)
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_object", "failed", "reused").orderBy("proposal_id")))
+        now = ontology.concepts.select(F.col("kind").alias("_kind"), F.col("namespace_key").alias("_ns"), F.col("key").alias("_key"), F.col("revision").alias("_now"))
+        of_kind, of_key = F.when(F.col("kind") == "class_parent", "class").otherwise(F.col("kind")), F.when(F.col("kind") == "class_parent", F.col("child_key")).otherwise(F.col("key"))
+        rows = rows.join(now, (of_kind == F.col("_kind")) & (F.col("namespace_key") == F.col("_ns")) & (of_key == F.col("_key")), "left")
+        there = ontology.constraints.select(F.struct(F.lit("constraint").alias("kind"), "namespace_key", F.col("key").alias("a"), F.lit("").alias("b")).alias("_object"))
+        there = there.union(ontology.parents.select(F.struct(F.lit("class_parent").alias("kind"), "namespace_key", F.col("child_key").alias("a"), F.col("parent_key").alias("b")))).distinct().withColumn("_there", F.lit(True))
+        rows = rows.join(there, "_object", "left")
+        base, current = F.col("base_revision"), F.coalesce("_now", F.lit(0))
+        stale = (F.col("kind") == "predicate") & (F.coalesce(base, F.lit(0)) != current) | (F.col("kind") == "class_parent") & base.isNotNull() & (base != current)
+        outcome = F.when(F.col("failed"), "rejected").when(F.col("reused"), "exists").when(F.col("_place") > 1, None).when(F.col("_there"), "exists").when(stale, "stale").otherwise("applied")
+        rows = written(rows.withColumn("outcome", outcome).withColumn("revision", F.when(F.col("kind") == "class", F.lit(1)).when(F.col("kind") == "predicate", current + 1)), "judged")
+        # Links that close a cycle with others of this level: the smallest id of each knot goes first.
+        links = rows.filter("outcome = 'applied' AND kind = 'class_parent'")
+        if not links.isEmpty():
+            both = ontology.ancestors(links.select(F.col("child_key").alias("child"), F.col("parent_key").alias("parent")))
+            back = both.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
+            knots = both.join(back, ["node", "ancestor"]).groupBy("node").agg(F.min("ancestor").alias("knot"))
+            ends = [knots.select(F.col("node").alias(f"{end}_key"), F.col("knot").alias(f"_{end}")) for end in ("child", "parent")]
+            tied = links.select("proposal_id", "child_key", "parent_key").join(ends[0], "child_key").join(ends[1], "parent_key").filter("_child = _parent")
+            late = tied.withColumn("_k", F.row_number().over(Window.partitionBy("_child").orderBy("proposal_id"))).filter("_k > 1").select("proposal_id", F.lit(True).alias("_late"))
+            rows = written(rows.join(late, "proposal_id", "left").withColumn("outcome", F.when(F.col("_late").isNull(), F.col("outcome"))).drop("_late"), "untied")
+        decided = rows.filter("outcome IS NOT NULL")
+        done.append(decided.select("proposal_id", F.lit(level).alias("level"), "outcome", F.when(F.col("outcome") == "applied", F.col("revision")).alias("revision")))
+        new = decided.filter("outcome = 'applied'")
+        made = new.filter("kind IN ('class', 'predicate')").select("kind", "namespace_key", "key", "revision")
+        concepts = ontology.concepts.select("kind", "namespace_key", "key", "revision").union(made).groupBy("kind", "namespace_key", "key").agg(F.max("revision").alias("revision"))
+        own = new.filter("kind = 'class'").select("namespace_key", F.col("key").alias("child_key"), F.explode("parent_keys").alias("parent_key"))
+        parents = ontology.parents.select("namespace_key", "child_key", "parent_key").union(own).union(new.filter("kind = 'class_parent'").select("namespace_key", "child_key", "parent_key")).distinct()
+        aliases = ontology.aliases.select("namespace_key", "alias", "target_type", "target_key").union(new.filter("kind = 'alias'").select("namespace_key", "alias", "target_type", "target_key"))
+        constraints = ontology.constraints.select("namespace_key", "key").union(new.filter("kind = 'constraint'").select("namespace_key", "key")).distinct()
+        ontology = Ontology(written(concepts, "concepts"), written(aliases, "aliases"), written(constraints, "constraints"), written(parents, "parents"))
+        todo = written(todo.join(decided.select("proposal_id"), "proposal_id", "left_anti").select(*proposals.columns), "proposals")
+    blocked = todo.select("proposal_id", F.lit(level).alias("level"), F.lit("blocked").alias("outcome"), none.alias("revision"))
+    return reduce(DataFrame.union, [*done, blocked]), ontology

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import changes, content, facts, governance, graph, identity, ontology, redaction, retrieval, summaries
+from factgraph.operators import changes, content, facts, governance, graph, identity, ontology, proposals, redaction, retrieval, summaries
 from factgraph.plans.core import AS_OF, CLOSED, DECIDED, NAMES, ROOTS, _closed, _decided, _named, _requests, query
 from factgraph.sources.tables import table, view
 
@@ -482,6 +482,31 @@ def j19_apply_classes(spark, sf_dir):
     return governance.apply_classes(classes, accepted).join(accepted.select("proposal_id", "class_key"), "proposal_id").select("class_key", "proposal_id", "outcome")
 
 
+APPLIED = """WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'alias' WHEN p_partkey % 4 = 1 THEN 'predicate' ELSE 'class' END AS kind, 'C' || p_partkey AS key, CASE WHEN p_partkey % 20 = 19 THEN 'Nowhere' WHEN p_partkey % 4 IN (2, 3) AND p_partkey % 20 >= 7 THEN 'C' || (p_partkey - CASE WHEN p_partkey % 4 = 2 THEN 7 ELSE 5 END) END AS parent FROM part),
+ made AS (SELECT id, key, 1 AS level FROM p WHERE kind = 'class' AND parent IS NULL UNION ALL SELECT p.id, p.key, m.level + 1 FROM p JOIN made m ON p.parent = m.key WHERE p.kind = 'class'), top AS (SELECT max(level) + 1 AS l FROM made),
+ alias AS (SELECT id, 'C' || (id - 1) AS target, 'also ' || id % 97 AS alias FROM p WHERE kind = 'alias'), al AS (SELECT a.*, m.level + 1 AS level, row_number() OVER (PARTITION BY alias ORDER BY m.level, a.id) AS k FROM alias a JOIN made m ON m.key = a.target),
+ pr AS (SELECT id, CASE WHEN id % 8 = 1 THEN 'C' || (id + 1) END AS domain, id % 3 AS base FROM p WHERE kind = 'predicate'), """
+
+
+@query(APPLIED + """ready AS (SELECT pr.*, CASE WHEN domain IS NULL THEN 1 ELSE m.level + 1 END AS level FROM pr LEFT JOIN made m ON m.key = pr.domain WHERE domain IS NULL OR m.level IS NOT NULL),
+ o AS (SELECT id, level, 'applied' AS outcome, 1 AS revision FROM made UNION ALL SELECT id, level, 'applied', NULL FROM al WHERE k = 1 UNION ALL SELECT id, greatest(level, (SELECT min(b.level) + 1 FROM al b WHERE b.alias = al.alias)), 'exists', NULL FROM al WHERE k > 1
+  UNION ALL SELECT id, level, CASE WHEN base = 0 THEN 'applied' ELSE 'stale' END, CASE WHEN base = 0 THEN 1 END FROM ready)
+SELECT id AS proposal_id, level, outcome, revision FROM o UNION ALL SELECT id, (SELECT greatest(max(level), 0) + 1 FROM o), 'blocked', NULL FROM p WHERE id NOT IN (SELECT id FROM o)""")
+def j19_apply_proposals(spark, sf_dir):
+    """Classes that need each other's, names for them, and predicates on them, applied level by level."""
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    key, kind = F.concat(F.lit("C"), k), F.when(k % 4 == 0, "alias").when(k % 4 == 1, "predicate").otherwise("class")
+    parent = F.when(k % 20 == 19, F.array(F.lit("Nowhere"))).when(k % 20 >= 7, F.array(F.concat(F.lit("C"), k - F.when(k % 4 == 2, 7).otherwise(5)))).otherwise(none)
+    text = F.lit(None).cast("string")
+    given = table(spark, sf_dir, "part").select(
+        k.alias("proposal_id"), kind.alias("kind"), F.lit("core").alias("namespace_key"), F.when(k % 4 == 1, F.concat(F.lit("has"), k)).otherwise(key).alias("key"), F.lit("string").alias("value_kind"), F.lit("one").alias("cardinality"), text.alias("constraint_type"),
+        F.when(k % 4 == 0, F.concat(F.lit("also "), k % 97)).alias("alias"), F.lit("class").alias("target_type"), F.concat(F.lit("C"), k - 1).alias("target_key"), text.alias("child_key"), text.alias("parent_key"), parent.alias("parent_keys"),
+        F.when(k % 8 == 1, F.array(F.concat(F.lit("C"), k + 1))).otherwise(none).alias("domain_keys"), none.alias("range_keys"), F.when(kind == "predicate", k % 3).cast("int").alias("base_revision"),
+    )
+    empty = proposals.Ontology(*[spark.createDataFrame([], x) for x in ("kind string, namespace_key string, key string, revision int", "namespace_key string, alias string, target_type string, target_key string", "namespace_key string, key string", "namespace_key string, child_key string, parent_key string")])
+    return proposals.apply_accepted(given, empty)[0]
+
+
 @query("""
 SELECT o_orderkey AS conflict_id, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 <> 0 THEN 'RESOLVED' ELSE 'REJECTED' END AS outcome FROM orders WHERE o_orderkey % 2 = 0""")
 def j08_resolve_conflicts(spark, sf_dir):

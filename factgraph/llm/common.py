@@ -16,6 +16,8 @@ from factgraph.session import checkpoint_dir, share_package
 
 #: Whitespace of the contracts: space and U+0009 to U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows of a file of iterative jobs.
+ROUND_ROWS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def replaced(df: DataFrame, rows: int | None = None, old: str | None = None) -> tuple[DataFrame, str]:
+    """df, written to a new shared folder (in few files, if it has about so many rows), and that
+    folder's path; the folder that it replaces goes once it is written."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, "round")
+    (df if rows is None else df.coalesce(1 + rows // ROUND_ROWS)).write.parquet(path)
+    if old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import checkpoint
+from factgraph.llm.common import replaced
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,12 +13,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that has an edge to a smaller one in the end (so for all but the roots).
 
     Each round links neighbours to the smallest node known near them (a partially aggregated
-    minimum, joined back to the edges) and writes the new edges to the checkpoint folder; the
-    number of rounds grows with the logarithm of the longest path. Null ends, loops and repeated
+    minimum, joined back to the edges) and writes the new edges to the shared folder in place of the
+    last round's; the number of rounds grows with the logarithm of the longest path. Null ends, loops and repeated
     edges count for nothing.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = checkpoint(edges), None
+    (edges, path), before = replaced(edges), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:
@@ -29,4 +29,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a AND b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = checkpoint(small.union(low.select("a", F.col("low").alias("b"))).distinct())
+        edges, path = replaced(small.union(low.select("a", F.col("low").alias("b"))).distinct(), now[0], path)

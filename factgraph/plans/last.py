@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, proposals, redaction, relevance, repair, reporting, retrieval, summaries
+from factgraph.operators import audits, changes, clarifications, content, facts, governance, graph, identity, proposals, redaction, relevance, repair, reporting, retrieval, summaries
 from factgraph.plans.core import PARENTS, ROOTS, WALKS, _asked, _edges, _found, query
 from factgraph.sources.tables import table, view
 
@@ -455,3 +455,46 @@ def a10_appended_revisions(spark, sf_dir):
     first = content.revisions(docs.filter("ingest_id <= half"))
     added = content.append_revisions(first, docs.filter("ingest_id > half"))
     return first.select("source_id", "revision").union(added.select("source_id", "revision")).groupBy("source_id").agg(F.max("revision").cast("long").alias("n"))
+
+
+CLARIFIED = """WITH c AS (SELECT o_orderkey AS request_id, 'clarify:' || o_orderkey AS id, o_orderdate AS made, o_orderdate + INTERVAL 30 MINUTE AS ends, list_sort(list_distinct(['part:' || (o_orderkey % 90 + 1), 'part:' || (o_orderkey % 70 + 2), 'part:' || (o_orderkey % 50 + 3)])) AS cand FROM orders WHERE o_orderkey % 3 <> 0),
+ h AS (SELECT entity_id, status, updated_at AS moment FROM fx_entity WHERE entity_id LIKE 'part:%' UNION ALL SELECT 'part:' || p_partkey, 'deprecated', TIMESTAMP '1996-01-01' FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT 'part:' || p_partkey, 'active', TIMESTAMP '1992-01-01' FROM part),
+ a AS (SELECT o_orderkey * 3 + k AS answer_id, 'clarify:' || o_orderkey AS id, CASE (o_orderkey + k) % 5 WHEN 0 THEN 'reject' WHEN 1 THEN 'create_new' WHEN 4 THEN 'chosen_entity' ELSE 'chosen_entity' END AS res, 'part:' || CASE WHEN (o_orderkey + k) % 7 = 0 THEN 999999 ELSE o_orderkey % 90 + 1 END AS pick, o_orderdate + k * INTERVAL 14 MINUTE AS moment FROM orders CROSS JOIN range(3) r(k) WHERE o_orderkey % 2 = 0),
+ l AS (SELECT a.*, c.cand, CASE WHEN c.id IS NULL THEN 'NOT_FOUND' WHEN a.moment > c.ends THEN 'EXPIRED' WHEN res = 'reject' THEN 'REJECTED' WHEN res = 'create_new' THEN 'CREATED' WHEN list_contains(cand, pick) THEN 'CHOSEN' ELSE 'INVALID' END AS look FROM a LEFT JOIN c ON c.id = a.id),
+ u AS (SELECT answer_id, pick, moment, unnest(cand) AS e FROM l WHERE look = 'CHOSEN'), s AS (SELECT u.*, coalesce((SELECT max_by(h.status, h.moment) FROM h WHERE h.entity_id = u.e AND h.moment <= u.moment) = 'active', false) AS active FROM u),
+ n AS (SELECT answer_id, bool_or(active AND e = pick) AS still, count(*) FILTER (active) AS k FROM s GROUP BY 1),
+ m AS (SELECT l.* EXCLUDE (look), CASE WHEN look = 'CHOSEN' AND NOT still THEN CASE WHEN k > 1 THEN 'SUPERSEDED' ELSE 'RERUN' END ELSE look END AS look FROM l LEFT JOIN n USING (answer_id)),
+ f AS (SELECT id, arg_min(answer_id, answer_id) AS closer, arg_min(look, answer_id) AS how FROM m WHERE look NOT IN ('NOT_FOUND', 'EXPIRED', 'INVALID') GROUP BY 1),
+ o AS (SELECT answer_id, m.id AS clarification_id, CASE WHEN closer < answer_id AND look NOT IN ('NOT_FOUND', 'EXPIRED') THEN CASE WHEN how = 'SUPERSEDED' THEN 'ALREADY_SUPERSEDED' ELSE 'ALREADY_RESOLVED' END ELSE look END AS outcome, pick FROM m LEFT JOIN f ON f.id = m.id) """
+
+
+def _clarified(spark, sf_dir):
+    """Every third order asks nothing; every second one is answered three times, 14 minutes apart."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    part = lambda n, plus: F.concat(F.lit("part:"), k % n + plus)
+    requests = orders.select(k.alias("request_id"), F.col("o_orderdate").alias("created_at"))
+    listed = orders.select(k.alias("request_id"), F.explode(F.array(part(90, 1), part(70, 2), part(50, 3))).alias("entity_id"))
+    made = clarifications.issue(requests, listed, orders.select(k.alias("request_id"), F.when(k % 3 != 0, "AMBIGUOUS").otherwise("MATCH").alias("outcome")))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("entity_id"), "p_partkey")
+    at = lambda x: F.lit(x).cast("timestamp")
+    history = view(spark, sf_dir, "fx_entity").filter("entity_id LIKE 'part:%'").select("entity_id", "status", F.col("updated_at").alias("changed_at"))
+    history = history.union(p.filter("p_partkey % 4 = 1").select("entity_id", F.lit("deprecated"), at("1996-01-01"))).union(p.select("entity_id", F.lit("active"), at("1992-01-01")))
+    n = F.col("n")
+    answers = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderdate", F.explode(F.array(*map(F.lit, range(3)))).alias("n")).select(
+        (k * 3 + n).alias("answer_id"), F.concat(F.lit("clarify:"), k).alias("clarification_id"), F.when((k + n) % 5 == 0, "reject").when((k + n) % 5 == 1, "create_new").otherwise("chosen_entity").alias("resolution"),
+        F.when((k + n) % 7 == 0, "part:999999").otherwise(part(90, 1)).alias("chosen_entity_id"), (F.col("o_orderdate") + F.make_interval(mins=n * 14)).alias("answered_at"),
+    )
+    return made, *clarifications.answered(made, answers, history)
+
+
+@query(CLARIFIED + "SELECT answer_id, clarification_id, outcome, CASE WHEN outcome = 'CHOSEN' THEN pick END AS entity_id FROM o")
+def j14_answers(spark, sf_dir):
+    return _clarified(spark, sf_dir)[1]
+
+
+@query(CLARIFIED + """, closed AS (SELECT clarification_id, bool_or(outcome = 'SUPERSEDED') AS again FROM o WHERE outcome IN ('REJECTED', 'CREATED', 'CHOSEN', 'RERUN', 'SUPERSEDED') GROUP BY 1),
+ every_ AS (SELECT id AS clarification_id, made, ends FROM c UNION ALL SELECT o.clarification_id || '+', m.moment, m.moment + INTERVAL 30 MINUTE FROM o JOIN m USING (answer_id) WHERE o.outcome = 'SUPERSEDED')
+SELECT e.clarification_id, CASE WHEN again THEN 'superseded' WHEN again IS NOT NULL THEN 'resolved' WHEN ends < TIMESTAMP '1996-01-05 00:20:00' THEN 'expired' ELSE 'open' END AS state FROM every_ e LEFT JOIN closed USING (clarification_id) WHERE made >= TIMESTAMP '1996-01-05 00:20:00' - INTERVAL 7 DAY""")
+def j14_clarification_states(spark, sf_dir):
+    made, told, new = _clarified(spark, sf_dir)
+    return clarifications.states(made.union(new), told, "1996-01-05 00:20:00")

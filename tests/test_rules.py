@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import identity as ids
 from factgraph.functions import temporal, text
-from factgraph.operators import audits, changes, content, facts, governance, graph, identity, redaction, repair, reporting, retrieval
+from factgraph.operators import audits, changes, clarifications, content, facts, governance, graph, identity, redaction, repair, reporting, retrieval
 
 
 def one(spark, column):
@@ -351,3 +351,22 @@ def test_graph_evidence(spark):
     got = {(r.a, r.signal, r.neighbour_id, tuple(r.statements)) for r in identity.graph_evidence(spark.createDataFrame([("a", "b")], "a string, b string"), df).collect()}
     clash = {(e, n, s) for e, n, s in (("a", "p", ("s3", "s4")), ("a", "p", ("s3", "s5")), ("b", "q", ("s3", "s4")), ("b", "r", ("s3", "s5")))}
     assert got == {("a", "shared_neighbor", "x", ("s1", "s2")), ("b", "shared_neighbor", "x", ("s1", "s2"))} | {(e, "conflicting_neighbor", n, s) for e, n, s in clash} | {(e, "temporal_conflict", n, s) for e, n, s in clash if "s5" in s}
+
+
+def test_answers_to_clarifications(spark):
+    """One answer counts; a choice that isn't active any more is checked again."""
+    at = lambda minute: dt.datetime(2000, 1, 1, 0, minute)
+    made = clarifications.issue(
+        spark.createDataFrame([(i, at(0)) for i in range(4)], "request_id int, created_at timestamp"),
+        spark.createDataFrame([(i, e) for i in range(4) for e in ("a", "b", "c")[: 2 if i == 1 else 3]], "request_id int, entity_id string"),
+        spark.createDataFrame([(i, "AMBIGUOUS" if i < 3 else "MATCH") for i in range(4)], "request_id int, outcome string"),
+    )
+    history = spark.createDataFrame([(e, "active", at(0)) for e in "abc"] + [("a", "merged", at(10))], "entity_id string, status string, changed_at timestamp")
+    asked = [(1, 0, "chosen_entity", "z", 1), (2, 0, "chosen_entity", "a", 9), (3, 0, "reject", None, 10), (4, 1, "chosen_entity", "a", 10), (5, 1, "create_new", None, 11), (6, 2, "chosen_entity", "a", 12), (7, 2, "reject", None, 13), (8, 3, "reject", None, 1), (9, 2, "reject", None, 40)]
+    answers = spark.createDataFrame([(i, f"clarify:{c}", r, e, at(m)) for i, c, r, e, m in asked], "answer_id int, clarification_id string, resolution string, chosen_entity_id string, answered_at timestamp")
+    told, new = clarifications.answered(made, answers, history)
+    assert [r.outcome for r in told.orderBy("answer_id").collect()] == ["INVALID", "CHOSEN", "ALREADY_RESOLVED", "RERUN", "ALREADY_RESOLVED", "SUPERSEDED", "ALREADY_SUPERSEDED", "NOT_FOUND", "EXPIRED"]
+    assert [(r.clarification_id, r.candidates, r.supersedes_id) for r in new.collect()] == [("clarify:2+", ["b", "c"], "clarify:2")]
+    got = {r.clarification_id: r.state for r in clarifications.states(made.union(new), told, str(at(50))).collect()}
+    assert got == {"clarify:0": "resolved", "clarify:1": "resolved", "clarify:2": "superseded", "clarify:2+": "expired"}
+    assert clarifications.states(made, told, "2000-02-01").collect() == []

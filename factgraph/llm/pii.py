@@ -151,8 +151,9 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", t
     pairs = checkpoint(pairs.filter((F.col("texts") >= SUPPORT) & (F.col("besides") >= SUPPORT)))
     entities = found.groupBy("kind", "entity").agg(F.sum("rows").alias("n_entity"))
     candidates = pairs.select("term").distinct()
-    seen = rows.select(F.explode(_terms(F.col("text"))).alias("term")).join(_few(candidates, "term"), "term", "left_semi")
-    n_term = seen.groupBy("term").agg(F.count("*").alias("n_term"))
+    # All words are counted before they meet the candidates, of which common words are many.
+    seen = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = seen.join(_few(candidates, "term"), "term")
     total = float(max(docs.count(), 1))
     both = pairs.join(entities, ["kind", "entity"]).join(n_term, "term")
     content = F.log2(F.lit(total) / F.col("n_entity"))

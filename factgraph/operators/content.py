@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions.text import canonical_body, content_tokens
-from factgraph.operators import vector_index
+from factgraph.operators import gram_index, vector_index
 from factgraph.operators.segments import Segments
 from factgraph.session import written
 
@@ -66,14 +65,8 @@ def newest_by_hash(revised: DataFrame) -> DataFrame:
     return revised.groupBy("source_id", "content_hash").agg(F.max("revision").alias("revision"), F.max_by("ingest_id", "revision").alias("ingest_id"))
 
 
-#: Words by which a text and a query inside it find each other.
-ANCHOR = 5
-
-
-def _runs(words: str, n: int) -> Column:
-    """All runs of n words of an array, joined by a space."""
-    joined = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+#: Queries of so few words and characters in all are broadcast to the texts.
+ASKED_ROWS, ASKED_CHARS = 100_000, 8 << 20
 
 
 def passages(texts: DataFrame, queries: DataFrame, around: int = 40) -> DataFrame:
@@ -81,30 +74,38 @@ def passages(texts: DataFrame, queries: DataFrame, around: int = 40) -> DataFram
     text around it.
 
     A query's first and last words may be parts of words of the text, but those between stand there
-    whole. Up to ANCHOR of these are joined to the runs of as many words of every text, and only
-    pairs that meet are searched. Queries of one or two words have none and are searched in all
-    texts, in batches of rows. Queries that are blank find nothing.
+    whole. Of these each query is looked up by its rarest, by the number of texts that have it; texts
+    that have the word are searched where they are read, and are not shuffled unless the queries are
+    too many to broadcast (then only their words are). Queries of one or two words are looked up in
+    a gram index of the texts. Queries that are blank find nothing.
     """
     low = texts.select("text_id", "text", F.lower("text").alias("low"))
     inner = F.slice(F.split("q", r"\s+"), 2, 1 << 30)
     asked = queries.select("query_id", F.lower("query").alias("q")).filter(F.trim("q") != "").withColumn("inner", F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))))
-    asked = asked.withColumn("n", F.least(F.size("inner"), F.lit(ANCHOR))).withColumn("key", F.array_join(F.slice("inner", 1, ANCHOR), " "))
-    sizes = sorted(x.n for x in asked.select("n").distinct().collect())  # at most ANCHOR + 1
-    w = F.split("low", r"\s+")
-    met = []
-    if any(sizes):
-        runs = [_runs("w", n) for n in sizes if n]
-        keys = asked.filter("n > 0").select("query_id", "q", "key")
-        found = low.withColumn("w", w).select("text_id", F.explode(F.array_distinct(F.concat(*runs))).alias("key")).join(keys, "key").select("text_id", "query_id", "q")
-        met.append(low.join(found, "text_id").select("query_id", "q", "text_id", "text", "low"))
-    if 0 in sizes:
-        met.append(low.join(asked.filter("n = 0").select("query_id", "q"), F.contains("low", F.col("q"))).select("query_id", "q", "text_id", "text", "low"))
-    if not met:
-        met.append(low.join(asked.select("query_id", "q"), F.lit(False)).select("query_id", "q", "text_id", "text", "low"))
-    found = reduce(DataFrame.union, met)
+    asked = written(asked, "asked-passages")
+    rows, chars, short = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("q")), F.lit(0)), F.coalesce(F.max(F.size("inner") == 0), F.lit(False))).first()
+    few = rows <= ASKED_ROWS and chars <= ASKED_CHARS
+    sent = F.broadcast if few else lambda x: x
+    words = F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word")
+    named = asked.select("query_id", F.explode(F.array_distinct("inner")).alias("word"))
+    seen = low.select(words).join(sent(named.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n"))
+    # A query with a word that no text has finds nothing.
+    rarest = named.join(seen, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"))).alias("_r"))
+    keys = written(asked.join(rarest.filter("_r.n > 0").select("query_id", F.col("_r.word").alias("word")), "query_id").select("query_id", "q", "word"), "rarest-words")
+    if few:
+        met = low.select("text_id", "text", "low", words).join(F.broadcast(keys), "word")
+    else:
+        met = low.join(low.select("text_id", words).join(keys, "word").select("text_id", "query_id", "q"), "text_id")
+    met = met.select("query_id", "q", "text_id", "text", "low").filter(F.contains("low", F.col("q")))
+    if short:
+        index = gram_index.build(texts.select("text"))
+        small = asked.filter(F.size("inner") == 0).select("query_id", "q")
+        found = index.matches(small.select(F.col("q").alias("pattern"))).select("pattern", F.col("text_id").alias("_text"))
+        by_text = low.withColumn("_text", gram_index.text_id(F.col("text"))).join(found.join(small, F.col("pattern") == F.col("q")), "_text")
+        met = met.union(by_text.select("query_id", "q", "text_id", "text", "low"))
     at = F.instr(F.col("low"), F.col("q"))
     start = F.greatest(at - around, F.lit(1))
-    found = found.filter(at > 0).select("query_id", "text_id", at.alias("at"), F.substring(F.col("text"), start, F.length("q") + 2 * around).alias("passage"))
+    found = met.select("query_id", "text_id", at.alias("at"), F.substring(F.col("text"), start, F.length("q") + 2 * around).alias("passage"))
     return found.dropDuplicates(["query_id", "text_id", "at"])
 
 

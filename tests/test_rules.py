@@ -370,3 +370,19 @@ def test_answers_to_clarifications(spark):
     got = {r.clarification_id: r.state for r in clarifications.states(made.union(new), told, str(at(50))).collect()}
     assert got == {"clarify:0": "resolved", "clarify:1": "resolved", "clarify:2": "superseded", "clarify:2+": "expired"}
     assert clarifications.states(made, told, "2000-02-01").collect() == []
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_passages(spark, monkeypatch, rows):
+    """Wherever a query stands in a text, cut words at its ends and short queries included."""
+    import random
+
+    monkeypatch.setattr(content, "ASKED_ROWS", rows)
+    rng = random.Random(4)
+    words = ["red", "Plate", "of", "the", "Ring", "x_y", "100%"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 15)))) for i in range(120)] + [(200, None), (201, ""), (202, "the  RED\nplate of")]
+    queries = [(1, "red plate of"), (2, "ed plate of the r"), (3, "ring"), (4, "e r"), (5, "  "), (6, None), (7, "unknown word here"), (8, "RED PLATE"), (9, "of the ring of"), (10, "of the ring of"), (11, "%")]
+    got = {(r.query_id, r.text_id, r["at"]) for r in content.passages(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(queries, "query_id int, query string")).collect()}
+    want = {(q, i, t.lower().find(s.lower()) + 1) for q, s in queries if s and s.strip() for i, t in texts if t and s.lower() in t.lower()}
+    assert got == want, (got - want, want - got)
+    assert {q for q, _, _ in want} >= {1, 3, 4, 8, 11}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions.text import is_class_key, normal
+from factgraph.operators import set_join
 
 Gate = Callable[[DataFrame, DataFrame], DataFrame]
 #: Gates by name; each takes proposals and classes and returns (proposal_id, gate, decision).
@@ -216,13 +217,11 @@ def lexical_nearest(proposals: DataFrame, concepts: DataFrame, most: int = 12, w
     """The concepts (concept, tokens) whose tokens a proposal's (proposal_id, tokens) are most like by
     Jaccard similarity: at most ``most`` of at least ``weak``, in tier 1 from ``strong`` on, else 2.
 
-    The join is on tokens, so only pairs with one in common are looked at.
+    Only pairs that share one of their rarest tokens are looked at (see set_join); none is left out.
     """
-    p = proposals.select("proposal_id", F.size(F.array_distinct("tokens")).alias("_n"), F.explode(F.array_distinct("tokens")).alias("_t"))
-    c = concepts.select("concept", F.size(F.array_distinct("tokens")).alias("_m"), F.explode(F.array_distinct("tokens")).alias("_t"))
-    both = p.join(c, "_t").groupBy("proposal_id", "concept", "_n", "_m").agg(F.count("*").alias("_k"))
-    score = F.round(F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k")), 6)
-    rows = both.select("proposal_id", "concept", score.alias("score")).filter(F.col("score") >= weak)
+    asked = proposals.select(F.col("proposal_id").alias("id"), F.col("tokens").alias("members"))
+    known = concepts.select(F.col("concept").alias("id"), F.col("tokens").alias("members"))
+    rows = set_join.similar(asked, known, weak).withColumnsRenamed({"a_id": "proposal_id", "b_id": "concept"})
     place = F.row_number().over(Window.partitionBy("proposal_id").orderBy(F.desc("score"), "concept"))
     return rows.withColumn("place", place).filter(F.col("place") <= most).withColumn("tier", F.when(F.col("score") >= strong, 1).otherwise(2))
 

@@ -67,10 +67,35 @@ def gate_outcomes(results: DataFrame) -> DataFrame:
     return results.groupBy("proposal_id").agg(outcome.alias("outcome"), bad.alias("stopped_by"))
 
 
-def review_policy(reviews: DataFrame, sure: float = 0.85) -> DataFrame:
-    """Reviews whose decision stands only if confidence reaches ``sure``; else a person decides."""
-    ok = F.col("confidence") >= sure
-    return reviews.withColumn("effective_decision", F.when(ok, F.col("model_decision")).otherwise("manual_review"))
+# Least confidence of an approval, and of a decision against a proposal; decisions
+# against one; codes of the reasons why a person decides.
+APPROVE_SURE, REJECT_SURE = 0.85, 0.85
+AGAINST = ("reject", "reuse_existing", "uphold_rejection")
+REASONS = {"context": "context_insufficient", "approve": "approve_below_threshold", "reject": "reject_below_threshold", "ask": "semantic_distinction_unclear"}
+
+
+def review_policy(reviews: DataFrame, approve: float = APPROVE_SURE, reject: float = REJECT_SURE) -> DataFrame:
+    """Reviews (model_decision, confidence) with effective_decision, policy_reason and challengeable.
+
+    A person decides (manual_review) where the context was not sufficient, where confidence is below
+    the threshold of its decision, or where existing concepts are related and either the proposal
+    prefers to ask or its wording is vague. A challenge that is rejected again upholds the rejection.
+    Columns that reviews may lack, and nulls in them: context_sufficient (true), related (none),
+    description (empty), challenge and prefer_clarification (false). A null confidence is below any
+    threshold.
+    """
+    has = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in reviews.columns else F.lit(default)
+    decision, sure = F.col("model_decision"), F.coalesce(F.col("confidence").cast("double"), F.lit(-1.0))
+    challenge, related = has("challenge", "boolean", False), F.size("related") > 0 if "related" in reviews.columns else F.lit(False)
+    vague = is_vague(F.col("description")) if "description" in reviews.columns else F.lit(False)
+    ask = ~challenge & related & ((has("prefer_clarification", "boolean", False) & decision.isin("approve", "reject", "reuse_existing")) | (decision.isin("reject", "reuse_existing") & F.coalesce(vague, F.lit(False))))
+    reason = (
+        F.when(~has("context_sufficient", "boolean", True), REASONS["context"]).when((decision == "approve") & (sure < approve), REASONS["approve"])
+        .when(decision.isin(*AGAINST) & (sure < reject), REASONS["reject"]).when(ask, REASONS["ask"])
+    )
+    rows = reviews.withColumn("policy_reason", reason)
+    final = F.when(F.col("policy_reason").isNotNull(), "manual_review").when(challenge & (decision == "reject"), "uphold_rejection").otherwise(decision)
+    return rows.withColumn("effective_decision", final).withColumn("challengeable", F.col("effective_decision").isin(*AGAINST, "manual_review"))
 
 
 def packed(candidates: DataFrame, group: str, tokens: str, budget: int, most: int) -> DataFrame:

@@ -374,6 +374,19 @@ def j17_review_policy(spark, sf_dir):
     return rows.groupBy("model_decision").agg(F.count("*").alias("n"), deferred.alias("deferred"))
 
 
+@query(f"""
+WITH r AS (SELECT case_id, model_decision, confidence::DOUBLE AS c, d.text IS NOT NULL AND regexp_matches(lower(d.text), '{'|'.join(governance.VAGUE)}') AS vague, case_id % 7 <> 0 AS enough, case_id % 3 = 0 AS related, case_id % 11 = 0 AS challenge, case_id % 5 = 0 AS prefer FROM fx_review_eval LEFT JOIN documents d ON d.doc_id = case_id),
+ p AS (SELECT *, CASE WHEN NOT enough THEN 'context_insufficient' WHEN model_decision = 'approve' AND c < 0.85 THEN 'approve_below_threshold' WHEN model_decision IN ('reject', 'reuse_existing') AND c < 0.6 THEN 'reject_below_threshold'
+  WHEN NOT challenge AND related AND ((prefer AND model_decision <> 'manual_review') OR (model_decision IN ('reject', 'reuse_existing') AND vague)) THEN 'semantic_distinction_unclear' END AS policy_reason FROM r),
+ e AS (SELECT case_id, policy_reason, CASE WHEN policy_reason IS NOT NULL THEN 'manual_review' WHEN challenge AND model_decision = 'reject' THEN 'uphold_rejection' ELSE model_decision END AS effective_decision FROM p)
+SELECT case_id, policy_reason, effective_decision, effective_decision <> 'approve' AS challengeable FROM e""")
+def j17_policy_reasons(spark, sf_dir):
+    n = F.col("case_id")
+    rows = view(spark, sf_dir, "fx_review_eval").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("description")), "case_id", "left")
+    rows = rows.withColumns({"context_sufficient": n % 7 != 0, "related": F.when(n % 3 == 0, F.array(F.lit("Other"))).otherwise(F.array().cast("array<string>")), "challenge": n % 11 == 0, "prefer_clarification": n % 5 == 0})
+    return governance.review_policy(rows, reject=0.6).select("case_id", "policy_reason", "effective_decision", "challengeable")
+
+
 # Identity
 
 

@@ -56,14 +56,26 @@ def call_costs(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     )
 
 
-def calls_summary(costed: DataFrame) -> DataFrame:
-    """One row: calls, tokens, calls with known and unknown cost, and the known cost in all."""
+def _call_totals() -> list[Column]:
     known = (F.col("cost_status") != "unknown") & F.col("cost_amount").isNotNull() & F.col("cost_currency").isNotNull()
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return costed.agg(
+    return [
         F.count("*").alias("calls"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"),
         F.count_if(known).alias("known_cost_calls"), F.count_if(~known).alias("unknown_cost_calls"), F.sum("cost_amount").cast("double").alias("cost"),
-    )
+    ]
+
+
+def calls_summary(costed: DataFrame) -> DataFrame:
+    """One row: calls, tokens, calls with known and unknown cost, and the known cost in all."""
+    return costed.agg(*_call_totals())
+
+
+def rolling_calls(costed: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:
+    """calls_summary per window, purpose and status: start, end, purpose, status and the sums. For a
+    stream, ``late`` is its watermark: windows come out once they are over by that much."""
+    rows = costed if late is None else costed.withWatermark("created_at", late)
+    rows = rows.groupBy(F.window("created_at", window).alias("_w"), "purpose", "status").agg(*_call_totals())
+    return rows.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "purpose", "status", *[c for c in rows.columns if c not in ("_w", "purpose", "status")])
 
 
 def occurrences(reports: DataFrame, key: str = "fingerprint") -> DataFrame:

@@ -299,6 +299,12 @@ def d03_calls_summary(spark, sf_dir):
     return summaries.calls_summary(_costed(spark, sf_dir))
 
 
+@query(COSTS + """SELECT date_trunc('hour', created_at) AS start, date_trunc('hour', created_at) + INTERVAL 1 HOUR AS "end", purpose, status, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
+ count(*) FILTER (cost_status <> 'unknown') AS known_cost_calls, count(*) FILTER (cost_status = 'unknown') AS unknown_cost_calls, CAST(sum(cost_amount) AS DOUBLE) AS cost FROM costed GROUP BY ALL""")
+def k04_calls_by_hour(spark, sf_dir):
+    return summaries.rolling_calls(_costed(spark, sf_dir))
+
+
 FINGERPRINTS = """WITH p AS (SELECT *, sha256(concat_ws('|', feedback_type, replace(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), 'ß', 'ss'), replace(lower(trim(regexp_replace(description, '\\s+', ' ', 'g'))), 'ß', 'ss'))) AS fingerprint FROM fx_feedback),
  o AS (SELECT fingerprint, count(*) AS occurrence_count, min(report_id) AS first_report_id FROM p GROUP BY fingerprint) """
 

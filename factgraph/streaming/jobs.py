@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from factgraph.operators import summaries
+
 
 def rolling_summary(log: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Operations per window and status; rows later than ``late`` are left out once the window is out."""
@@ -18,6 +20,12 @@ def rolling_summary(log: DataFrame, window: str = "1 hour", late: str = "1 hour"
     return rows.groupBy(F.window("started_at", window).alias("w"), "status").agg(F.count("*").alias("n")).select("w.start", "w.end", "status", "n")
 
 
+def rolling_call_costs(calls: DataFrame, pricing: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Calls, tokens, and known and unknown costs per window, purpose and status of a stream of calls,
+    priced by a table; the twin of ``summaries.rolling_calls``."""
+    return summaries.rolling_calls(summaries.call_costs(calls, pricing), window, late)
+
+
 def first_requests(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """One request per (actor, idempotency key) within the watermark; a replay later than that counts as new."""
     return log.withWatermark("started_at", late).dropDuplicatesWithinWatermark(["actor_id", "idempotency_key"])

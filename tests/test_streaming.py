@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from factgraph.operators import changes
+from factgraph.operators import changes, summaries
 from factgraph.sources.tables import table, view
 from factgraph.streaming import jobs
 
@@ -74,3 +74,16 @@ def test_replay_decisions(spark, sf_dir, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {r.operation_id: r.decision for r in got.collect()}
     assert got == {r.operation_id: r.decision for r in changes.replays(log).collect()} and set(got.values()) >= {"execute", "reject"}
+
+
+def test_rolling_call_costs(spark, sf_dir, tmp_path):
+    """Windows that are over come out with the sums of their batch twin."""
+    calls = view(spark, sf_dir, "fx_llm_call_log")
+    pricing = spark.createDataFrame([("openai", "model-a", "0.00000100", "0.00000200", "USD")], "provider string, model string, input_rate string, output_rate string, currency string").selectExpr("provider", "model", "CAST(input_rate AS DECIMAL(18,8)) AS input_rate", "CAST(output_rate AS DECIMAL(18,8)) AS output_rate", "currency")
+    end = calls.agg(F.max("created_at")).first()[0]
+    key = lambda r: (r.start, r.purpose, r.status)
+    plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in tuple(r)[4:])
+    want = {key(r): plain(r) for r in summaries.rolling_calls(summaries.call_costs(calls, pricing), "6 hours").collect()}
+    got = {key(r): plain(r) for r in streamed(spark, calls, str(tmp_path / "costs"), lambda df: jobs.rolling_call_costs(df, pricing, "6 hours"), name="costs").collect()}
+    assert got and all(want[k] == x for k, x in got.items()) and any(x[3] and x[4] for x in got.values())
+    assert all(k in got for k in want if k[0] < end - dt.timedelta(hours=9))

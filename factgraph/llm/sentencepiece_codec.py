@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Memo, small_batches, text_of
+from factgraph.llm.common import Memo, batches_by_size, small_batches, text_of
 
 #: SentencePiece's sign for a space.
 SPACE = "▁"
@@ -156,14 +156,17 @@ class PieceCodec:
         return out
 
 
-_loaded: dict[str, PieceCodec] = {}
+_loaded: dict[tuple[str, int], PieceCodec] = {}
 
+#: Bytes of a worker's memo of chunks (in each of two generations), rows and bytes of texts of a batch.
+MEMO, ROWS, BATCH = 96 << 20, 1024, 2 << 20
 
-def piece_codec(path: str) -> PieceCodec:
-    """One codec for each worker process, kept between tasks."""
-    if path not in _loaded:
-        _loaded[path] = PieceCodec(path)
-    return _loaded[path]
+
+def piece_codec(path: str, memo: int = MEMO) -> PieceCodec:
+    """One codec for each worker process and size of memo, kept between tasks."""
+    if (path, memo) not in _loaded:
+        _loaded[path, memo] = PieceCodec(path, memo)
+    return _loaded[path, memo]
 
 
 def piece_ids(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -184,18 +187,19 @@ def piece_ids(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     return docs.select(*kept).mapInArrow(run, f"{fields}, piece_ids array<int>, piece_text string")
 
 
-def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, rows: int = ROWS) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, ids_sha256 and decoded_sha256. memo and rows bound a worker's
+    memory (bytes of its memo, rows of a batch); results don't depend on them.
 
     Every whole text is encoded, then decoded from its ids. Null texts count as empty (no ids);
     null and repeated ids keep their rows; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = piece_codec(model)
-        for batch in small_batches(batches):
+        codec = piece_codec(model, memo)
+        for batch in batches_by_size(small_batches(batches, rows), 1, BATCH):
             n, ids, decoded = zip(*codec.digests(batch.column(1).to_pylist()), strict=True)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -386,3 +386,37 @@ def test_passages(spark, monkeypatch, rows):
     want = {(q, i, t.lower().find(s.lower()) + 1) for q, s in queries if s and s.strip() for i, t in texts if t and s.lower() in t.lower()}
     assert got == want, (got - want, want - got)
     assert {q for q, _, _ in want} >= {1, 3, 4, 8, 11}
+
+
+def test_candidates_of_many_requests_alike(spark):
+    names = [(f"e{k}", ("alba", "alba costa", "mar")[k % 3], ("canonical", "authoritative")[k % 2]) for k in range(90)] + [("e0", "alba costa", "authoritative")]
+    asks = [(k, ("Alba", " alba  COSTA", "none")[k % 3]) for k in range(2500)] + [(0, "mar"), (0, "Mar"), (9001, None), (9002, "")]
+    named, asked = spark.createDataFrame(names, "entity_id string, norm string, strength string"), spark.createDataFrame(asks, "request_id int, name string")
+    want, near = {}, set()
+    for r, x in asks:
+        for e, y, s in names:
+            norm = " ".join((x or "").lower().split())
+            if x is not None and norm == y:
+                want[r, e] = min(s, want.get((r, e), s))
+            if norm and (y.startswith(norm + " ") or norm.startswith(y + " ")):
+                near.add((r, e))
+    found = identity.by_name(asked, named)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and {(r, e): s for r, e, s in rows} == want
+    rows = [tuple(r) for r in identity.near_names(asked, named).collect()]
+    assert len(rows) == len(near) and set(rows) == near
+    # Rows that are multiplied go nowhere any more.
+    for df in (found, identity.near_names(asked, named)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert 0 <= plan.find("Generate explode(_ids") < plan.find("Exchange")
+
+
+def test_references_of_many_requests_alike(spark):
+    refs = [(f"e{k}", "erp", f"x{k % 7}") for k in range(40)] + [("e1", "crm", "y"), ("e1", None, "x1")]
+    asks = [(k, "erp", f"x{k % 9}") for k in range(300)] + [(1, "crm", "y"), (2, None, "x1"), (3, "erp", None)]
+    got = identity.by_reference(spark.createDataFrame(asks, "request_id int, source_system string, external_id string"), spark.createDataFrame(refs, "entity_id string, source_system string, external_id string"))
+    rows = [tuple(r) for r in got.collect()]
+    want = {(r, e) for r, *x in asks for e, *y in refs if x == y and None not in x}
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate explode(_ids") < plan.find("Exchange")

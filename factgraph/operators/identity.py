@@ -160,6 +160,18 @@ def graph_evidence(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return shared.union(other.distinct())
 
 
+def shared_neighbours(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """a, b, predicate_key, neighbour_id: what every two members of a group (group_id, entity_id, rank)
+    share, a being the one of smaller rank, each once. facts: entity_id, predicate_key, neighbour_id.
+
+    Members meet where they share something only, so pairs that share nothing are never made.
+    """
+    held = facts.select("entity_id", "predicate_key", "neighbour_id").distinct().join(members.select("group_id", "entity_id", "rank").distinct(), "entity_id")
+    side = lambda x: held.select("group_id", "predicate_key", "neighbour_id", F.col("entity_id").alias(x), F.col("rank").alias(f"_{x}"))
+    both = side("a").join(side("b"), ["group_id", "predicate_key", "neighbour_id"]).filter(F.col("_a") < F.col("_b"))
+    return both.select("a", "b", "predicate_key", "neighbour_id").distinct()
+
+
 def canonical_systems(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """sources with canonical_system: the registered key of the system's normal form, else that form."""
     key = source_system_key(F.col("source_system"))

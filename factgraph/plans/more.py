@@ -188,12 +188,13 @@ def c18_graph_evidence(spark, sf_dir):
 
 
 @query(ROOTS + """, f AS (SELECT DISTINCT subject_entity_id AS e, object_entity_id AS n FROM fx_statement WHERE status = 'asserted' AND predicate_key = 'contains'),
- c AS (SELECT 'order:' || o_orderkey AS a, 'order:' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
- p AS (SELECT a, b FROM c WHERE b IS NOT NULL UNION SELECT b, a FROM c WHERE b IS NOT NULL)
+ p AS (SELECT DISTINCT 'order:' || a.o_orderkey AS a, 'order:' || b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey)
 SELECT DISTINCT p.a, p.b, 'contains' AS predicate_key, x.n AS neighbour_id FROM p JOIN f x ON x.e = p.a JOIN f y ON y.e = p.b AND y.n = x.n""")
 def c18_shared_neighbours(spark, sf_dir):
-    found = c18_graph_evidence(spark, sf_dir).filter("signal = 'shared_neighbor' AND predicate_key = 'contains'")
-    return found.select("a", "b", "predicate_key", "neighbour_id")
+    """All orders of a customer against each other."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), F.concat(F.lit("order:"), "o_orderkey").alias("entity_id"), F.col("o_orderkey").alias("rank"))
+    found = view(spark, sf_dir, "fx_statement").filter("status = 'asserted' AND predicate_key = 'contains'")
+    return identity.shared_neighbours(orders, found.select(F.col("subject_entity_id").alias("entity_id"), "predicate_key", F.col("object_entity_id").alias("neighbour_id")))
 
 
 @query("""

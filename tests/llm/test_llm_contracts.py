@@ -340,6 +340,15 @@ def test_verified_links_in_blocks(spark, sf_dir, monkeypatch, block):
     assert {d: low.get(d, d) for d in expected} == expected
 
 
+def test_links_between_rows_of_different_pivots(spark, monkeypatch):
+    """A chain 0, 1, 2, 3 in which only neighbours are alike; 0 and 3 become pivots, which link 1 and 2."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 1)
+    rows = [(k, 0, np.arange(10 * k, 10 * k + 100, dtype="<u8").tobytes(), 100, (9.0, 1.0, 2.0, 8.0)[k]) for k in range(4)]
+    rows += [(k, 0, np.arange(1000 * k, 1000 * k + 100, dtype="<u8").tobytes(), 100, 0.0) for k in range(4, 7)]
+    links = near_copies.verified_links(spark.createDataFrame(rows, "doc_id long, root long, shingles binary, n long, centre double"), 0.8)
+    assert {r.node: r.root for r in simhash_dedup.connected_components(links).collect() if r.node != r.root} == {1: 0, 2: 0, 3: 0}
+
+
 def test_shingle_hashes():
     import pyarrow as pa
 

@@ -131,15 +131,18 @@ def _predicates(spark):
 WITH p AS (SELECT * FROM (VALUES ('preferredPriority', 'one', 1), ('orderedBy', 'one', 1), ('totalPrice', 'one', 1), ('contains', 'many', 2), ('description', 'one', 1)) t(predicate_key, cardinality, revision))
 SELECT cardinality, count(*) AS n FROM fx_statement JOIN p USING (predicate_key) GROUP BY 1""")
 def c03_predicate_join(spark, sf_dir):
-    return view(spark, sf_dir, "fx_statement").join(_predicates(spark), "predicate_key").groupBy("cardinality").agg(F.count("*").alias("n"))
+    # Counted first: predicates are few and have many statements each.
+    counts = view(spark, sf_dir, "fx_statement").groupBy("predicate_key").agg(F.count("*").alias("n"))
+    return counts.join(_predicates(spark), "predicate_key").groupBy("cardinality").agg(F.sum("n").alias("n"))
 
 
 @query("""
 WITH p AS (SELECT * FROM (VALUES ('preferredPriority', 1), ('orderedBy', 1), ('totalPrice', 1), ('contains', 2), ('description', 1)) t(predicate_key, revision))
 SELECT f.predicate_key, p.revision, count(*) AS n FROM fx_statement f LEFT JOIN p USING (predicate_key) GROUP BY 1, 2""")
 def c04_current_revision(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_statement").join(_predicates(spark), "predicate_key", "left")
-    return rows.groupBy("predicate_key", "revision").agg(F.count("*").alias("n"))
+    counts = view(spark, sf_dir, "fx_statement").groupBy("predicate_key").agg(F.count("*").alias("n"))
+    rows = counts.join(_predicates(spark), "predicate_key", "left")
+    return rows.groupBy("predicate_key", "revision").agg(F.sum("n").alias("n"))
 
 
 @query("""

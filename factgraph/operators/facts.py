@@ -161,10 +161,11 @@ def related(statements: DataFrame, most: int = 5) -> DataFrame:
     first ``most`` + 1 of a subject can be among them, so each subject's history is read once."""
     order = Window.partitionBy("subject_entity_id").orderBy(F.desc("asserted_at"), F.desc("statement_id"))
     best = statements.filter("status = 'asserted'").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most + 1)
-    best = best.select("subject_entity_id", F.col("statement_id").alias("related_id"), "k")
-    rows = statements.select("statement_id", "subject_entity_id").join(best, "subject_entity_id").filter("statement_id <> related_id")
-    place = F.row_number().over(Window.partitionBy("statement_id").orderBy("k"))
-    return rows.select("statement_id", "related_id", place.alias("place")).filter(F.col("place") <= most)
+    best = best.groupBy("subject_entity_id").agg(F.sort_array(F.collect_list(F.struct("k", F.col("statement_id").alias("id")))).alias("best"))
+    rows = statements.select("statement_id", "subject_entity_id").join(best, "subject_entity_id")
+    # Places are counted within the subject's short list, so nothing is shuffled once it is multiplied.
+    others = F.slice(F.filter(F.transform("best", lambda x: x["id"]), lambda x: x != F.col("statement_id")), 1, most)
+    return rows.select("statement_id", F.posexplode(others).alias("place", "related_id")).select("statement_id", "related_id", (F.col("place") + 1).alias("place"))
 
 
 def overlap_counts(rows: DataFrame, key: list[str]) -> DataFrame:

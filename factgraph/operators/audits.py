@@ -51,7 +51,10 @@ def supersession_findings(statements: DataFrame) -> DataFrame:
     exist, with one about something else, or on (or leading into) a cycle."""
     rows = statements.filter("status = 'superseded'").select("statement_id", "subject_entity_id", "predicate_key", F.col("superseded_by_statement_id").alias("next"))
     to = statements.select(F.col("statement_id").alias("next"), F.col("subject_entity_id").alias("to_subject"), F.col("predicate_key").alias("to_predicate"), F.lit(True).alias("there"))
-    linked = rows.join(to, "next", "left")
+    # Rows without a successor meet nothing; joined, they would all end up in one task.
+    pointing = rows.filter("next IS NOT NULL").join(to, "next", "left")
+    ending = rows.filter("next IS NULL").select("next", "statement_id", "subject_entity_id", "predicate_key", *[F.lit(None).cast(kind).alias(c) for c, kind in to.dtypes if c != "next"])
+    linked = pointing.union(ending)
     notes = (
         F.when(F.col("next").isNull(), "missing_successor")
         .when(F.col("there").isNull(), "dangling_successor")

@@ -67,13 +67,23 @@ def supersession_findings(statements: DataFrame) -> DataFrame:
     return found.union(cycles).withColumn("severity", severity)
 
 
+#: Rows of an ontology's table that are broadcast; more are shuffled.
+ONTOLOGY_BROADCAST = 100_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if they are no more than ONTOLOGY_BROADCAST."""
+    return F.broadcast(rows) if rows.limit(ONTOLOGY_BROADCAST + 1).count() <= ONTOLOGY_BROADCAST else rows
+
+
 def class_violations(statements: DataFrame, types: DataFrame, closed: DataFrame, allowed: DataFrame, end: str) -> DataFrame:
     """Statements whose entity at ``end`` has no class, or ancestor of one, that the predicate allows.
 
     types: entity_id, class_key; closed: node, ancestor; allowed: predicate_key, class_key. A
     predicate without rows in ``allowed`` takes any class; an entity without class breaks the rule.
     """
-    limited = statements.join(allowed.select("predicate_key").distinct(), "predicate_key", "left_semi").filter(F.col(end).isNotNull())
-    fits = types.join(closed, types.class_key == closed.node).select("entity_id", F.col("ancestor").alias("class_key"))
-    fits = fits.join(allowed, "class_key").select(F.col("entity_id").alias(end), "predicate_key").distinct()
+    # What each class allows is worked out first; predicates and classes are few and have many rows each.
+    limited = statements.join(_few(allowed.select("predicate_key").distinct()), "predicate_key", "left_semi").filter(F.col(end).isNotNull())
+    fits = closed.join(allowed, closed.ancestor == allowed.class_key).select("node", "predicate_key").distinct()
+    fits = types.join(_few(fits), types.class_key == F.col("node")).select(F.col("entity_id").alias(end), "predicate_key").distinct()
     return limited.join(fits, [end, "predicate_key"], "left_anti")

@@ -438,3 +438,40 @@ def test_appended_documents_are_cut_once(spark, sf_dir, monkeypatch):
     any_id = F.udf(lambda x: random.randrange(200), "long")
     monkeypatch.setattr(last.F, "percentile_approx", lambda c, share: F.first(any_id(c)))
     assert {tuple(r) for r in last.a10_appended_revisions(spark, sf_dir).collect()} == want
+
+
+def _after(plan: str, name: str, above: str) -> bool:
+    """Whether a plan has the node above all shuffles."""
+    return 0 <= plan.find(above) < plan.find(name)
+
+
+def test_related_rows_are_not_shuffled_once_multiplied(spark):
+    at = dt.datetime(2020, 1, 1)
+    rows = [(f"s{k}", f"e{k % 3}", at + dt.timedelta(days=k // 2), ("asserted", "retracted")[k % 5 == 0]) for k in range(40)]
+    df = facts.related(spark.createDataFrame(rows, "statement_id string, subject_entity_id string, asserted_at timestamp, status string"), 4)
+    want = set()
+    for s, e, _, _ in rows:
+        best = sorted(((t, r) for r, o, t, status in rows if o == e and r != s and status == "asserted"), reverse=True)[:4]
+        want |= {(s, r, k) for k, (_, r) in enumerate(best, 1)}
+    assert {tuple(r) for r in df.collect()} == want
+    assert _after(df._jdf.queryExecution().executedPlan().toString(), "Exchange", "Generate posexplode")
+
+
+def test_statements_without_successor_meet_nothing(spark):
+    rows = [("a", None), ("b", "x"), ("c", "d"), ("d", None)]
+    facts_ = spark.createDataFrame([(s, "e", "p", "superseded", n) for s, n in rows], "statement_id string, subject_entity_id string, predicate_key string, status string, superseded_by_statement_id string")
+    found = audits.supersession_findings(facts_)
+    assert sorted((r.statement_id, r.note) for r in found.collect()) == [("a", "missing_successor"), ("b", "dangling_successor"), ("d", "missing_successor")]
+    assert "isnotnull(superseded_by_statement_id" in found._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[1]
+
+
+def test_few_classes_are_not_shuffled_by(spark):
+    """Rows are dealt by their entities, never by one of a few predicates or classes."""
+    types = spark.createDataFrame([(f"e{k}", ("A", "B", None)[k % 3]) for k in range(9)], "entity_id string, class_key string").join(spark.range(1).select(F.lit(1)))
+    closed = spark.createDataFrame([("A", "A"), ("B", "B"), ("B", "T")], "node string, ancestor string")
+    allowed = spark.createDataFrame([("p", "T"), ("q", "A"), ("q", "T")], "predicate_key string, class_key string")
+    said = spark.createDataFrame([(f"{p}{k}", p, f"e{k}") for p in "pqr" for k in range(9)] + [("p-", "p", None)], "statement_id string, predicate_key string, subject_entity_id string")
+    df = audits.class_violations(said, types, closed, allowed, "subject_entity_id")
+    assert {r.statement_id for r in df.collect()} == {f"p{k}" for k in range(9) if k % 3 != 1} | {f"q{k}" for k in (2, 5, 8)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [predicate_key" not in plan and "SortMergeJoin [class_key" not in plan

@@ -22,6 +22,8 @@ from factgraph.session import share_package, written
 #: Vectors that cells are fitted on (about so many, chosen by hash; all if fewer), cells at most, rounds
 #: of fitting, vectors of a block (larger cells have several), cells that are asked first.
 SAMPLE, CELLS, ROUNDS, BLOCK, PROBES = 20_000, 1024, 8, 8192, 8
+#: Rows that a task compares with all centroids, or returns, at once.
+PIECE = 1024
 #: Scores are rounded so far; bounds allow for it.
 DIGITS, SLACK = 6, 2e-6
 
@@ -81,26 +83,8 @@ class VectorIndex:
         shared = asked.sparkSession.sparkContext.broadcast((self.centroids, self.radius, self.parts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centroids, radius, parts = shared.value
-            n = len(centroids)
-            for batch in batches:
-                v = matrix(batch.column(1))
-                near = v @ centroids.T if n and v.shape[1] else np.zeros((len(v), n))
-                first = np.zeros((len(v), n + 1), bool)
-                if n:
-                    top = np.argpartition(-near, min(probes, n) - 1, axis=1)[:, :probes]
-                    np.put_along_axis(first, top, True, axis=1)
-                # Of unit vectors, cosine is 1 - d * d / 2, and d is at least that to the centroid less the radius.
-                apart = np.maximum(np.sqrt(np.maximum(2 - 2 * near, 0)) - radius[:n], 0)
-                reach = np.c_[1 - apart * apart / 2, np.zeros(len(v))]
-                floor = batch.column(2)
-                later = np.array([x is not None for x in floor.to_pylist()])
-                low = np.array([least if x is None else x for x in floor.to_pylist()])
-                take = np.where(later[:, None], ~first & (reach >= low[:, None] - SLACK), first) & (parts > 0)
-                q, cell = np.nonzero(take)
-                times = parts[cell]
-                q, cell, part = np.repeat(q, times), np.repeat(cell, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(part, pa.int32()), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q))], ["cell", "part", "query_id", "v"])
+            for batch in _pieces(batches):
+                yield from _asked_cells(batch, *shared.value, probes, least)
 
         return asked.select("query_id", "v", "floor").mapInArrow(run, "cell int, part int, query_id long, v array<double>")
 
@@ -135,6 +119,41 @@ class VectorIndex:
         return both.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of PIECE at most, so that their products with all centroids stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
+def _asked_cells(batch: pa.RecordBatch, centroids: np.ndarray, radius: np.ndarray, parts: np.ndarray, probes: int, least: float) -> Iterator[pa.RecordBatch]:
+    """cell, part, query_id, v of queries (query_id, v, floor), as VectorIndex._asks describes. A query
+    may ask every block there is, so vectors are repeated for PIECE rows at a time only."""
+    v = matrix(batch.column(1))
+    n = len(centroids)
+    near = v @ centroids.T if n and v.shape[1] else np.zeros((len(v), n))
+    first = np.zeros((len(v), n + 1), bool)
+    if n:
+        top = np.argpartition(-near, min(probes, n) - 1, axis=1)[:, :probes]
+        np.put_along_axis(first, top, True, axis=1)
+    # Of unit vectors, cosine is 1 - d * d / 2, and d is at least that to the centroid less the radius.
+    apart = np.maximum(np.sqrt(np.maximum(2 - 2 * near, 0)) - radius[:n], 0)
+    reach = np.c_[1 - apart * apart / 2, np.zeros(len(v))]
+    floor = batch.column(2)
+    later = np.array([x is not None for x in floor.to_pylist()])
+    low = np.array([least if x is None else x for x in floor.to_pylist()])
+    take = np.where(later[:, None], ~first & (reach >= low[:, None] - SLACK), first) & (parts > 0)
+    q, cell = np.nonzero(take)
+    ends = np.cumsum(parts[cell])
+    begins = ends - parts[cell]
+    for low in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
+        row = np.arange(low, min(low + PIECE, int(ends[-1])))
+        ask = np.searchsorted(ends, row, "right")
+        part = row - begins[ask]
+        same = pa.array(q[ask])
+        yield pa.record_batch([pa.array(cell[ask], pa.int32()), pa.array(part, pa.int32()), batch.column(0).take(same), batch.column(1).take(same)], ["cell", "part", "query_id", "v"])
+
+
 def _products(queries: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, least: float) -> pa.RecordBatch:
     wide = max(asked.shape[1], vectors.shape[1])
     asked, vectors = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (asked, vectors))
@@ -174,7 +193,7 @@ def build(vectors: DataFrame, cells: int | None = None, path: str | None = None,
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in _pieces(batches):
             v = matrix(batch.column(1))
             v = np.pad(v, ((0, 0), (0, max(0, found.shape[1] - v.shape[1])))) if len(found) else v
             near = v[:, : found.shape[1]] @ found.T if len(found) else np.zeros((len(v), 0))

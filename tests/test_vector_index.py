@@ -58,3 +58,18 @@ def test_no_vectors(spark):
     none, one = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in ([], [(1, [1.0, 2.0])]))
     assert vector_index.build(none).search(one, 3, -1.0).collect() == []
     assert vector_index.build(one).search(none, 3, -1.0).collect() == []
+
+
+def test_a_query_that_asks_every_block_is_repeated_in_pieces():
+    """4,000 cells of two blocks each are all asked, by batches of bounded size."""
+    import pyarrow as pa
+
+    centroids = np.eye(4000, 8) + 1
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    v = [[1.0] + [0.0] * 7, [0.0] * 7 + [1.0]]
+    asked = pa.record_batch([pa.array([3, 4]), pa.array(v), pa.array([-1.0, None])], ["query_id", "v", "floor"])
+    got = list(vector_index._asked_cells(asked, centroids, np.full(4001, 2.0), np.full(4001, 2), 8, -1.0))
+    assert max(x.num_rows for x in got) <= vector_index.PIECE
+    rows = [x for b in got for x in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True)]
+    assert len(set((c, p, q) for c, p, q, _ in rows)) == len(rows) == (4001 - 8) * 2 + 8 * 2
+    assert all(x == v[q - 3] for _, _, q, x in rows)

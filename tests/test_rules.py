@@ -475,3 +475,23 @@ def test_few_classes_are_not_shuffled_by(spark):
     assert {r.statement_id for r in df.collect()} == {f"p{k}" for k in range(9) if k % 3 != 1} | {f"q{k}" for k in (2, 5, 8)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [predicate_key" not in plan and "SortMergeJoin [class_key" not in plan
+
+
+def test_near_names_only_where_nothing_is_exact(spark, monkeypatch):
+    """Decisions are those of all exact and near names; names are looked up as near ones only for what
+    has no exact one, and only names with a first word that is asked for are kept."""
+    from factgraph.operators import identity
+
+    names = [("e1", "large ring", "canonical"), ("e2", "large ring brand#7", "supporting"), ("e3", "large bolt", "canonical"), ("e4", "order#1", "canonical"), ("e5", "large", "authoritative"), ("e6", "", "canonical"), ("e7", "unknown", "canonical")]
+    wanted = [("a", "large ring"), ("b", "large ring brand#9"), ("c", "unknown large ring"), ("d", "lar"), ("e", ""), ("f", "large ring brand#7")]
+    named, asked = spark.createDataFrame(names, "entity_id string, norm string, strength string"), spark.createDataFrame(wanted, "request_id string, norm string")
+    want = {tuple(r) for r in identity.decide(identity.exact_names(asked, named), identity.prefix_names(asked, named)).collect()}
+    seen, near = [], identity.prefix_names
+
+    def watched(asked, named):
+        seen.append(({r.request_id for r in asked.collect()}, {r.entity_id for r in named.collect()}))
+        return near(asked, named)
+
+    monkeypatch.setattr(identity, "prefix_names", watched)
+    assert {tuple(r) for r in identity.decided(asked, named).collect()} == want
+    assert seen == [({"b", "c", "d"}, {"e1", "e2", "e3", "e5", "e6", "e7"})]

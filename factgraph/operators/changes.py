@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgraph.functions.text import normal
+from factgraph.session import written
+
+#: Merged entities, and those that they were merged into, that are broadcast; more are shuffled.
+_BROADCAST = 300_000
 
 
 def _first_of(requests: DataFrame, key: str) -> Column:
@@ -87,16 +91,26 @@ def resolve(issues: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 
 def merged_statements(statements: DataFrame, survivors: DataFrame) -> DataFrame:
     """Statements after merges: ends rewritten to survivors, and of asserted statements that became
-    alike the one stays that had these ends before (else the smallest id), the others are retracted."""
-    s = survivors.select(F.col("entity_id").alias("subject_entity_id"), F.col("root").alias("_s"))
-    o = survivors.select(F.col("entity_id").alias("object_entity_id"), F.col("root").alias("_o"))
-    rows = statements.join(s, "subject_entity_id", "left").join(o, "object_entity_id", "left")
+    alike the one stays that had these ends before (else the smallest id), the others are retracted.
+
+    survivors: entity_id, root of merged entities at least. Only asserted statements with an end that
+    is merged, or that another was merged into, can become alike; no others are grouped.
+    """
+    to = survivors.filter("root <> entity_id").select("entity_id", "root")
+    to = written(to.union(to.select(F.col("root").alias("entity_id"), "root").distinct()).groupBy("entity_id").agg(F.max(F.when(F.col("root") != F.col("entity_id"), F.col("root"))).alias("root")).withColumn("root", F.coalesce("root", "entity_id")), "merges")
+    to = F.broadcast(to) if to.count() <= _BROADCAST else to
+    rows = statements
+    for end in ("subject", "object"):
+        rows = rows.join(to.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("root").alias(f"_{end[0]}")), f"{end}_entity_id", "left")
     rows = rows.withColumn("new_subject", F.coalesce("_s", "subject_entity_id")).withColumn("new_object", F.coalesce("_o", "object_entity_id"))
+    near = (F.col("_s").isNotNull() | F.col("_o").isNotNull()) & F.coalesce(F.col("status") == "asserted", F.lit(False))
+    done = lambda df, status: df.select("statement_id", F.col("new_subject").alias("subject_entity_id"), "predicate_key", F.col("new_object").alias("object_entity_id"), status.alias("status"))
+    apart, rows = done(rows.filter(~near), F.col("status")), rows.filter(near)
     moved = (F.col("new_subject") != F.col("subject_entity_id")) | ~F.col("new_object").eqNullSafe(F.col("object_entity_id"))
     key = ["new_subject", "predicate_key", "new_object", F.coalesce("object_string", F.col("object_number").cast("string")), "valid_from", "valid_to", "status"]
     place = F.row_number().over(Window.partitionBy(*key).orderBy(moved, "statement_id"))
-    status = F.when((F.col("status") == "asserted") & (place > 1) & (F.max(moved).over(Window.partitionBy(*key))), "retracted").otherwise(F.col("status"))
-    return rows.select("statement_id", F.col("new_subject").alias("subject_entity_id"), "predicate_key", F.col("new_object").alias("object_entity_id"), status.alias("status"))
+    status = F.when((place > 1) & (F.max(moved).over(Window.partitionBy(*key))), "retracted").otherwise(F.col("status"))
+    return apart.union(done(rows, status))
 
 
 def merged_entities(entities: DataFrame, survivors: DataFrame) -> DataFrame:

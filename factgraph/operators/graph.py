@@ -20,9 +20,15 @@ def survivors(entities: DataFrame, rounds: int = 40) -> DataFrame:
     """entity_id and root, the entity at the end of its chain of merges (itself without one).
 
     Pointers double with each round, which ends when nothing moves; entities that still move after
-    ``rounds`` rounds are on a cycle and have a null root.
+    ``rounds`` rounds are on a cycle and have a null root. Only merged entities take part in rounds.
     """
-    p = entities.select("entity_id", F.coalesce("merged_into_entity_id", "entity_id").alias("root"), F.lit(False).alias("moved"))
+    ends = merged(entities, rounds).withColumn("_known", F.lit(True))
+    return entities.select("entity_id").join(ends, "entity_id", "left").select("entity_id", F.when(F.col("_known"), F.col("root")).otherwise(F.col("entity_id")).alias("root"))
+
+
+def merged(entities: DataFrame, rounds: int = 40) -> DataFrame:
+    """entity_id and root, as of survivors, of merged entities only."""
+    p = _checkpoint(entities.filter("merged_into_entity_id IS NOT NULL").select("entity_id", F.col("merged_into_entity_id").alias("root"), F.lit(False).alias("moved")))
     for _ in range(rounds):
         q = p.select(F.col("entity_id").alias("root"), F.col("root").alias("next"))
         p = _checkpoint(p.join(q, "root", "left").select("entity_id", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
@@ -98,16 +104,22 @@ def endless(pointers: DataFrame) -> DataFrame:
 def cycle_tops(pointers: DataFrame) -> DataFrame:
     """Ids on cycles of (id, next, seq), and top, the largest seq of the cycle that each is on.
 
-    Pointers double with each round and carry the largest seq on their way; after as many rounds as
-    the number of rows has bits every way that goes on has come round its cycle, and where ways end
-    then are the ids on cycles.
+    Pointers double with each round and carry the largest seq on their way, until a round changes
+    nothing: no way has ended, the ids where ways lead are as many as before (these only get fewer,
+    until they are the ids on cycles), and no top has grown (so it is that of the whole cycle). So
+    rounds grow with the logarithm of the longest way, not of the number of rows.
     """
-    p = pointers.filter("next IS NOT NULL").select("id", "next", F.col("seq").alias("top"))
-    rounds = max(1, int(p.count()).bit_length())
-    p = _checkpoint(p)
-    for _ in range(rounds):
+    p = _checkpoint(pointers.filter("next IS NOT NULL").select("id", "next", F.col("seq").alias("top"), F.lit(True).alias("grown")))
+    before = None
+    while True:
         q = p.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("top").alias("further"))
-        p = _checkpoint(p.join(q, "next").select("id", F.col("after").alias("next"), F.greatest("top", "further").alias("top")))
-        if p.isEmpty():
+        p = _checkpoint(p.join(q, "next").select("id", F.col("after").alias("next"), F.greatest("top", "further").alias("top"), (F.col("further") > F.col("top")).alias("grown")))
+        now = p.agg(F.count("*").alias("n"), F.count_if("grown").alias("grown")).first()
+        if now.n == 0:
             break
+        if now.grown == 0:
+            now = (now.n, p.select("next").distinct().count())
+            if now == before:
+                break
+            before = now
     return p.join(p.select(F.col("next").alias("id")).distinct(), "id", "left_semi").select("id", "top")

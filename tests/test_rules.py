@@ -495,3 +495,47 @@ def test_near_names_only_where_nothing_is_exact(spark, monkeypatch):
     monkeypatch.setattr(identity, "prefix_names", watched)
     assert {tuple(r) for r in identity.decided(asked, named).collect()} == want
     assert seen == [({"b", "c", "d"}, {"e1", "e2", "e3", "e5", "e6", "e7"})]
+
+
+def test_rounds_grow_with_the_longest_way_not_with_the_rows(spark, monkeypatch):
+    """Tops of cycles of many lengths, with ways into them, as walked one by one; many short ways take few rounds."""
+    from factgraph.operators import graph
+
+    nexts, seqs, at = {}, {}, 0
+    for n in (1, 2, 3, 4, 6, 7, 12):
+        for k in range(n):
+            nexts[at + k] = at + (k + 1) % n
+        for k in range(9):  # a way into the cycle
+            nexts[at + n + k] = at + n + k + 1 if k < 8 else at
+        at += n + 9
+    for k in range(400):  # ways of two steps that end
+        nexts[at + 3 * k], nexts[at + 3 * k + 1] = at + 3 * k + 1, at + 3 * k + 2
+    seqs = {i: (i * 37) % 1009 if i % 3 else -1 for i in nexts}
+    want = {}
+    for i in nexts:
+        way, j = [i], nexts[i]
+        while j != i and j in nexts and len(way) <= 20:
+            way.append(j)
+            j = nexts[j]
+        if j == i:
+            want[i] = max(seqs[x] for x in way)
+    rounds, keep = [], graph._checkpoint
+    monkeypatch.setattr(graph, "_checkpoint", lambda df: rounds.append(1) or keep(df))
+    got = graph.cycle_tops(spark.createDataFrame([(i, n, seqs[i]) for i, n in nexts.items()], "id long, next long, seq long")).collect()
+    assert {r.id: r.top for r in got} == want and len(got) == len(want)
+    assert len(rounds) <= 8
+
+
+def test_merges_group_only_statements_near_them(spark):
+    """Statements that no merge touches stay as they are, alike or not; a merge retracts what becomes alike."""
+    from factgraph.operators import changes, graph
+
+    entities = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", None), ("e", "f"), ("f", "g"), ("g", "e")], "entity_id string, merged_into_entity_id string")
+    rows = [("1", "a", "p", "d"), ("2", "c", "p", "d"), ("3", "d", "p", "b"), ("4", "d", "p", "a"), ("5", "d", "q", "d"), ("6", "d", "q", "d"), ("7", "e", "p", "d"), ("8", "b", "p", None)]
+    fields = "statement_id string, subject_entity_id string, predicate_key string, object_entity_id string, status string, object_string string, object_number decimal(18,2), valid_from timestamp, valid_to timestamp"
+    statements = spark.createDataFrame([(*r, "asserted", None, None, None, None) for r in rows] + [("9", "c", "p", "d", None, None, None, None, None)], fields)
+    want = [("1", "a", "p", "d", "asserted"), ("2", "a", "p", "d", "retracted"), ("3", "d", "p", "a", "retracted"), ("4", "d", "p", "a", "asserted"), ("5", "d", "q", "d", "asserted"), ("6", "d", "q", "d", "asserted"), ("7", "e", "p", "d", "asserted"), ("8", "a", "p", None, "asserted"), ("9", "a", "p", "d", None)]
+    for roots in (graph.merged(entities, 4), graph.survivors(entities, 4)):
+        assert sorted(tuple(r) for r in changes.merged_statements(statements, roots).collect()) == want
+    assert {r.entity_id: r.root for r in graph.survivors(entities, 4).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": None, "f": None, "g": None}
+    assert sorted(r.entity_id for r in graph.merged(entities, 4).collect()) == ["b", "c", "e", "f", "g"]

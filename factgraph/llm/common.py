@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +63,6 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
 
 
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, each finished execution's shuffle files go at once, not when the driver happens to
-    collect its garbage: rounds that are written to checkpoints need them no longer."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 def batches_by_size(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts in a column have about ``size`` bytes at most, or of one row."""
     for batch in batches:

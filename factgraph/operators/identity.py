@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -151,6 +153,10 @@ def strongest_aliases(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("entity_id", normal(F.col("alias")).alias("norm")).agg(F.min("identity_strength").alias("identity_strength"))
 
 
+#: Facts of an entity that are gathered in one row; those of entities with more are joined.
+_GATHERED = 1000
+
+
 def graph_evidence(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Signals of candidates (a, b) from facts (entity_id, predicate_key, neighbour_id, statement_id,
     valid_from, valid_to): a, b, signal, predicate_key, neighbour_id, statements, each evidence once.
@@ -159,8 +165,45 @@ def graph_evidence(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     predicate: shared_neighbor if b has that neighbour too; else, for each of b's neighbours,
     conflicting_neighbor, and temporal_conflict if both hold at one time. statements are the ids it
     rests on, sorted. What is said of one entity by many statements meets only the statements of its
-    candidates, never each other.
+    candidates, never each other. facts are read more than once, so they should be cheap.
     """
+    once = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = written(facts.groupBy("entity_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > _GATHERED).select("entity_id"), "large-entities")
+    if large.isEmpty():
+        return _evidence_gathered(once, facts)
+    once = written(once, "pairs")
+    hit = written(reduce(DataFrame.union, [once.join(large, F.col(x) == F.col("entity_id"), "left_semi") for x in ("a", "b")]).distinct(), "large-pairs")
+    rest = once.join(hit, ["a", "b"], "left_anti")
+    return _evidence_gathered(rest, facts.join(large, "entity_id", "left_anti")).unionByName(_evidence_joined(hit, facts))
+
+
+def _evidence_gathered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """graph_evidence of pairs (each once, in one direction): what is said of an entity is gathered in
+    one row, so that facts are dealt out once, and a pair's signals are found in its row."""
+    fact = F.struct(F.col("predicate_key").alias("p"), F.col("neighbour_id").alias("n"), F.col("statement_id").alias("s"), F.col("valid_from").alias("f"), F.col("valid_to").alias("t"))
+    held = facts.filter("predicate_key IS NOT NULL").groupBy("entity_id").agg(F.collect_list(fact).alias("held"))
+    side = lambda x: held.select(F.col("entity_id").alias(x), F.col("held").alias(f"_{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def signals(a: str, b: str) -> Column:
+        mine, theirs = F.col(f"_{a}"), F.col(f"_{b}")
+        out = lambda signal, x, ids: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(signal).alias("signal"), x["p"].alias("predicate_key"), x["n"].alias("neighbour_id"), F.sort_array(ids).alias("statements"))
+        same = lambda x, y: (x["p"] == y["p"]) & F.coalesce(x["n"] == y["n"], F.lit(False))
+        ids = lambda x, of: F.transform(F.filter(of, lambda y: same(x, y)), lambda y: y["s"])
+        known = lambda x: F.exists(theirs, lambda y: same(x, y))
+        shared = F.transform(F.filter(mine, known), lambda x: out("shared_neighbor", x, F.array_distinct(F.array_compact(F.concat(ids(x, mine), ids(x, theirs))))))
+        apart = F.filter(mine, lambda x: ~known(x))
+        others = lambda x: F.filter(theirs, lambda y: x["p"] == y["p"])
+        conflicts = F.flatten(F.transform(apart, lambda x: F.transform(others(x), lambda y: out("conflicting_neighbor", x, F.array(x["s"], y["s"])))))
+        at_once = lambda x, y: overlap(x["f"], x["t"], y["f"], y["t"])
+        temporal = F.flatten(F.transform(apart, lambda x: F.transform(F.filter(others(x), lambda y: at_once(x, y)), lambda y: out("temporal_conflict", x, F.array(x["s"], y["s"])))))
+        return F.concat(shared, conflicts, temporal)
+
+    return rows.select(F.inline(F.array_distinct(F.concat(signals("a", "b"), signals("b", "a")))))
+
+
+def _evidence_joined(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """As _evidence_gathered, by joins, however much is said of an entity."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     side = lambda x: facts.select(F.col("entity_id").alias(x), "predicate_key", F.col("neighbour_id").alias(f"{x}_n"), F.col("statement_id").alias(f"{x}_s"), F.col("valid_from").alias(f"{x}_from"), F.col("valid_to").alias(f"{x}_to"))
     mine, peers = both.join(side("a"), "a"), side("b")

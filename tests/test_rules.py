@@ -539,3 +539,21 @@ def test_merges_group_only_statements_near_them(spark):
         assert sorted(tuple(r) for r in changes.merged_statements(statements, roots).collect()) == want
     assert {r.entity_id: r.root for r in graph.survivors(entities, 4).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": None, "f": None, "g": None}
     assert sorted(r.entity_id for r in graph.merged(entities, 4).collect()) == ["b", "c", "e", "f", "g"]
+
+
+def test_graph_evidence_of_entities_with_many_facts(spark, monkeypatch):
+    """What is said of an entity is gathered in one row; of entities with too many facts for that it is
+    joined, with the same signals, missing values and repeated facts included."""
+    import random
+
+    rng, at = random.Random(3), [None, *[dt.datetime(2001, m, 1) for m in range(1, 7)]]
+    facts = [(f"e{rng.randrange(12)}", rng.choice(["p", "q", None]), rng.choice(["x", "y", "z", None]), f"s{i}", rng.choice(at), rng.choice(at)) for i in range(90)]
+    facts += facts[:5]
+    pairs = [(f"e{rng.randrange(13)}", f"e{rng.randrange(13)}") for _ in range(30)] + [("e1", None), ("e2", "e2")]
+    make = spark.createDataFrame
+    tables = make(pairs, "a string, b string"), make(facts, "entity_id string, predicate_key string, neighbour_id string, statement_id string, valid_from timestamp, valid_to timestamp")
+    get = lambda: sorted(map(str, identity.graph_evidence(*tables).collect()))
+    gathered = get()
+    for most in (8, 0):
+        monkeypatch.setattr(identity, "_GATHERED", most)
+        assert get() == gathered and len(gathered) > 50
